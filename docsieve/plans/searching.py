@@ -218,9 +218,9 @@ def _(spark, sf_dir):
     return search(documents(spark, sf_dir), "es", fields=["lang"], page=None)
 
 
-@query("match_prefix", f"SELECT _id, lang FROM {DOCUMENTS} WHERE contains({N}, ' eaux')")
+@query("match_prefix", f"SELECT _id, lang FROM {DOCUMENTS} WHERE contains({N}, ' eau')")
 def _(spark, sf_dir):
-    return search(documents(spark, sf_dir), "eaux*", fields=["lang"], page=None)
+    return search(documents(spark, sf_dir), "eau*", fields=["lang"], page=None)
 
 
 @query("match_phrase", f"SELECT _id, lang FROM {DOCUMENTS} WHERE contains({N}, ' of the ')")
@@ -249,10 +249,10 @@ def _(spark, sf_dir):
 @query(
     "match_labels",
     f"""SELECT _id, lang FROM {DOCUMENTS}
-        WHERE contains({N}, ' that ') OR contains({N}, ' eaux') OR contains({N}, ' und der ')""",
+        WHERE contains({N}, ' that ') OR contains({N}, ' eau') OR contains({N}, ' und der ')""",
 )
 def _(spark, sf_dir):
-    labels = {"word": Word("that"), "start": Prefix("eaux"), "phrase": Phrase("und der")}
+    labels = {"word": Word("that"), "start": Prefix("eau"), "phrase": Phrase("und der")}
     return search(documents(spark, sf_dir), labels, fields=["lang"], page=None)
 
 
