@@ -21,10 +21,31 @@ _OFFSET = r"[T ]\d{2}:\d{2}.*([+-])(\d{2}):?(\d{2})$"
 _WITHOUT_ZONE = r"^(\d{4}-\d{2}-\d{2}(?:[T ][\d:.]+)?)"
 
 
+def _local_date(text: Column) -> Column:
+    return F.when(text.rlike(ISO_DATE), F.regexp_extract(text, _WITHOUT_ZONE, 1)).try_cast(T.TimestampNTZType())
+
+
+def is_date(text: Column) -> Column:
+    return _local_date(text).isNotNull()
+
+
+def is_number(text: Column) -> Column:
+    return F.coalesce(text.rlike(NUMBER), F.lit(False))
+
+
+def is_integer(text: Column) -> Column:
+    number = coerce_number(text)
+    return F.coalesce(number == F.floor(number), F.lit(False))
+
+
+def is_boolean(text: Column) -> Column:
+    return F.coalesce(F.lower(text).isin("true", "false", "1", "0"), F.lit(False))
+
+
 def coerce_date(text: Column) -> Column:
     """ISO 8601 text to a timestamp in UTC; null where it is no date of the years 1 to 9999."""
     text = text.cast("string")
-    local = F.when(text.rlike(ISO_DATE), F.regexp_extract(text, _WITHOUT_ZONE, 1)).try_cast(T.TimestampNTZType())
+    local = _local_date(text)
     sign = F.regexp_extract(text, _OFFSET, 1)
     hours, minutes = (F.regexp_extract(text, _OFFSET, i).try_cast("int") for i in (2, 3))
     offset = F.make_dt_interval(F.lit(0), hours, minutes)
@@ -65,6 +86,13 @@ COERCERS = {
     "boolean": coerce_boolean,
 }
 
+CHECKS = {
+    "date": is_date,
+    "number": is_number,
+    "integer": is_integer,
+    "boolean": is_boolean,
+}
+
 
 def stored_value(value: Column, dtype: T.DataType, field_type: str) -> Column:
     """The value as it is stored in a field of that type. A value that cannot be stored fails the job."""

@@ -81,6 +81,13 @@ def axis_column(df: DataFrame, axis: Axis) -> Column:
     return column.alias(axis.label)
 
 
+def _sketchable(column: Column, df: DataFrame, field: str) -> Column:
+    """Sketches take whole numbers and strings; other values are counted by their digest."""
+    if isinstance(df.schema[field].dataType, (T.IntegerType, T.LongType, T.StringType)):
+        return column
+    return F.when(column.isNotNull(), F.xxhash64(column))
+
+
 def _metric(df: DataFrame, metric: Metric) -> Column:
     settings = fields_of(df).get(metric.field)
     if settings is None:
@@ -95,7 +102,7 @@ def _metric(df: DataFrame, metric: Metric) -> Column:
         "max": F.max,
         "value_count": F.count,
         # Distinct counts are estimates, as sketches stay small however many values a bucket has.
-        "cardinality": lambda c: F.approx_count_distinct(c, 0.01),
+        "cardinality": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(_sketchable(c, df, metric.field), 14)),
     }
     if metric.function not in functions:
         raise ValueError(f"unknown function {metric.function!r}")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.functions.coerce import COERCERS, URL, coerce_boolean, coerce_date, coerce_integer, coerce_number
+from docsieve.functions.coerce import CHECKS, COERCERS, URL, is_boolean, is_date, is_integer, is_number
 from docsieve.functions.ids import link_type, path_extension
 from docsieve.schema import MEDIA_TYPES
 
@@ -18,14 +18,17 @@ MAX_KEYWORD_GUESS = 100
 MAX_KEYWORD = 256
 MAX_EXAMPLES = 100
 
-# Relative error of the distinct estimate, and the margin around the threshold in which values are
-# counted exactly instead.
-_RSD = 0.01
-_MARGIN = 0.06
+# Size of the distinct sketch (its relative error is below 1 %), and the margin around the threshold in which
+# values are counted exactly instead.
+_SKETCH = 14
+_MARGIN = 0.05
 
 
-def _fails(parsed: Column) -> Column:
-    return parsed.isNull()
+def _cells(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
+    """One row per cell: the number of its column, and its value as text. Rules are then planned once, whatever
+    the number of columns."""
+    cells = [F.struct(F.lit(i).alias("column"), F.col(n).cast("string").alias("value")) for i, n in enumerate(names)]
+    return df.select(*keep, F.explode(F.array(*cells)).alias("cell")).select(*keep, "cell.*")
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -34,144 +37,149 @@ def infer_types(df: DataFrame) -> DataFrame:
     All rules are counted in one pass. The distinct share, which only matters for short values, is estimated in
     that pass; columns whose estimate lies near the threshold are counted exactly in a second one.
     """
-    names = df.columns
-    profile = []
-    for i, name in enumerate(names):
-        value = F.col(name)
-        profile += [
-            F.count_if(_fails(coerce_date(value))).alias(f"date{i}"),
-            F.count_if(_fails(coerce_number(value))).alias(f"number{i}"),
-            F.count_if(_fails(coerce_integer(value))).alias(f"integer{i}"),
-            F.count_if(~F.coalesce(value.rlike(URL), F.lit(False))).alias(f"url{i}"),
-            F.count_if(_fails(coerce_boolean(value))).alias(f"boolean{i}"),
-            F.approx_count_distinct(value, _RSD).alias(f"distinct{i}"),
-            F.count_if(value.isNull()).alias(f"null{i}"),
-            F.max(F.length(value)).alias(f"longest{i}"),
-            F.count_if(F.coalesce(value.contains(" "), F.lit(False))).alias(f"spaced{i}"),
-        ]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *profile).first()
-    rows = row["rows"]
-    if not rows:
+    names, value = df.columns, F.col("value")
+    counts = (
+        _cells(df, names)
+        .groupBy("column")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(~is_date(value)).alias("date"),
+            F.count_if(~is_number(value)).alias("number"),
+            F.count_if(~is_integer(value)).alias("integer"),
+            F.count_if(~F.coalesce(value.rlike(URL), F.lit(False))).alias("url"),
+            F.count_if(~is_boolean(value)).alias("boolean"),
+            F.hll_sketch_estimate(F.hll_sketch_agg(value, _SKETCH)).alias("distinct"),
+            F.count_if(value.isNull()).alias("null"),
+            F.max(F.length(value)).alias("longest"),
+            F.count_if(F.coalesce(value.contains(" "), F.lit(False))).alias("spaced"),
+        )
+    )
+    # One row per column, so the driver gets no more than the schema is long.
+    profile = {row["column"]: row for row in counts.collect()}
+    if not profile:
         raise ValueError("types cannot be inferred from an empty table")
+    rows = profile[0]["rows"]
 
     def share(i: int) -> float:
-        return (row[f"distinct{i}"] + (row[f"null{i}"] > 0)) / rows
+        return (profile[i]["distinct"] + (profile[i]["null"] > 0)) / rows
 
     def early(i: int) -> str | None:
-        if row[f"date{i}"] / rows < MAX_INVALID:
+        invalid = profile[i]
+        if invalid["date"] / rows < MAX_INVALID:
             return "date"
-        if row[f"number{i}"] / rows < MAX_INVALID:
-            return "integer" if row[f"integer{i}"] == 0 else "number"
-        if row[f"url{i}"] == 0:
+        if invalid["number"] / rows < MAX_INVALID:
+            return "integer" if invalid["integer"] == 0 else "number"
+        if invalid["url"] == 0:
             return "url"
-        if row[f"boolean{i}"] == 0:
+        if invalid["boolean"] == 0:
             return "boolean"
         # Values without blanks are keywords whatever their distinct share.
-        return "keyword" if row[f"spaced{i}"] == 0 else None
+        return "keyword" if invalid["spaced"] == 0 else None
 
     found = [early(i) for i in range(len(names))]
     open_ = [i for i, kind in enumerate(found) if kind is None]
-    short = [i for i in open_ if (row[f"longest{i}"] or 0) <= MAX_KEYWORD_GUESS]
+    short = [i for i in open_ if (profile[i]["longest"] or 0) <= MAX_KEYWORD_GUESS]
     distinct_share = {i: share(i) for i in short}
     unsure = [i for i in short if abs(share(i) - MAX_DISTINCT) <= _MARGIN]
     if unsure:
         exact = df.agg(*[F.count_distinct(F.col(names[i])).alias(f"d{i}") for i in unsure]).first()
-        distinct_share.update({i: (exact[f"d{i}"] + (row[f"null{i}"] > 0)) / rows for i in unsure})
+        distinct_share.update({i: (exact[f"d{i}"] + (profile[i]["null"] > 0)) / rows for i in unsure})
     for i in open_:
         found[i] = "keyword" if i in distinct_share and distinct_share[i] < MAX_DISTINCT else "text"
     return df.sparkSession.createDataFrame(list(zip(names, found)), "column string, type string")
 
 
-def _rule(value: Column, field_type: str, known_files: bool) -> Column:
-    """True for a value that breaks the rules of its type."""
-    if field_type == "keyword":
-        return (F.length(value) > MAX_KEYWORD) | (value == "")
-    if field_type == "text":
-        return value == ""
-    if field_type in COERCERS:
-        return _fails(COERCERS[field_type](value))
-    if field_type in MEDIA_TYPES and known_files:
-        return misfit_link(value, field_type)
-    return F.lit(False)
-
-
 def misfit_link(value: Column, media_type: str) -> Column:
     """True for a local path whose extension does not fit the media type. Links to other sites are exempt."""
     kind = F.coalesce(link_type(path_extension(value)), F.lit(""))
     return ~value.rlike(r"^https?://") & ~kind.contains(media_type)
 
 
-def validate_columns(
-    df: DataFrame, types: Mapping[str, str], unsigned: Sequence[str] = ()
-) -> DataFrame:
+def _broken(value: Column, field_type: str, unsigned: bool) -> Column:
+    """True for a value that breaks the rules of its type; never null."""
+    if field_type in CHECKS:
+        broken = ~CHECKS[field_type](value)
+        return broken | F.coalesce(value.startswith("-"), F.lit(False)) if unsigned else broken
+    if field_type == "keyword":
+        broken = (F.length(value) > MAX_KEYWORD) | (value == "")
+    elif field_type == "text":
+        broken = value == ""
+    elif field_type in MEDIA_TYPES:
+        broken = misfit_link(value, field_type)
+    else:
+        return F.lit(False)
+    return F.coalesce(broken, F.lit(False))
+
+
+def _broken_cell(names: Sequence[str], types: Mapping[str, str], unsigned: Sequence[str]) -> Column:
+    """The rule of its own column, for a row of ``_cells``; each rule is planned once per type."""
+    column, value, cases = F.col("column"), F.col("value"), None
+    kinds = {(types[n], n in unsigned) for n in names}
+    for kind, flag in sorted(kinds):
+        here = column.isin([i for i, n in enumerate(names) if (types[n], n in unsigned) == (kind, flag)])
+        rule = _broken(value, kind, flag)
+        cases = F.when(here, rule) if cases is None else cases.when(here, rule)
+    return cases
+
+
+def _named(names: Sequence[str], values: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(values[i]) for i in range(len(names))]), F.col("column") + 1)
+
+
+def validate_columns(df: DataFrame, types: Mapping[str, str], unsigned: Sequence[str] = ()) -> DataFrame:
     """Status per column, with the number of values behind it; rows ``(column, type, status, problem, n)``.
 
     ``Type invalid``: values that will be skipped. ``Type warning``: all values look like numbers. Else ``Ready``.
     """
-    names = list(types)
-    counts = []
-    for i, name in enumerate(names):
-        value = F.col(name)
-        number = coerce_number(value)
-        counts += [
-            F.count_if(F.coalesce(F.length(value) > MAX_KEYWORD, F.lit(False))).alias(f"long{i}"),
-            F.count_if(F.coalesce(value == "", F.lit(False))).alias(f"empty{i}"),
-            F.count_if(_fails(number)).alias(f"other{i}"),
-            F.count_if(_broken(value, name, types[name], unsigned)).alias(f"broken{i}"),
-        ]
-    one = df.agg(*counts)
-    cells = []
-    for i, name in enumerate(names):
-        kind = types[name]
-        texty = kind in ("text", "keyword")
-        problem = F.when(F.lit(kind == "keyword") & (F.col(f"long{i}") > 0), F.lit("too long"))
-        problem = problem.when(F.lit(texty) & (F.col(f"empty{i}") > 0), F.lit("empty"))
-        problem = problem.when(F.lit(texty) & (F.col(f"other{i}") == 0), F.lit("all numeric"))
-        problem = problem.when(F.col(f"broken{i}") > 0, F.lit(f"invalid {kind}")).otherwise(F.lit(""))
-        n = F.when(problem == "too long", F.col(f"long{i}")).when(problem == "empty", F.col(f"empty{i}"))
-        n = n.when(problem == f"invalid {kind}", F.col(f"broken{i}")).otherwise(F.lit(0))
-        status = F.when(problem == "", F.lit("Ready")).when(problem == "all numeric", F.lit("Type warning"))
-        cells.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(kind).alias("type"),
-                status.otherwise(F.lit("Type invalid")).alias("status"),
-                problem.alias("problem"),
-                n.cast("bigint").alias("n"),
-            )
+    names, value = list(types), F.col("value")
+    counts = (
+        _cells(df, names)
+        .groupBy("column")
+        .agg(
+            F.count_if(F.coalesce(F.length(value) > MAX_KEYWORD, F.lit(False))).alias("long"),
+            F.count_if(F.coalesce(value == "", F.lit(False))).alias("empty"),
+            F.count_if(~is_number(value)).alias("other"),
+            F.count_if(_broken_cell(names, types, unsigned)).alias("broken"),
         )
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _broken(value: Column, name: str, kind: str, unsigned: Sequence[str]) -> Column:
-    if kind in MEDIA_TYPES:
-        return F.coalesce(misfit_link(value, kind), F.lit(False))
-    if kind not in COERCERS:
-        return F.lit(False)
-    broken = _fails(COERCERS[kind](value))
-    if name in unsigned:
-        broken = broken | F.coalesce(coerce_integer(value) < 0, F.lit(True))
-    return broken
+    )
+    kind = _named(names, [types[n] for n in names])
+    texty = kind.isin("text", "keyword")
+    problem = (
+        F.when((kind == "keyword") & (F.col("long") > 0), F.lit("too long"))
+        .when(texty & (F.col("empty") > 0), F.lit("empty"))
+        .when(texty & (F.col("other") == 0), F.lit("all numeric"))
+        .when(~texty & (F.col("broken") > 0), F.concat(F.lit("invalid "), kind))
+        .otherwise(F.lit(""))
+    )
+    judged = counts.withColumns({"type": kind, "problem": problem, "name": _named(names, names)})
+    found = F.col("problem")
+    n = F.when(found == "too long", F.col("long")).when(found == "empty", F.col("empty"))
+    status = F.when(found == "", F.lit("Ready")).when(found == "all numeric", F.lit("Type warning"))
+    return judged.select(
+        F.col("name").alias("column"),
+        "type",
+        status.otherwise(F.lit("Type invalid")).alias("status"),
+        "problem",
+        n.when(found.startswith("invalid"), F.col("broken")).otherwise(F.lit(0)).cast("bigint").alias("n"),
+    )
 
 
 def invalid_examples(
-    df: DataFrame, types: Mapping[str, str], order: Sequence[str], size: int = MAX_EXAMPLES
+    df: DataFrame,
+    types: Mapping[str, str],
+    order: Sequence[str],
+    size: int = MAX_EXAMPLES,
+    unsigned: Sequence[str] = (),
 ) -> DataFrame:
     """The first ``size`` invalid values per column, in the given row order; rows ``(column, rank, value)``.
 
     Ranking keeps at most ``size`` rows per column and task before anything is shuffled.
     """
     names = [n for n in types if n not in order]
-    cells = []
-    for name in names:
-        value = F.col(name)
-        broken = F.coalesce(_rule(value, types[name], known_files=True), F.lit(False))
-        cell = F.struct(F.lit(name).alias("column"), value.cast("string").alias("value"))
-        cells.append(F.when(broken, cell))
-    rows = df.select(*order, F.explode(F.array_compact(F.array(*cells))).alias("c")).select(*order, "c.*")
+    wrong = _cells(df, names, *order).where(_broken_cell(names, types, unsigned))
     ranking = Window.partitionBy("column").orderBy(*order)
-    ranked = rows.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= size)
-    return ranked.select("column", "rank", "value")
+    ranked = wrong.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= size)
+    return ranked.select(_named(names, names).alias("column"), "rank", "value")
 
 
 def coerce_rows(df: DataFrame, types: Mapping[str, str], names: Mapping[str, str] | None = None) -> DataFrame:
