@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.ids import mime_from_extension, path_extension, path_folder
 from docsieve.schema import MEDIA_TYPES
+from docsieve.session import keep
 
 KEY = ("index", "field", "filepath")
 REGISTER = (
@@ -28,22 +29,33 @@ def object_total(register: DataFrame) -> DataFrame:
     return register.groupBy("index").agg(F.sum("size").alias("total"))
 
 
-def running_total(df: DataFrame, group: str, position: str, amount: str, name: str) -> DataFrame:
-    """Running sum of ``amount`` per group in order of ``position``.
+def running_total(
+    df: DataFrame, ends: DataFrame, group: str, position: str, amount: str, total: str, peak: str
+) -> DataFrame:
+    """Running sum of ``amount`` per group in order of ``position``, and its highest value so far.
 
-    The position range is cut into slices. Each slice is summed where it lies, the few slice sums are added up
-    in order, and the running sum inside a slice starts from what came before it.
+    The position range given by the one row ``(low, high)`` of ``ends`` is cut into slices. Sums run inside the
+    slices first; what came before a slice is added from the few slice sums of its group. So a group that holds
+    most rows is spread over as many tasks as it has slices.
     """
-    ends = df.agg(F.min(position).alias("low"), F.max(position).alias("high"))
-    low = ends.select("low").scalar()
-    width = F.floor((ends.select("high").scalar() - low) / _SLICES) + 1
-    sliced = df.withColumn("__slice", F.floor((F.col(position) - low) / width))
-    totals = sliced.groupBy(group, "__slice").agg(F.sum(amount).alias("__total"))
-    earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
+    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    width = F.floor((high - low) / _SLICES) + 1
+    # One shuffle serves both the slice sums and the sums inside the slices.
+    sliced = df.withColumn("__slice", F.floor((F.col(position) - low) / width)).repartition(group, "__slice")
     inside = Window.partitionBy(group, "__slice").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    summed = sliced.withColumn("__inside", F.sum(amount).over(inside)).join(before, [group, "__slice"])
-    return summed.withColumn(name, F.col("__before") + F.col("__inside")).drop("__slice", "__inside", "__before")
+    summed = sliced.withColumn("__inside", F.sum(amount).over(inside))
+    summed = summed.withColumn("__peak", F.max("__inside").over(inside))
+    slices = summed.groupBy(group, "__slice").agg(F.sum(amount).alias("__sum"), F.max("__inside").alias("__top"))
+    earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    before = before.withColumn("__before_peak", F.max(F.col("__before") + F.col("__top")).over(earlier))
+    both = summed.join(before.drop("__sum", "__top"), [group, "__slice"])
+    return both.withColumns(
+        {
+            total: F.col("__before") + F.col("__inside"),
+            peak: F.greatest(F.col("__before_peak"), F.col("__before") + F.col("__peak")),
+        }
+    ).drop("__slice", "__inside", "__peak", "__before", "__before_peak")
 
 
 def quota_running(
@@ -60,19 +72,15 @@ def quota_running(
         changed = changed | F.col(force)
     wanted = requests.join(known, list(KEY), "left").where(changed)
     wanted = wanted.withColumn("added", F.col("size") - F.coalesce("old_size", F.lit(0)))
-    stored = object_total(register).withColumnRenamed("total", "__stored")
-    summed = running_total(wanted, "index", position, "added", "__added_total")
+    ends = requests.agg(F.min(position).alias("low"), F.max(position).alias("high"))
+    summed = running_total(wanted, ends, "index", position, "added", "__total", "__peak")
     # One row per project on the right; Spark sends it everywhere when it is small, and splits hot keys if not.
-    totals = summed.join(stored, "index", "left").withColumn(
-        "running_total", F.coalesce("__stored", F.lit(0)) + F.col("__added_total")
-    )
-    over = F.min(F.when(F.col("running_total") > max_bytes, F.col(position))).alias("__breach")
-    breach = totals.groupBy("index").agg(over)
-    within = F.col("__breach").isNull() | (F.col(position) < F.col("__breach"))
+    stored = object_total(register).withColumnRenamed("total", "__stored")
+    base = F.coalesce("__stored", F.lit(0))
     return (
-        totals.join(breach, "index")
-        .withColumn("within_quota", within)
-        .drop("__stored", "__added_total", "__breach")
+        summed.join(stored, "index", "left")
+        .withColumns({"running_total": base + F.col("__total"), "within_quota": base + F.col("__peak") <= max_bytes})
+        .drop("__stored", "__total", "__peak")
     )
 
 
@@ -105,7 +113,8 @@ def register_objects(
         .when(~F.col("content_type").startswith(field_type), F.lit("type does not fit the field"))
         .when(~F.col("within_quota"), F.lit("over quota"))
     )
-    judged = typed.withColumn("reason", reason)
+    # The judged requests decide about projects, make the new rows and give the reasons, so they are kept.
+    judged = keep(typed.withColumn("reason", reason), "requests")
     bad_projects = judged.where("reason is not null").select("index").distinct()
     accepted = judged.join(bad_projects, "index", "left_anti")
     # A file asked for twice in one call is taken as the last request has it.
