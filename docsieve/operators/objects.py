@@ -44,7 +44,7 @@ def running_total(
     sliced = df.withColumn("__slice", F.floor((F.col(position) - low) / width)).repartition(group, "__slice")
     inside = Window.partitionBy(group, "__slice").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     summed = sliced.withColumn("__inside", F.sum(amount).over(inside))
-    summed = summed.withColumn("__peak", F.max("__inside").over(inside))
+    summed = summed.withColumn("__inside_peak", F.max("__inside").over(inside))
     slices = summed.groupBy(group, "__slice").agg(F.sum(amount).alias("__sum"), F.max("__inside").alias("__top"))
     earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
@@ -53,9 +53,9 @@ def running_total(
     return both.withColumns(
         {
             total: F.col("__before") + F.col("__inside"),
-            peak: F.greatest(F.col("__before_peak"), F.col("__before") + F.col("__peak")),
+            peak: F.greatest(F.col("__before_peak"), F.col("__before") + F.col("__inside_peak")),
         }
-    ).drop("__slice", "__inside", "__peak", "__before", "__before_peak")
+    ).drop("__slice", "__inside", "__inside_peak", "__before", "__before_peak")
 
 
 def quota_running(
