@@ -26,7 +26,9 @@ JOINER = "['’.]"
 WORD = f"{WORD_CHAR}+(?:{JOINER}{WORD_CHAR}+)*"
 
 # From this many leaves on, the lower-cased text is bound once per row instead of once per leaf.
-_BIND_FROM = 4
+_BIND_FROM = 2
+# From this many leaves on, splitting a text into words once is cheaper than searching it for each leaf.
+_SPLIT_FROM = 24
 
 
 def words(text: Column) -> Column:
@@ -517,34 +519,59 @@ def _subjects(df: DataFrame, lower_of) -> dict[str, Subject]:
     }
 
 
+def _unstored_texts(df: DataFrame) -> list[str]:
+    stored = words_columns(df)
+    return [name for name, kind in search_kinds(df).items() if kind == "text" and name not in stored]
+
+
 def match(df: DataFrame, query: str | Query) -> Column:
     """Boolean Column: the document matches the query; never null."""
-    query = as_query(query)
-    if query.size() < _BIND_FROM:
+    query, texts = as_query(query), _unstored_texts(df)
+    if query.size() < _BIND_FROM or not texts:
         return query.column(_subjects(df, lambda name: F.lower(F.col(name))))
-    stored = words_columns(df)
-    texts = [n for n, kind in search_kinds(df).items() if kind == "text" and n not in stored]
-    if not texts:
-        return query.column(_subjects(df, lambda name: None))
     # A one-element array binds the lower-cased texts, so that they are made once for all leaves.
     bound = F.array(F.struct(*[F.lower(F.col(n)).alias(n) for n in texts]))
     return F.exists(bound, lambda row: query.column(_subjects(df, lambda n: row[n] if n in texts else None)))
 
 
+def any_of(queries) -> Query | None:
+    """OR over labelled queries; None if there are none."""
+    found = tuple(labelled(queries).values())
+    return AnyOf(found) if len(found) > 1 else found[0] if found else None
+
+
 def match_any(df: DataFrame, queries) -> Column:
     """OR over labelled queries; with none given, everything matches."""
-    found = tuple(labelled(queries).values())
-    if not found:
-        return F.lit(True)
-    return match(df, found[0] if len(found) == 1 else AnyOf(found))
+    query = any_of(queries)
+    return F.lit(True) if query is None else match(df, query)
+
+
+def where_matches(df: DataFrame, queries) -> DataFrame:
+    """Documents that match any of the queries.
+
+    A filter on a lower-cased column would be pushed below it and make it again for each leaf. So the column comes
+    from a one-row generator: leaves then share it, in generated code, and field filters still pass below.
+    """
+    query, texts = any_of(queries), _unstored_texts(df)
+    if query is None:
+        return df
+    if query.size() < _BIND_FROM or not texts:
+        return df.where(match(df, query))
+    lowered = {n: f"__lower_{n}" for n in texts}
+    row = F.struct(*[F.lower(F.col(n)).alias(alias) for n, alias in lowered.items()])
+    bound = df.select("*", F.inline(F.array(row)))
+    subjects = _subjects(df, lambda n: F.col(lowered[n]) if n in lowered else None)
+    return bound.where(query.column(subjects)).drop(*lowered.values())
 
 
 def label_matches(df: DataFrame, queries, name: str = "_query") -> DataFrame:
     """One row per document and matching label. All labels are tested in one pass over the texts."""
-    found = labelled(queries)
-    stored = words_columns(df)
-    texts = {n: f"__lower_{n}" for n, kind in search_kinds(df).items() if kind == "text" and n not in stored}
-    lowered = df.withColumns({alias: F.lower(F.col(n)) for n, alias in texts.items()})
-    subjects = _subjects(df, lambda n: F.col(texts[n]) if n in texts else None)
-    labels = F.array(*[F.when(q.column(subjects), F.lit(label)) for label, q in found.items()])
-    return lowered.withColumn(name, F.explode(F.array_compact(labels))).drop(*texts.values())
+    found, columns = labelled(queries), df.columns
+    if sum(q.size() for q in found.values()) >= _SPLIT_FROM:
+        for text in _unstored_texts(df):
+            df = store_words(df, text)
+    lowered = {n: f"__lower_{n}" for n in _unstored_texts(df)}
+    bound = df.withColumns({alias: F.lower(F.col(n)) for n, alias in lowered.items()}) if lowered else df
+    subjects = _subjects(df, lambda n: F.col(lowered[n]) if n in lowered else None)
+    labels = [F.when(q.column(subjects), F.lit(label)) for label, q in found.items()]
+    return bound.select(*columns, F.explode(F.array(*labels)).alias(name)).where(F.col(name).isNotNull())

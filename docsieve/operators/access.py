@@ -16,7 +16,7 @@ ROLES = {"NONE": 0, "OBSERVER": 10, "METAREADER": 20, "READER": 30, "WRITER": 40
 SERVER = "_server"
 
 # Rules for everyone, or for a domain, meet very many users. Those users are spread over this many copies.
-_SPREAD = 32
+_SPREAD = 128
 
 
 def role_rank(role: Column) -> Column:

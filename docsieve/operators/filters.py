@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsieve.functions.dates import PARTS
-from docsieve.functions.text import InField, Word, all_true, any_true, match, match_any, words_of
+from docsieve.functions.text import InField, Word, all_true, any_true, match, match_any, where_matches, words_of
 from docsieve.schema import ID, Field, fields_of
 
 # Up to this many ids go into the plan as literals; more become a join, whose side Spark broadcasts if small.
@@ -199,8 +199,10 @@ def select(
     ids: Sequence[str] | str | DataFrame | None = None,
 ) -> DataFrame:
     """Documents that fit the queries, filters and ids. ``ids`` may also be a frame with an ``_id`` column."""
-    if queries or filters:
-        df = df.where(condition(df, queries, filters))
+    if filters:
+        df = df.where(condition(df, None, filters))
+    if queries:
+        df = where_matches(df, queries)
     if ids is None:
         return df
     if isinstance(ids, str):

@@ -29,19 +29,17 @@ def object_total(register: DataFrame) -> DataFrame:
     return register.groupBy("index").agg(F.sum("size").alias("total"))
 
 
-def running_total(
-    df: DataFrame, ends: DataFrame, group: str, position: str, amount: str, total: str, peak: str
-) -> DataFrame:
+def running_total(df: DataFrame, group: str, position: str, amount: str, total: str, peak: str) -> DataFrame:
     """Running sum of ``amount`` per group in order of ``position``, and its highest value so far.
 
-    The position range given by the one row ``(low, high)`` of ``ends`` is cut into slices. Sums run inside the
-    slices first; what came before a slice is added from the few slice sums of its group. So a group that holds
-    most rows is spread over as many tasks as it has slices.
+    The range of positions is cut into slices. Sums run inside the slices first; what came before a slice is added
+    from the few slice sums of its group. So a group that holds most rows is spread over as many tasks as it has
+    slices. ``df`` is read three times and should be a stored table.
     """
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    width = F.floor((high - low) / _SLICES) + 1
-    # One shuffle serves both the slice sums and the sums inside the slices.
-    sliced = df.withColumn("__slice", F.floor((F.col(position) - low) / width)).repartition(group, "__slice")
+    ends = df.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
+    low = ends["low"] or 0
+    width = ((ends["high"] or 0) - low) // _SLICES + 1
+    sliced = df.withColumn("__slice", F.floor((F.col(position) - low) / width))
     inside = Window.partitionBy(group, "__slice").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     summed = sliced.withColumn("__inside", F.sum(amount).over(inside))
     summed = summed.withColumn("__inside_peak", F.max("__inside").over(inside))
@@ -72,8 +70,7 @@ def quota_running(
         changed = changed | F.col(force)
     wanted = requests.join(known, list(KEY), "left").where(changed)
     wanted = wanted.withColumn("added", F.col("size") - F.coalesce("old_size", F.lit(0)))
-    ends = requests.agg(F.min(position).alias("low"), F.max(position).alias("high"))
-    summed = running_total(wanted, ends, "index", position, "added", "__total", "__peak")
+    summed = running_total(keep(wanted, "requests"), "index", position, "added", "__total", "__peak")
     # One row per project on the right; Spark sends it everywhere when it is small, and splits hot keys if not.
     stored = object_total(register).withColumnRenamed("total", "__stored")
     base = F.coalesce("__stored", F.lit(0))

@@ -15,6 +15,8 @@ from docsieve.operators.filters import select
 from docsieve.schema import ID, Snippet
 
 RANDOM = "?"
+# A page is cut from the first rows of the sort order, which one task holds; next_batch goes any deeper.
+MAX_DEPTH = 100_000
 
 
 @dataclass(frozen=True)
@@ -100,6 +102,8 @@ def search(
     needed = dict.fromkeys([ID, *chosen, *[k.field for k in keys if k.field != RANDOM]])
     found = found.select(*needed)
     if page is not None:
+        if (page + 1) * per_page > MAX_DEPTH:
+            raise ValueError(f"pages reach {MAX_DEPTH} rows deep; read on with next_batch")
         order = order_by(keys, seed=seed)
         found = found.orderBy(*order).offset(page * per_page).limit(per_page)
     elif keys:

@@ -1,4 +1,8 @@
-"""Changing documents. Every operator turns a table into a new one; the caller stores the result."""
+"""Changing documents. Every operator turns a table into a new one; the caller stores the result.
+
+A written batch is folded to one document per id and kept in the shared folder first. It takes part in several
+joins, which then all know its size: a small batch is sent to where the documents are, a large one is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +27,7 @@ from docsieve.schema import (
     extend_fields,
     fields_of,
 )
+from docsieve.session import keep
 
 _CHOSEN = "__chosen"
 _POSITION = "__position"
@@ -119,7 +124,7 @@ def _patched(stored: DataFrame, changes: DataFrame) -> DataFrame:
 def write_index(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Insert, or fully replace by id; fields the new document lacks are lost."""
     stored, incoming = prepare(stored, incoming, "index", fields, position)
-    latest = _last(incoming)
+    latest = keep(_last(incoming), "batch")
     kept = stored.join(latest.select(ID), ID, "left_anti")
     return Written(_union(kept, latest, fields_of(stored)), latest.select(ID).limit(0))
 
@@ -129,6 +134,7 @@ def write_create(stored: DataFrame, incoming: DataFrame, fields=None, position:
     stored, incoming = prepare(stored, incoming, "create", fields, position)
     order = Window.partitionBy(ID).orderBy(F.col(_POSITION))
     first = incoming.withColumn("__rank", F.row_number().over(order)).where("__rank <= 1").drop("__rank", _POSITION)
+    first = keep(first, "batch")
     existing = _stored_ids(stored, first)
     repeated = incoming.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ID)
     table = _union(stored, first.join(existing, ID, "left_anti"), fields_of(stored))
@@ -138,7 +144,7 @@ def write_create(stored: DataFrame, incoming: DataFrame, fields=None, position:
 def write_update(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Change the given fields of stored documents. Unknown ids are failures."""
     stored, incoming = prepare(stored, incoming, "update", fields, position)
-    changes = _overlay(incoming)
+    changes = keep(_overlay(incoming), "batch")
     missing = changes.select(ID).join(_stored_ids(stored, changes), ID, "left_anti")
     return Written(_patched(stored, changes), missing)
 
@@ -146,7 +152,7 @@ def write_update(stored: DataFrame, incoming: DataFrame, fields=None, position:
 def write_upsert(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """As update, but unknown ids are inserted. A null never erases a value."""
     stored, incoming = prepare(stored, incoming, "upsert", fields, position)
-    changes = _overlay(incoming)
+    changes = keep(_overlay(incoming), "batch")
     inserted = changes.join(_stored_ids(stored, changes), ID, "left_anti")
     table = _union(_patched(stored, changes), inserted, fields_of(stored))
     return Written(table, changes.select(ID).limit(0))
