@@ -1,0 +1,131 @@
+"""Word borders by pattern against plain splitting into words, on many small texts."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from docsieve.functions import text as X
+from docsieve.functions.snippets import highlight_merge, highlight_strip
+from docsieve.plans.corpora import documents
+from docsieve.schema import Snippet, declare
+from docsieve.operators.search import search
+
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*")
+PIECES = ["a", "ab", "té", "te", "don't", "u.s.a", "3.5", "_x", "’", "'", ".", " ", "  ", "-", "\n", "é", "test", "Test", "İ", "x1"]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(7)
+    return ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+
+
+@pytest.fixture(scope="module")
+def frame(spark, texts):
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "_id string, text string").repartition(4)
+    return declare(df, {"text": "text"})
+
+
+def test_words_agree_in_and_out_of_spark(frame, texts):
+    rows = frame.select("_id", X.words(F.col("text")).alias("w"), X.normalise(F.col("text")).alias("n")).collect()
+    for row in rows:
+        text = texts[int(row["_id"])]
+        assert row["w"] == WORD.findall(text.lower()) == X.words_of(text)
+        assert row["n"] == f" {' '.join(row['w'])} "
+
+
+@pytest.mark.parametrize("word", ["te", "test", "a", "don't", "u.s", "u.s.a", "3.5", "té", "_x", "x1", "ab"])
+def test_word_and_prefix_patterns(frame, texts, word):
+    words = [X.words_of(t) for t in texts]
+    for query, fits in ((X.Word(word), lambda w: w == word), (X.Prefix(word), lambda w: w.startswith(word))):
+        found = {int(r["_id"]) for r in frame.where(X.match(frame, query)).collect()}
+        assert found == {i for i, ws in enumerate(words) if any(fits(w) for w in ws)}
+
+
+@pytest.mark.parametrize("phrase", ["te a", "a ab", "test test", "a te a", "don't a", "3.5 x1"])
+def test_phrase_patterns(frame, texts, phrase):
+    want = phrase.split()
+    found = {int(r["_id"]) for r in frame.where(X.match(frame, X.Phrase(phrase))).collect()}
+    words = [X.words_of(t) for t in texts]
+    expected = {i for i, ws in enumerate(words) if any(ws[k : k + len(want)] == want for k in range(len(ws)))}
+    assert found == expected
+
+
+def near(ws, terms, slop):
+    places = [[p - i for p, w in enumerate(ws) if w == t] for i, t in enumerate(terms)]
+    starts = [p for group in places for p in group]
+    return any(all(any(m <= p <= m + slop for p in group) for group in places) for m in starts)
+
+
+@pytest.mark.parametrize("terms,slop", [("te a", 1), ("a te", 2), ("a test ab", 2), ("ab a", 0), ("x1", 3)])
+def test_near(frame, texts, terms, slop):
+    found = {int(r["_id"]) for r in frame.where(X.match(frame, X.Near(terms, slop))).collect()}
+    assert found == {i for i, t in enumerate(texts) if near(X.words_of(t), terms.split(), slop)}
+
+
+def edits(a, b):
+    """Insert, delete, replace and swap of neighbours, each part edited once."""
+    grid = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            same = a[i - 1] == b[j - 1]
+            grid[i][j] = min(grid[i - 1][j] + 1, grid[i][j - 1] + 1, grid[i - 1][j - 1] + (not same))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                grid[i][j] = min(grid[i][j], grid[i - 2][j - 2] + 1)
+    return grid[-1][-1]
+
+
+@pytest.mark.parametrize("term,most", [("tets", 1), ("etts", 2), ("tst", 1), ("ba", 1), ("xx1", 2)])
+def test_fuzzy(frame, texts, term, most):
+    found = {int(r["_id"]) for r in frame.where(X.match(frame, X.Fuzzy(term, most))).collect()}
+    assert found == {i for i, t in enumerate(texts) if any(edits(term, w) <= most for w in X.words_of(t))}
+
+
+@pytest.mark.parametrize("pattern,plain", [("te?t", "te.t"), ("t*t", "t.*t"), ("?", "."), ("u.s*", r"u\.s.*")])
+def test_wildcards(frame, texts, pattern, plain):
+    found = {int(r["_id"]) for r in frame.where(X.match(frame, X.Wildcard(pattern))).collect()}
+    assert found == {i for i, t in enumerate(texts) if any(regex.fullmatch(plain, w) for w in X.words_of(t))}
+
+
+def test_many_labels_split_the_text_once(frame, texts):
+    labels = {w: X.Word(w) for w in ["a", "ab", "te", "té", "test", "don't", "x1", "_x", "3.5"]}
+    more = {**labels, **{f"none{i}": X.Word(f"none{i}") for i in range(30)}}
+    few = X.label_matches(frame, labels).groupBy("_query").count().collect()
+    lots = X.label_matches(frame, more).groupBy("_query").count().collect()
+    expected = {w: sum(w in X.words_of(t) for t in texts) for w in labels}
+    assert dict(map(tuple, few)) == dict(map(tuple, lots)) == {w: n for w, n in expected.items() if n}
+
+
+def test_fragments_by_brute_force(spark):
+    """Fragments of real documents: whole words around each hit, in order, at most three."""
+    sf_dir, side = "/root/testdata/sf0.001", 20
+    wide = Snippet(nomatch_chars=60, max_matches=3, match_chars=2 * side)
+    df = documents(spark, sf_dir)
+    rows = search(df, '"of the"', fields={"text": wide}, page=None).join(df.select("_id", F.col("text").alias("full")), "_id")
+    inside = r"[\p{L}\p{M}\p{N}_]"
+    hit = regex.compile(rf"(?i)(?<!{inside})(?<!{inside}['’.])of(?!['’.]{inside})[^\p{{L}}\p{{M}}\p{{N}}_]+the(?!{inside})(?!['’.]{inside})")
+    seen = 0
+    for row in rows.collect():
+        full, at, fragments = row["full"], 0, []
+        while len(fragments) < 3 and (found := hit.search(full, at)):
+            start = max(at, found.start() - side)
+            while start < found.start() and start > 0 and regex.match(inside, full[start - 1]):
+                start += 1
+            end = min(len(full), found.end() + side)
+            while end > found.end() and end < len(full) and regex.match(inside, full[end]):
+                end -= 1
+            fragments.append(full[start:end])
+            at = end
+        assert row["text"] == " ... ".join(fragments)
+        seen += len(fragments)
+    assert seen > 20
+
+
+def test_merging_and_stripping_marks(spark):
+    df = spark.createDataFrame([("<em>a</em> <em>b</em>, <em>c</em>",)], "t string")
+    row = df.select(highlight_merge(F.col("t")), highlight_strip(F.col("t"))).first()
+    assert tuple(row) == ("<em>a b</em>, <em>c</em>", "a b, c")
