@@ -15,7 +15,7 @@ from docsieve.functions import dates
 from docsieve.functions.text import all_true, label_matches, labelled
 from docsieve.operators.filters import select
 from docsieve.operators.search import Sort, order_by
-from docsieve.schema import ID, fields_of
+from docsieve.schema import ID, col, fields_of
 
 QUERY = "_query"
 MAX_VALUES = 2000
@@ -76,7 +76,7 @@ def axis_column(df: DataFrame, axis: Axis) -> Column:
     settings = fields_of(df).get(axis.field)
     if settings is None:
         raise ValueError(f"no such field: {axis.field!r}")
-    column, dtype = F.col(axis.field), df.schema[axis.field].dataType
+    column, dtype = col(axis.field), df.schema[axis.field].dataType
     if axis.interval is not None and settings.type == "date":
         part = dates.PARTS.get(str(axis.interval))
         column = part(column) if part else dates.date_bucket(column, str(axis.interval))
@@ -131,7 +131,8 @@ def _axis_columns(base: DataFrame, axes: Sequence[Axis], keep: Sequence[str]) ->
     """Bucket columns next to the kept ones, without documents that lack a value on an axis."""
     taken = {a.label for a in axes}
     sources = {c: f"__{c}" if c in taken else c for c in dict.fromkeys(keep)}
-    exploded = [a for a in axes if a.field != QUERY and isinstance(base.schema[a.field].dataType, T.ArrayType)]
+    arrays = {f.name for f in base.schema.fields if isinstance(f.dataType, T.ArrayType)}
+    exploded = [a for a in axes if a.field in arrays]
     plain = [a for a in axes if a not in exploded]
     columns = [F.col(c).alias(alias) for c, alias in sources.items()]
     if len(exploded) <= 1:
@@ -141,7 +142,7 @@ def _axis_columns(base: DataFrame, axes: Sequence[Axis], keep: Sequence[str]) ->
         for a in exploded:
             out = out.withColumn(a.label, F.explode(F.array_distinct(a.field)))
     # Plain conditions instead of dropna(), as only those reach the scan.
-    return out.where(all_true(F.col(a.label).isNotNull() for a in axes))
+    return out.where(all_true(col(a.label).isNotNull() for a in axes))
 
 
 def aggregate(
@@ -170,12 +171,13 @@ def aggregate(
             copy = base.withColumn(source, F.col(m.field)).withMetadata(source, base.schema[m.field].metadata)
             column = _metric(copy, Metric(source, m.function, m.label))
         aggregates.append(column)
-    result = rows.groupBy(*labels).agg(*aggregates)
+    result = rows.groupBy(*map(col, labels)).agg(*aggregates)
     for m in spreads:
         result = _attach(result, _spread(base, axes, m), labels)
     for m in hits:
         result = _attach(result, _top_hits(base, axes, m), labels)
-    return result.select(*labels, "n", *[m.label if isinstance(m, Metric) else m.name for m in metrics])
+    names = [m.label if isinstance(m, Metric) else m.name for m in metrics]
+    return result.select(*map(col, [*labels, "n", *names]))
 
 
 def _attach(result: DataFrame, extra: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -198,13 +200,13 @@ def _spread(base: DataFrame, axes: Sequence[Axis], metric: Metric) -> DataFrame:
     rows = _axis_columns(base, axes, [metric.field])
     source = f"__{metric.field}" if metric.field in labels else metric.field
     value = F.col(source).cast("double")
-    centre = rows.groupBy(*labels).agg(_median(value).alias("__centre"))
+    centre = rows.groupBy(*map(col, labels)).agg(_median(value).alias("__centre"))
     if labels:
         # No hint: the bucket table is small or large as the axes decide, and Spark knows its size by then.
         distance = rows.join(centre, labels).withColumn("__distance", F.abs(value - F.col("__centre")))
     else:
         distance = rows.withColumn("__distance", F.abs(value - centre.scalar()))
-    return distance.groupBy(*labels).agg(_median(F.col("__distance")).alias(metric.label))
+    return distance.groupBy(*map(col, labels)).agg(_median(F.col("__distance")).alias(metric.label))
 
 
 def _top_hits(base: DataFrame, axes: Sequence[Axis], hits: TopHits) -> DataFrame:
@@ -216,11 +218,11 @@ def _top_hits(base: DataFrame, axes: Sequence[Axis], hits: TopHits) -> DataFrame
     order = order_by([Sort(stored[s.field], s.descending) for s in sort], stored[ID])
     # rank <= n lets every task keep only its own first n rows of a bucket before the shuffle, so that a
     # bucket holding much of the data never travels to one task.
-    partition = Window.partitionBy(*labels) if labels else Window.partitionBy()
+    partition = Window.partitionBy(*map(col, labels)) if labels else Window.partitionBy()
     ranked = rows.withColumn("__rank", F.row_number().over(partition.orderBy(*order))).where(F.col("__rank") <= hits.n)
     record = F.struct(F.col("__rank"), F.struct(*[F.col(stored[f]).alias(f) for f in hits.fields]).alias("hit"))
     listed = F.transform(F.array_sort(F.collect_list(record)), lambda r: r["hit"])
-    return ranked.groupBy(*labels).agg(listed.alias(hits.name))
+    return ranked.groupBy(*map(col, labels)).agg(listed.alias(hits.name))
 
 
 def _is_ascending(axis: Axis) -> bool:
@@ -230,7 +232,7 @@ def _is_ascending(axis: Axis) -> bool:
 def bucket_order(axes: Sequence[str | Axis]) -> list[Column]:
     """Bucketed and date-part axes ascending, plain axes descending."""
     axes = [Axis.of(a) for a in axes]
-    return [F.col(a.label).asc() if _is_ascending(a) else F.col(a.label).desc() for a in axes]
+    return [col(a.label).asc() if _is_ascending(a) else col(a.label).desc() for a in axes]
 
 
 def ordered(buckets: DataFrame, axes: Sequence[str | Axis]) -> DataFrame:
@@ -248,8 +250,8 @@ def bucket_page(
     if after is not None:
         steps = []
         for i, axis in enumerate(axes):
-            same = [F.col(a.label) == F.lit(after[a.label]) for a in axes[:i]]
-            column, key = F.col(axis.label), F.lit(after[axis.label])
+            same = [col(a.label) == F.lit(after[a.label]) for a in axes[:i]]
+            column, key = col(axis.label), F.lit(after[axis.label])
             steps.append(reduce(lambda a, b: a & b, [*same, column > key if _is_ascending(axis) else column < key]))
         buckets = buckets.where(reduce(lambda a, b: a | b, steps))
     return buckets.orderBy(*bucket_order(axes)).limit(size)

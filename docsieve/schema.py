@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,11 @@ MEDIA_TYPES = frozenset({"image", "video", "audio"})
 NOT_AN_IDENTIFIER = frozenset({"tag", "vector"})
 
 
+def col(name: str) -> Column:
+    """A column by its plain name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Snippet:
     """How much of a text to show: a head when nothing matches, else fragments around the hits."""
@@ -159,9 +164,12 @@ def declare(df: DataFrame, fields: Mapping[str, str | Field]) -> DataFrame:
     unknown = set(fields) - set(df.columns)
     if unknown:
         raise ValueError(f"no such columns: {sorted(unknown)}")
-    for name, spec in fields.items():
-        df = df.withMetadata(name, {**df.schema[name].metadata, _META: as_field(spec).to_metadata()})
-    return df
+    columns = []
+    for column in df.schema.fields:
+        spec = fields.get(column.name)
+        meta = {**column.metadata, _META: as_field(spec).to_metadata()} if spec else column.metadata
+        columns.append(col(column.name).alias(column.name, metadata=meta))
+    return df.select(*columns)
 
 
 def fields_of(df: DataFrame) -> dict[str, Field]:
