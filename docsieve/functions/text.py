@@ -142,8 +142,8 @@ class Query:
     def column(self, subjects: Mapping[str, Subject]) -> Column:
         raise NotImplementedError
 
-    def leaves(self) -> list[Leaf]:
-        """Leaves whose hits may be marked in a text."""
+    def leaves(self, field: str | None = None) -> list[Leaf]:
+        """Leaves whose hits may be marked in a field (or, without one, in any text)."""
         return []
 
     def size(self) -> int:
@@ -155,7 +155,7 @@ class Leaf(Query):
         tests = {"text": self.on_text, "keyword": self.on_keyword, "tag": self.on_tag}
         return any_true(F.coalesce(tests[s.kind](s), F.lit(False)) for s in subjects.values())
 
-    def leaves(self) -> list[Leaf]:
+    def leaves(self, field: str | None = None) -> list[Leaf]:
         return [self]
 
     def on_text(self, subject: Subject) -> Column:
@@ -171,7 +171,11 @@ class Leaf(Query):
         return F.exists(subject.value, self.keyword_test)
 
     def pattern(self) -> str | None:
-        """Java pattern of a hit in running text, or None where a hit cannot be marked."""
+        """Java pattern of a hit in running text, or None where it depends on the words of the text."""
+        return None
+
+    def fits(self, word: Column) -> Column | None:
+        """Test of a single word, for leaves without a pattern."""
         return None
 
 
@@ -199,8 +203,15 @@ class Word(Leaf):
 class Prefix(Leaf):
     text: str
 
-    def on_text(self, subject: Subject) -> Column:
+    def _start(self) -> str | None:
+        """The start of a word, or None if no word can start like this."""
         start = self.text.lower()
+        return start if words_of(f"{start}x") == [f"{start}x"] else None
+
+    def on_text(self, subject: Subject) -> Column:
+        start = self._start()
+        if start is None:
+            return F.lit(False)
         if subject.stored is not None:
             return subject.stored.contains(f" {start}")
         return subject.may_hold([start]) & subject.lower.rlike(starts_word(start))
@@ -209,7 +220,8 @@ class Prefix(Leaf):
         return value.startswith(self.text)
 
     def pattern(self) -> str | None:
-        return starts_word(self.text.lower()) + REST_OF_WORD
+        start = self._start()
+        return starts_word(start) + REST_OF_WORD if start else None
 
 
 @dataclass(frozen=True)
@@ -262,7 +274,10 @@ class Regex(Leaf):
     text: str
 
     def on_text(self, subject: Subject) -> Column:
-        return F.exists(subject.words(), lambda w: w.rlike(f"^(?:{self.text})$"))
+        return F.exists(subject.words(), self.fits)
+
+    def fits(self, word: Column) -> Column:
+        return word.rlike(f"^(?:{self.text})$")
 
     def keyword_test(self, value: Column) -> Column:
         return value.rlike(f"(?s)^(?:{self.text})$")
@@ -331,8 +346,10 @@ class Fuzzy(Leaf):
         return F.length(value).between(len(term) - self.edits, len(term) + self.edits) & any_true(options)
 
     def on_text(self, subject: Subject) -> Column:
-        term = self.text.lower()
-        return F.exists(subject.words(), lambda w: self._test(term, w))
+        return F.exists(subject.words(), self.fits)
+
+    def fits(self, word: Column) -> Column:
+        return self._test(self.text.lower(), word)
 
     def keyword_test(self, value: Column) -> Column:
         return self._test(self.text, value)
@@ -356,6 +373,9 @@ class InField(Query):
             raise ValueError(f"{self.field!r} is not a searchable field")
         return self.part.column({self.field: subjects[self.field]})
 
+    def leaves(self, field: str | None = None) -> list[Leaf]:
+        return self.part.leaves(field) if field in (None, self.field) else []
+
     def size(self) -> int:
         return self.part.size()
 
@@ -367,8 +387,8 @@ class _Group(Query):
     def size(self) -> int:
         return sum(p.size() for p in self.parts)
 
-    def leaves(self) -> list[Leaf]:
-        return [leaf for p in self.parts for leaf in p.leaves()]
+    def leaves(self, field: str | None = None) -> list[Leaf]:
+        return [leaf for p in self.parts for leaf in p.leaves(field)]
 
 
 class AnyOf(_Group):
@@ -385,7 +405,7 @@ class NoneOf(_Group):
     def column(self, subjects: Mapping[str, Subject]) -> Column:
         return ~any_true(p.column(subjects) for p in self.parts)
 
-    def leaves(self) -> list[Leaf]:
+    def leaves(self, field: str | None = None) -> list[Leaf]:
         return []
 
 

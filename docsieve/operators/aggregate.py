@@ -19,6 +19,8 @@ from docsieve.schema import ID, col, fields_of
 
 QUERY = "_query"
 MAX_VALUES = 2000
+# Medians may be off by one rank in this many; groups up to that size are exact.
+_PRECISION = 50_000
 # Up to here Spark ranks inside each task before the shuffle.
 MAX_HITS = 1000
 # Fixed value: an answer stops after the page that takes it beyond this many buckets.
@@ -189,8 +191,8 @@ def _attach(result: DataFrame, extra: DataFrame, labels: Sequence[str]) -> DataF
 
 def _median(value: Column) -> Column:
     """Middle value, or the mean of the two middle ones: the sketch taken from below and from above."""
-    below = F.approx_percentile(value, 0.5, 10000)
-    above = -F.approx_percentile(-value, 0.5, 10000)
+    below = F.approx_percentile(value, 0.5, _PRECISION)
+    above = -F.approx_percentile(-value, 0.5, _PRECISION)
     return (below + above) / 2
 
 

@@ -107,6 +107,13 @@ def _stored_ids(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return stored.select(ID).join(incoming.select(ID), ID, "left_semi")
 
 
+def upsert_join(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming ids, with a Boolean ``stored`` that tells which are there already."""
+    known = _stored_ids(stored, incoming).withColumn("stored", F.lit(True))
+    joined = incoming.select(ID).distinct().join(known, ID, "left")
+    return joined.withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 def _union(upper: DataFrame, lower: DataFrame, fields: Mapping[str, Field]) -> DataFrame:
     return with_fields(upper.unionByName(lower, allowMissingColumns=True), fields)
 

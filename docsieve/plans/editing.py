@@ -12,6 +12,7 @@ from docsieve.operators.write import (
     delete_where,
     tag_where,
     update_where,
+    upsert_join,
     write_create,
     write_index,
     write_update,
@@ -79,6 +80,11 @@ def _shown(df):
 _SHOW = "_id, source, lang, length(text) AS length, coalesce(n_chars, -1) AS n"
 
 
+@query("upsert_join", f"SELECT DISTINCT _id, _id IN (SELECT _id FROM {DOCUMENTS}) AS stored FROM {_CHANGES}")
+def _(spark, sf_dir):
+    return upsert_join(documents(spark, sf_dir), changes(spark, sf_dir))
+
+
 @query(
     "write_index",
     f"""SELECT {_SHOW} FROM (

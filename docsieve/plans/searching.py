@@ -72,13 +72,30 @@ def _(spark, sf_dir):
     return search(documents(spark, sf_dir), fields={"text": Snippet(nomatch_chars=60)}, page=None)
 
 
-@query("snippet_matches")
-def _(spark, sf_dir):
-    wanted = {"text": Snippet(nomatch_chars=60, max_matches=3, match_chars=40)}
-    return search(documents(spark, sf_dir), '"of the"', fields=wanted, page=None, highlight=True)
+_MARK = "'<em>' || x || '</em>'"
+_HEAD = r"CASE WHEN length({0}) <= 20 THEN {0} ELSE regexp_replace(left({0}, 21), '(?:[\p{{L}}\p{{M}}\p{{N}}_]+|(?s:.))$', '') END"
+_TAIL = r"CASE WHEN length({0}) <= 20 THEN {0} ELSE regexp_replace(right({0}, 21), '^(?:[\p{{L}}\p{{M}}\p{{N}}_]+|(?s:.))', '') END"
 
 
-_MARK = "'<em>' || x || '</em>'"
+@query(
+    "snippet_matches",
+    f"""WITH d AS (SELECT _id, list_transform({pieces_sql("text")}, lambda x:
+            CASE WHEN lower(x) = 'that' THEN chr(2) || x || chr(3) ELSE x END) AS pieces FROM {DOCUMENTS}
+          WHERE contains({N}, ' that ')),
+        parts AS (SELECT _id, generate_subscripts(p, 1) - 1 AS k, unnest(p) AS part
+          FROM (SELECT _id, string_split(array_to_string(pieces, ''), chr(2)) AS p FROM d)),
+        cut AS (SELECT _id, k, CASE WHEN k = 0 THEN '' ELSE string_split(part, chr(3))[1] END AS hit,
+            CASE WHEN k = 0 THEN part ELSE string_split(part, chr(3))[2] END AS after FROM parts),
+        around AS (SELECT *, {_HEAD.format("after")} AS tail, lag(after) OVER (PARTITION BY _id ORDER BY k) AS gap
+          FROM cut),
+        rest AS (SELECT *, CASE WHEN k = 1 THEN gap
+            ELSE substr(gap, length(lag(tail) OVER (PARTITION BY _id ORDER BY k)) + 1) END AS before FROM around)
+        SELECT _id, string_agg(trim({_TAIL.format("before")} || '<em>' || hit || '</em>' || tail), ' ... ' ORDER BY k)
+          AS text FROM rest WHERE k BETWEEN 1 AND 3 GROUP BY _id""",
+)
+def _(spark, sf_dir):
+    wanted = {"text": Snippet(nomatch_chars=60, max_matches=3, match_chars=40)}
+    return search(documents(spark, sf_dir), "text:that", fields=wanted, page=None, highlight=True)
 
 
 @query(

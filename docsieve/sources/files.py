@@ -98,9 +98,14 @@ def _as_json(df: DataFrame, name: str, field: Field):
     return F.col(name)
 
 
+_LEADING_TYPE = r'^\s*\{\s*"_type"\s*:\s*"(\w+)"'
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of an export with their type. It is the first key of a line; only where it is not, the line is parsed."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.withColumn("line_type", F.get_json_object("value", "$._type"))
+    leading = F.nullif(F.regexp_extract("value", _LEADING_TYPE, 1), F.lit(""))
+    return lines.withColumn("line_type", F.coalesce(leading, F.get_json_object("value", "$._type")))
 
 
 def export_fields(lines: DataFrame) -> dict[str, Field]:
@@ -137,14 +142,15 @@ def export_settings(lines: DataFrame) -> dict[str, Any] | None:
     return settings
 
 
-def source_export(spark: SparkSession, path: str) -> DataFrame:
+def source_export(spark: SparkSession, path: str, fields: Mapping[str, Field] | None = None) -> DataFrame:
     """Documents of an export, plain or gzip, with the fields its own field lines declare.
 
-    Without field lines, the union of the keys of all documents makes string fields. Ids that follow from
-    identifiers are left out, to be made again when the documents are written.
+    Given ``fields``, the lines are read only once. Without field lines, the union of the keys of all documents
+    makes string fields. Ids that follow from identifiers are left out, to be made again when the documents are
+    written.
     """
     lines = read_lines(spark, path)
-    fields = export_fields(lines)
+    fields = fields or export_fields(lines)
     documents = lines.where(F.col("line_type") == _DOCUMENT)
     if not fields:
         keys = documents.select(F.explode(F.json_object_keys("value")).alias("key")).distinct()
@@ -162,25 +168,28 @@ def source_export(spark: SparkSession, path: str) -> DataFrame:
     return declare(parsed, fields)
 
 
+def _plain_path(path: str) -> str:
+    """A path without the scheme of its file system."""
+    return re.sub(r"^\w+:/*", "/", path)
+
+
 def source_text_folder(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``.txt`` file below a folder: filename, folder (if any file has one), text, date of change."""
     root = path.rstrip("/")
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(root, wholetext=True)
-        .select("value", "_metadata.file_path", "_metadata.file_modification_time")
-    )
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+    files = reader.text(root, wholetext=True).select("value", "_metadata.file_path", "_metadata.file_modification_time")
     plain = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))
     # The part behind the chosen folder, whatever scheme the file system puts before it.
-    below = F.substring_index(plain, re.sub(r"^\w+:/*", "/", root) + "/", -1)
+    below = F.substring_index(plain, _plain_path(root) + "/", -1)
     rows = files.select(
         F.regexp_replace(F.substring_index(below, "/", -1), r"\.[^.]+$", "").alias("filename"),
         F.regexp_extract(below, r"^(.*)/[^/]*$", 1).alias("folder"),
         F.col("value").alias("text"),
         F.to_date("file_modification_time").alias("date"),
     ).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    if rows.where("folder <> ''").isEmpty():
+    # Most folders without subfolders are told by their file names alone, which reads no text.
+    names = reader.format("binaryFile").load(root).select(F.substring_index("path", _plain_path(root) + "/", -1).alias("name"))
+    if names.where(F.col("name").contains("/")).isEmpty() or rows.where("folder <> ''").isEmpty():
         return rows.drop("folder")
     return rows.withColumn("folder", F.when(F.col("folder") == "", F.lit(".")).otherwise(F.col("folder")))
 
@@ -194,7 +203,7 @@ def scan_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
         .load(f"{base}/{prefix}".rstrip("/"))
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     )
-    key = F.substring_index(F.col("path"), re.sub(r"^\w+:/*", "/", base) + "/", -1)
+    key = F.substring_index(F.col("path"), _plain_path(base) + "/", -1)
     return found.select(key.alias("key"), "size", "modified")
 
 

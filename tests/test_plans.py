@@ -9,6 +9,7 @@ import __spark_entry__ as driver
 from docsieve.functions.text import AnyOf, Word
 from docsieve.operators.aggregate import aggregate
 from docsieve.operators.filters import select
+from docsieve.operators.write import _last
 from docsieve.plans.corpora import documents, events
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,8 @@ def test_a_hot_bucket_is_combined_before_the_shuffle(spark):
     df = events(spark, SF).withColumn("event_type", F.lit("click"))
     text = plan(aggregate(df, ["event_type"]))
     assert "partial_count(1)" in text
+
+
+def test_a_repeated_id_is_folded_before_the_shuffle(spark):
+    batch = spark.range(10).select((F.col("id") % 3).cast("string").alias("_id"), F.col("id").alias("__position"))
+    assert "row_number(), 1, Partial" in plan(_last(batch))

@@ -237,3 +237,26 @@ def test_scan(docs):
     found = scan_project(docs, filters={"cat": "a"}, sort={"i": "desc"}, include=["i"])
     assert [r["i"] for r in found.collect()] == [11, 2, 1]
     assert found.where(F.col("i") > 1).count() == 2
+
+
+def test_marks_keep_to_the_field_that_was_asked(docs):
+    row = search(docs, "title:text OR text:text", fields=["text", "title"], highlight=True, sort="_id").first()
+    assert (row["text"], row["title"]) == ("this is a <em>text</em>", "title")
+    row = search(docs, "cat:a AND title:title", fields=["text", "title"], highlight=True, sort="_id").first()
+    assert (row["text"], row["title"]) == ("this is a text", "<em>title</em>")
+
+
+def test_words_found_by_likeness_are_marked(docs):
+    def texts(query):
+        return [r["text"] for r in search(docs, query, fields=["text"], highlight=True, sort="_id").collect()]
+
+    assert texts("tets~1 text") == ["this is a <em>text</em>", "a <em>test</em> <em>text</em>", "and this is another <em>test</em> toto"]
+    assert texts("/te[xs]t/ AND title") == ["this is a <em>text</em>", "a <em>test</em> <em>text</em>"]
+    assert texts("title AND zzzz~1") == []
+    found = search(docs, "text:/t[ae]xt/", fields={"text": Snippet(5, 1, 4)}, highlight=True, sort="_id")
+    assert [r["text"] for r in found.collect()] == ["a <em>text</em>", "<em>text</em>"]
+
+
+def test_a_start_that_no_word_has_matches_nothing(docs):
+    for query in ("te-*", "tes.t-*"):
+        assert ids(select(docs, query)) == ids(select(store_words(docs, "text"), query)) == []

@@ -108,18 +108,18 @@ def test_fragments_by_brute_force(spark):
     rows = search(df, '"of the"', fields={"text": wide}, page=None).join(df.select("_id", F.col("text").alias("full")), "_id")
     inside = r"[\p{L}\p{M}\p{N}_]"
     hit = regex.compile(rf"(?i)(?<!{inside})(?<!{inside}['’.])of(?!['’.]{inside})[^\p{{L}}\p{{M}}\p{{N}}_]+the(?!{inside})(?!['’.]{inside})")
+    word_at_end, word_at_start = regex.compile(rf"(?:{inside}+|(?s:.))\Z"), regex.compile(rf"\A(?:{inside}+|(?s:.))")
     seen = 0
     for row in rows.collect():
-        full, at, fragments = row["full"], 0, []
-        while len(fragments) < 3 and (found := hit.search(full, at)):
-            start = max(at, found.start() - side)
-            while start < found.start() and start > 0 and regex.match(inside, full[start - 1]):
-                start += 1
-            end = min(len(full), found.end() + side)
-            while end > found.end() and end < len(full) and regex.match(inside, full[end]):
-                end -= 1
-            fragments.append(full[start:end])
-            at = end
+        full, fragments, end = row["full"], [], 0
+        hits = list(hit.finditer(full))
+        for i, found in enumerate(hits[:3]):
+            before = full[end : found.start()]
+            left = before if len(before) <= side else word_at_start.sub("", before[-side - 1 :])
+            after = full[found.end() : hits[i + 1].start() if i + 1 < len(hits) else len(full)]
+            right = after if len(after) <= side else word_at_end.sub("", after[: side + 1])
+            fragments.append((left + found[0] + right).strip(" "))
+            end = found.end() + len(right)
         assert row["text"] == " ... ".join(fragments)
         seen += len(fragments)
     assert seen > 20
