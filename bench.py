@@ -11,7 +11,12 @@ import os
 import statistics
 import time
 
+from pyspark.sql import functions as F
+
+from docsieve.functions.text import words
+from docsieve.operators.aggregate import aggregate
 from docsieve.plans import all_queries
+from docsieve.plans.corpora import documents
 from docsieve.session import local_session
 
 HEADLINE = [
@@ -61,6 +66,18 @@ HEADLINE = [
     "ingest_batches",
 ]
 
+# How counting by query grows with the number of labels.
+LABELS = (1, 10, 100)
+
+
+def label_query(spark, sf_dir: str, count: int):
+    """Counts by the most frequent words of the documents, one label each."""
+    found = documents(spark, sf_dir)
+    word = found.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    top = word.groupBy("word").count().orderBy(F.desc("count"), "word").limit(count).collect()
+    queries = {row["word"]: f"text:{row['word']}" for row in top}
+    return aggregate(found, ["_query", "lang"], queries=queries)
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -69,13 +86,21 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     queries, seconds = all_queries(), {}
-    for name in HEADLINE:
+
+    def timed(name: str, build) -> None:
         taken = []
         for _ in range(runs):
             start = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            build().write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken), 3)
+
+    for name in HEADLINE:
+        timed(name, lambda: queries[name](spark, sf_dir))
+    for count in LABELS:
+        query = label_query(spark, sf_dir, count)
+        # A new frame each time, as a frame that has run once keeps its shuffle files.
+        timed(f"labels_{count}", lambda: query.select("*"))
     line = {
         "metric": "headline_total",
         "value": round(sum(seconds.values()), 3),

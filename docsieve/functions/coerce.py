@@ -97,6 +97,8 @@ CHECKS = {
 def stored_value(value: Column, dtype: T.DataType, field_type: str) -> Column:
     """The value as it is stored in a field of that type. A value that cannot be stored fails the job."""
     target = SPARK_TYPES[field_type]
+    if isinstance(dtype, T.NullType):
+        return value.cast(target)
     if field_type == "tag":
         return coerce_tag(value, dtype)
     if field_type == "date":

@@ -19,9 +19,6 @@ REGISTER = (
 )
 # Fixed value: how long an upload link stays valid, in hours, plus one hour of grace.
 PENDING_HOURS = 25
-# Running totals are made in this many slices of the position range, so that a project with most of the
-# files is not summed up by one task.
-_SLICES = 1024
 
 
 def object_total(register: DataFrame) -> DataFrame:
@@ -32,28 +29,26 @@ def object_total(register: DataFrame) -> DataFrame:
 def running_total(df: DataFrame, group: str, position: str, amount: str, total: str, peak: str) -> DataFrame:
     """Running sum of ``amount`` per group in order of ``position``, and its highest value so far.
 
-    The range of positions is cut into slices. Sums run inside the slices first; what came before a slice is added
-    from the few slice sums of its group. So a group that holds most rows is spread over as many tasks as it has
-    slices. ``df`` is read three times and should be a stored table.
+    Rows are laid out by ranges of group and position, and stored with the number of their range. Sums run inside
+    the ranges first; what came before a range is added from the few range sums of its group. So a group that holds
+    most rows is summed by as many tasks as it has ranges.
     """
-    ends = df.agg(F.min(position).alias("low"), F.max(position).alias("high")).first()
-    low = ends["low"] or 0
-    width = ((ends["high"] or 0) - low) // _SLICES + 1
-    sliced = df.withColumn("__slice", F.floor((F.col(position) - low) / width))
-    inside = Window.partitionBy(group, "__slice").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    summed = sliced.withColumn("__inside", F.sum(amount).over(inside))
+    ranged = df.repartitionByRange(group, position).withColumn("__range", F.spark_partition_id())
+    stored = keep(ranged, "ranges")
+    inside = Window.partitionBy(group, "__range").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    summed = stored.withColumn("__inside", F.sum(amount).over(inside))
     summed = summed.withColumn("__inside_peak", F.max("__inside").over(inside))
-    slices = summed.groupBy(group, "__slice").agg(F.sum(amount).alias("__sum"), F.max("__inside").alias("__top"))
-    earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = slices.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    ranges = summed.groupBy(group, "__range").agg(F.sum(amount).alias("__sum"), F.max("__inside").alias("__top"))
+    earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
     before = before.withColumn("__before_peak", F.max(F.col("__before") + F.col("__top")).over(earlier))
-    both = summed.join(before.drop("__sum", "__top"), [group, "__slice"])
+    both = summed.join(before.drop("__sum", "__top"), [group, "__range"])
     return both.withColumns(
         {
             total: F.col("__before") + F.col("__inside"),
             peak: F.greatest(F.col("__before_peak"), F.col("__before") + F.col("__inside_peak")),
         }
-    ).drop("__slice", "__inside", "__inside_peak", "__before", "__before_peak")
+    ).drop("__range", "__inside", "__inside_peak", "__before", "__before_peak")
 
 
 def quota_running(
@@ -70,7 +65,7 @@ def quota_running(
         changed = changed | F.col(force)
     wanted = requests.join(known, list(KEY), "left").where(changed)
     wanted = wanted.withColumn("added", F.col("size") - F.coalesce("old_size", F.lit(0)))
-    summed = running_total(keep(wanted, "requests"), "index", position, "added", "__total", "__peak")
+    summed = running_total(wanted, "index", position, "added", "__total", "__peak")
     # One row per project on the right; Spark sends it everywhere when it is small, and splits hot keys if not.
     stored = object_total(register).withColumnRenamed("total", "__stored")
     base = F.coalesce("__stored", F.lit(0))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docsieve.functions import dates
 from docsieve.functions.snippets import highlight, highlight_merge, highlight_strip, snippet_head
 from docsieve.functions.text import Phrase, Prefix, Word, store_words
 from docsieve.operators.access import allowed_fields, project_allowed
-from docsieve.operators.filters import Filter, select
-from docsieve.operators.search import next_batch, page_meta, project_fields, search, sort_documents
+from docsieve.operators.filters import select
+from docsieve.operators.search import next_batch, page_meta, project_fields, search
 from docsieve.plans.corpora import (
     BENCHMARK,
     CONVERSATIONS,
@@ -73,8 +72,14 @@ def _(spark, sf_dir):
 
 
 _MARK = "'<em>' || x || '</em>'"
-_HEAD = r"CASE WHEN length({0}) <= 20 THEN {0} ELSE regexp_replace(left({0}, 21), '(?:[\p{{L}}\p{{M}}\p{{N}}_]+|(?s:.))$', '') END"
-_TAIL = r"CASE WHEN length({0}) <= 20 THEN {0} ELSE regexp_replace(right({0}, 21), '^(?:[\p{{L}}\p{{M}}\p{{N}}_]+|(?s:.))', '') END"
+_HEAD = (
+    r"CASE WHEN length({0}) <= 20 THEN {0}"
+    r" ELSE regexp_replace(left({0}, 21), '(?:[\p{{L}}\p{{M}}\p{{N}}_]+|(?s:.))$', '') END"
+)
+_TAIL = (
+    r"CASE WHEN length({0}) <= 20 THEN {0}"
+    r" ELSE regexp_replace(right({0}, 21), '^(?:[\p{{L}}\p{{M}}\p{{N}}_]+|(?s:.))', '') END"
+)
 
 
 @query(
