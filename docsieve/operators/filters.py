@@ -99,7 +99,12 @@ def time_span(value: Any) -> tuple[dt.datetime, dt.datetime | None]:
 
 def _time(value: dt.datetime, dtype: T.DataType) -> Column:
     # A cast string literal folds to a constant of the column's own type, which the scan can use.
-    return F.lit(value.isoformat(sep=" ")).cast(T.TimestampNTZType() if isinstance(dtype, T.DateType) else dtype)
+    text = value.isoformat(sep=" ")
+    if isinstance(dtype, T.DateType) and value.time() == dt.time():
+        return F.lit(text[:10]).cast(dtype)
+    if isinstance(dtype, T.TimestampType):
+        return F.lit(f"{text}Z").cast(dtype)
+    return F.lit(text).cast(T.TimestampNTZType())
 
 
 def _time_bound(column: Column, dtype: T.DataType, op: str, value: Any) -> Column:

@@ -132,13 +132,15 @@ def validate_columns(df: DataFrame, types: Mapping[str, str], unsigned: Sequence
     ``Type invalid``: values that will be skipped. ``Type warning``: all values look like numbers. Else ``Ready``.
     """
     names, value = list(types), F.col("value")
+    # Only texts and keywords are tried as numbers, which is the costly test.
+    as_text = F.col("column").isin([i for i, n in enumerate(names) if types[n] in ("text", "keyword")])
     counts = (
         _cells(df, names)
         .groupBy("column")
         .agg(
             F.count_if(F.coalesce(F.length(value) > MAX_KEYWORD, F.lit(False))).alias("long"),
             F.count_if(F.coalesce(value == "", F.lit(False))).alias("empty"),
-            F.count_if(~is_number(value)).alias("other"),
+            F.count_if(as_text & ~is_number(value)).alias("other"),
             F.count_if(_broken_cell(names, types, unsigned)).alias("broken"),
         )
     )

@@ -24,7 +24,8 @@ def read_project(
     """A Parquet table as a project. ``id_columns`` become ``_id``; only declared fields are kept, if any are."""
     df = spark.read.parquet(path)
     names = [id_columns] if isinstance(id_columns, str) else list(id_columns)
-    key = F.concat_ws("-", *[F.col(n).cast("string") for n in names])
+    parts = [F.col(n).cast("string") for n in names]
+    key = parts[0] if len(parts) == 1 else F.concat_ws("-", *parts)
     rest = list(fields) if fields else [c for c in df.columns if c != ID and c not in names]
     df = df.select(key.alias(ID), *rest)
     return declare(df, {n: as_field(f) for n, f in fields.items()}) if fields else df

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from docsieve.operators.write import Written, write
 from docsieve.schema import Field
@@ -24,8 +25,13 @@ def watch_documents(spark: SparkSession, path: str, schema: T.StructType, file_f
     return spark.readStream.schema(schema).format(file_format).load(path)
 
 
-def ingest(documents: DataFrame, staging: str, checkpoint: str, position: str | None = None):
-    """Start taking batches; returns the running query. ``position`` orders documents inside a batch."""
+def ingest(
+    documents: DataFrame, staging: str, checkpoint: str, position: str | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Start taking batches; returns the running query. ``position`` orders documents inside a batch.
+
+    It stops after what is there now, or goes on and looks ``every`` so often (as in "1 minute").
+    """
 
     def store(batch: DataFrame, number: int) -> None:
         order = F.col(position) if position else F.lit(0)
@@ -35,7 +41,7 @@ def ingest(documents: DataFrame, staging: str, checkpoint: str, position: str |
     return (
         documents.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 

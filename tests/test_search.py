@@ -260,3 +260,13 @@ def test_words_found_by_likeness_are_marked(docs):
 def test_a_start_that_no_word_has_matches_nothing(docs):
     for query in ("te-*", "tes.t-*"):
         assert ids(select(docs, query)) == ids(select(store_words(docs, "text"), query)) == []
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_date_bounds_for_each_kind_of_column(spark, kind):
+    rows = [(str(i), f"2020-01-0{i}") for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "_id string, d string").withColumn("d", F.col("d").cast(kind))
+    assert ids(select(df, filters={"d": {"gte": "2020-01-02", "lte": "2020-01-03"}})) == ["2", "3"]
+    assert ids(select(df, filters={"d": {"gt": "2020-01-03"}})) == ["4", "5"]
+    assert ids(select(df, filters={"d": {"gt": "2020-01-03T12:00", "lt": "2020-01-05T00:00:00Z"}})) == ["4"]
+    assert ids(select(df, filters={"d": ["2020-01-04"]})) == ["4"]
