@@ -1,17 +1,20 @@
 """Changing documents. Every operator turns a table into a new one; the caller stores the result.
 
-A written batch is folded to one document per id and kept in the shared folder first. It takes part in several
-joins, which then all know its size: a small batch is sent to where the documents are, a large one is shuffled.
+A written batch is folded to one document per id, kept in the shared folder, and measured. A small batch is sent to
+where the documents are. Of a larger one only the ids are sent, so that documents it does not touch stay where they are.
+Only a batch whose ids alone are too many is joined by shuffling the whole table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.functions.coerce import stored_value
 from docsieve.functions.ids import doc_hash
@@ -31,6 +34,9 @@ from docsieve.session import keep
 
 _CHOSEN = "__chosen"
 _POSITION = "__position"
+# Most bytes of a batch, and of its ids alone, that are sent to every executor.
+MAX_SENT_ROWS = 32 << 20
+MAX_SENT_IDS = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -102,14 +108,43 @@ def _overlay(incoming: DataFrame) -> DataFrame:
     return incoming.groupBy(ID).agg(*last) if last else incoming.select(ID).distinct()
 
 
-def _stored_ids(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class _Batch:
+    """A kept batch with one document per id, and whether its rows or only its ids are small enough to be sent."""
+
+    rows: DataFrame
+    ids: DataFrame
+    rows_sent: bool
+    ids_sent: bool
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, roughly."""
+    if isinstance(field.dataType, T.StringType):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(field.name)), F.lit(0))
+    return F.lit(16)
+
+
+def _keep_batch(folded: DataFrame) -> _Batch:
+    rows = keep(folded, "batch")
+    # 64 bytes for what a row costs beside its values.
+    whole = reduce(lambda a, b: a + b, [_width(f) for f in rows.schema.fields])
+    sizes = rows.agg(F.sum(F.octet_length(ID) + 64).alias("ids"), F.sum(whole + 64).alias("rows")).first()
+    rows_sent, ids_sent = (sizes["rows"] or 0) <= MAX_SENT_ROWS, (sizes["ids"] or 0) <= MAX_SENT_IDS
+    ids = rows.select(ID)
+    return _Batch(rows, F.broadcast(ids) if ids_sent else ids, rows_sent, ids_sent)
+
+
+def _stored_ids(stored: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids that are both stored and incoming: never more than come in, so later joins against it stay small."""
-    return stored.select(ID).join(incoming.select(ID), ID, "left_semi")
+    return stored.select(ID).join(ids, ID, "left_semi")
 
 
 def upsert_join(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming ids, with a Boolean ``stored`` that tells which are there already."""
-    known = _stored_ids(stored, incoming).withColumn("stored", F.lit(True))
+    known = _stored_ids(stored, incoming.select(ID)).withColumn("stored", F.lit(True))
     joined = incoming.select(ID).distinct().join(known, ID, "left")
     return joined.withColumn("stored", F.coalesce("stored", F.lit(False)))
 
@@ -118,22 +153,31 @@ def _union(upper: DataFrame, lower: DataFrame, fields: Mapping[str, Field]) -> D
     return with_fields(upper.unionByName(lower, allowMissingColumns=True), fields)
 
 
-def _patched(stored: DataFrame, changes: DataFrame) -> DataFrame:
-    names = [c for c in changes.columns if c != ID]
-    renamed = changes.select(ID, *[F.col(n).alias(f"__new_{n}") for n in names])
-    joined = stored.join(renamed, ID, "left")
-    columns = [
-        F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in stored.columns
-    ]
-    return with_fields(joined.select(*columns), fields_of(stored))
+def _patched(stored: DataFrame, batch: _Batch) -> DataFrame:
+    """Stored documents with the values of the batch laid over them."""
+
+    def overlaid(documents: DataFrame) -> DataFrame:
+        names = [c for c in batch.rows.columns if c != ID]
+        renamed = batch.rows.select(ID, *[F.col(n).alias(f"__new_{n}") for n in names])
+        joined = documents.join(F.broadcast(renamed) if batch.rows_sent else renamed, ID, "left")
+        return joined.select(
+            *[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in stored.columns]
+        )
+
+    if batch.ids_sent and not batch.rows_sent:
+        untouched = stored.join(batch.ids, ID, "left_anti")
+        table = untouched.unionByName(overlaid(stored.join(batch.ids, ID, "left_semi")))
+    else:
+        table = overlaid(stored)
+    return with_fields(table, fields_of(stored))
 
 
 def write_index(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Insert, or fully replace by id; fields the new document lacks are lost."""
     stored, incoming = prepare(stored, incoming, "index", fields, position)
-    latest = keep(_last(incoming), "batch")
-    kept = stored.join(latest.select(ID), ID, "left_anti")
-    return Written(_union(kept, latest, fields_of(stored)), latest.select(ID).limit(0))
+    batch = _keep_batch(_last(incoming))
+    kept = stored.join(batch.ids, ID, "left_anti")
+    return Written(_union(kept, batch.rows, fields_of(stored)), batch.rows.select(ID).limit(0))
 
 
 def write_create(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
@@ -141,28 +185,27 @@ def write_create(stored: DataFrame, incoming: DataFrame, fields=None, position:
     stored, incoming = prepare(stored, incoming, "create", fields, position)
     order = Window.partitionBy(ID).orderBy(F.col(_POSITION))
     first = incoming.withColumn("__rank", F.row_number().over(order)).where("__rank <= 1").drop("__rank", _POSITION)
-    first = keep(first, "batch")
-    existing = _stored_ids(stored, first)
+    batch = _keep_batch(first)
+    existing = _stored_ids(stored, batch.ids)
     repeated = incoming.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ID)
-    table = _union(stored, first.join(existing, ID, "left_anti"), fields_of(stored))
+    table = _union(stored, batch.rows.join(existing, ID, "left_anti"), fields_of(stored))
     return Written(table, existing.union(repeated).distinct())
 
 
 def write_update(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Change the given fields of stored documents. Unknown ids are failures."""
     stored, incoming = prepare(stored, incoming, "update", fields, position)
-    changes = keep(_overlay(incoming), "batch")
-    missing = changes.select(ID).join(_stored_ids(stored, changes), ID, "left_anti")
-    return Written(_patched(stored, changes), missing)
+    batch = _keep_batch(_overlay(incoming))
+    missing = batch.rows.select(ID).join(_stored_ids(stored, batch.ids), ID, "left_anti")
+    return Written(_patched(stored, batch), missing)
 
 
 def write_upsert(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """As update, but unknown ids are inserted. A null never erases a value."""
     stored, incoming = prepare(stored, incoming, "upsert", fields, position)
-    changes = keep(_overlay(incoming), "batch")
-    inserted = changes.join(_stored_ids(stored, changes), ID, "left_anti")
-    table = _union(_patched(stored, changes), inserted, fields_of(stored))
-    return Written(table, changes.select(ID).limit(0))
+    batch = _keep_batch(_overlay(incoming))
+    inserted = batch.rows.join(_stored_ids(stored, batch.ids), ID, "left_anti")
+    return Written(_union(_patched(stored, batch), inserted, fields_of(stored)), batch.rows.select(ID).limit(0))
 
 
 OPERATIONS = {"index": write_index, "create": write_create, "update": write_update, "upsert": write_upsert}

@@ -7,6 +7,7 @@ from conftest import ids, values
 from pyspark.sql import functions as F
 
 from docsieve.functions.ids import doc_hash
+from docsieve.operators import write as write_module
 from docsieve.operators.write import copy_where, delete_where, tag_where, update_where, write
 from docsieve.schema import Field, change_type, declare, extend_fields, fields_of
 
@@ -21,6 +22,16 @@ def batch(spark):
     return spark.createDataFrame(rows, "_id string, cat string, i int, at int")
 
 
+@pytest.fixture(params=["rows sent", "ids sent", "shuffled"], autouse=True, scope="module")
+def sizes(request):
+    """All tests run with small, larger and very large batches, as the limits have it."""
+    rows, ids_ = {"rows sent": (32 << 20, 128 << 20), "ids sent": (-1, 128 << 20), "shuffled": (-1, -1)}[request.param]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(write_module, "MAX_SENT_ROWS", rows)
+        patch.setattr(write_module, "MAX_SENT_IDS", ids_)
+        yield
+
+
 def run(operation, docs, batch):
     written = write(operation, docs, batch, position="at")
     shown = {r["_id"]: (r["cat"], r["i"], r["title"]) for r in written.table.collect()}
