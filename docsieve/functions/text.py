@@ -28,7 +28,7 @@ WORD = f"{WORD_CHAR}+(?:{JOINER}{WORD_CHAR}+)*"
 # From this many leaves on, the lower-cased text is bound once per row instead of once per leaf.
 _BIND_FROM = 2
 # From this many leaves on, splitting a text into words once is cheaper than searching it for each leaf.
-_SPLIT_FROM = 24
+_SPLIT_FROM = 16
 
 
 def words(text: Column) -> Column:
@@ -584,14 +584,57 @@ def where_matches(df: DataFrame, queries) -> DataFrame:
     return bound.where(query.column(subjects)).drop(*lowered.values())
 
 
+def _plain_word(query: Query, kinds: Mapping[str, str]) -> tuple[str, str | None] | None:
+    """The word and field (None for all) of a query for one single word in texts; None for other queries."""
+    field = query.field if isinstance(query, InField) else None
+    leaf = query.part if isinstance(query, InField) else query
+    if not isinstance(leaf, Word) or len(words_of(leaf.text)) != 1 or (field and kinds.get(field) != "text"):
+        return None
+    return leaf.text, field
+
+
+def _labels_of(values: Column, labels: Mapping[str, list[str]]) -> Column:
+    """Labels of those values of an array that have some."""
+    keys = F.array(*map(F.lit, labels))
+    table = F.create_map(*[part for k, v in labels.items() for part in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.flatten(F.transform(F.array_intersect(values, keys), lambda value: table[value]))
+
+
+def _word_labels(df: DataFrame, plain: Mapping[str, tuple[str, str | None]]) -> list[Column]:
+    """Arrays of matching labels, one per searchable field: the words of a text are looked up among the labels,
+    which costs the same for any number of labels."""
+    found = []
+    for name, kind in search_kinds(df).items():
+        table: dict[str, list[str]] = {}
+        for label, (word, field) in plain.items():
+            if kind == "text" and field in (None, name):
+                table.setdefault(words_of(word)[0], []).append(label)
+            elif kind != "text" and field is None:
+                table.setdefault(word, []).append(label)
+        if table:
+            values = {"text": F.col(f"__words_{name}"), "tag": F.col(name)}.get(kind, F.array(F.col(name)))
+            found.append(F.coalesce(_labels_of(values, table), F.array().cast("array<string>")))
+    return found
+
+
 def label_matches(df: DataFrame, queries, name: str = "_query") -> DataFrame:
     """One row per document and matching label. All labels are tested in one pass over the texts."""
-    found, columns = labelled(queries), df.columns
-    if sum(q.size() for q in found.values()) >= _SPLIT_FROM:
+    found, columns, kinds = labelled(queries), df.columns, search_kinds(df)
+    many = sum(q.size() for q in found.values()) >= _SPLIT_FROM
+    plain = {label: word for label, q in found.items() if many and (word := _plain_word(q, kinds))}
+    others = {label: q for label, q in found.items() if label not in plain}
+    if many:
+        texts, stored = [n for n, kind in kinds.items() if kind == "text"], words_columns(df)
+        split = {n: F.split(F.trim(F.col(stored[n])), " ") if n in stored else words(F.col(n)) for n in texts}
+        df = df.withColumns({f"__words_{n}": column for n, column in split.items()})
+    if sum(q.size() for q in others.values()) >= _SPLIT_FROM:
         for text in _unstored_texts(df):
-            df = store_words(df, text)
-    lowered = {n: f"__lower_{n}" for n in _unstored_texts(df)}
+            joined = F.concat(F.lit(" "), F.array_join(f"__words_{text}", " "), F.lit(" "))
+            df = mark_words(df.withColumn(f"__joined_{text}", joined), f"__joined_{text}", text)
+    lowered = {n: f"__lower_{n}" for n in _unstored_texts(df)} if others else {}
     bound = df.withColumns({alias: F.lower(F.col(n)) for n, alias in lowered.items()}) if lowered else df
     subjects = _subjects(df, lambda n: F.col(lowered[n]) if n in lowered else None)
-    labels = [F.when(q.column(subjects), F.lit(label)) for label, q in found.items()]
-    return bound.select(*columns, F.explode(F.array(*labels)).alias(name)).where(F.col(name).isNotNull())
+    labels = F.array(*[F.when(q.column(subjects), F.lit(label)) for label, q in others.items()]).cast("array<string>")
+    if plain:
+        labels = F.array_distinct(F.concat(*_word_labels(df, plain), labels))
+    return bound.select(*columns, F.explode(labels).alias(name)).where(F.col(name).isNotNull())

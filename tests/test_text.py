@@ -100,6 +100,23 @@ def test_many_labels_split_the_text_once(frame, texts):
     assert dict(map(tuple, few)) == dict(map(tuple, lots)) == {w: n for w, n in expected.items() if n}
 
 
+def test_many_mixed_labels_are_those_of_each_query(docs):
+    docs = docs.withColumn("tags", F.when(F.col("i") < 3, F.array(F.lit("red"), F.lit("Test"))))
+    some = ["test", "Test", "TOTO", "a", "x", "y", "red", "title", "title:title", "text:title", "cat:a", "tags:red", "te*",
+            '"a text"', "this AND test", "článek", "bla OR this", "te?t", "tets~1", '"more bla"', "subcat:y", "b"]
+    queries = {f"{i}:{q}": q for i, q in enumerate(some + some[:8])}
+    for df in (docs, X.store_words(docs, "text")):
+        got = sorted((r["_query"], r["_id"]) for r in X.label_matches(df, queries).collect())
+        each = [(label, r["_id"]) for label, q in queries.items() for r in X.where_matches(df, q).collect()]
+        assert got == sorted(each) and len(got) > 30
+
+
+def test_very_many_other_labels(frame, texts):
+    starts = {f"p{i}": X.Prefix(p) for i, p in enumerate(["a", "t", "te", "test", "d", "u", "3", "x"] * 4)}
+    found = dict(map(tuple, X.label_matches(frame, starts).groupBy("_query").count().collect()))
+    assert found["p0"] == found["p8"] == sum(any(w.startswith("a") for w in X.words_of(t)) for t in texts)
+
+
 def test_fragments_by_brute_force(spark):
     """Fragments of real documents: whole words around each hit, in order, at most three."""
     sf_dir, side = "/root/testdata/sf0.001", 20
