@@ -63,7 +63,7 @@ def _(spark, sf_dir):
 
 @query(
     "agg_multi_axis",
-    f"""SELECT o_orderstatus, year(o_orderdate) AS o_orderdate_yearnr, o_orderpriority, count(*) AS n
+    f"""SELECT o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_yearnr, o_orderpriority, count(*) AS n
         FROM {ORDERS} GROUP BY ALL""",
 )
 def _(spark, sf_dir):
@@ -107,11 +107,11 @@ _PART_SQL = {
     "dayofweek": "dayname(ts)",
     "daypart": "CASE WHEN hour(ts) < 6 THEN 'Night' WHEN hour(ts) < 12 THEN 'Morning'"
     " WHEN hour(ts) < 18 THEN 'Afternoon' ELSE 'Evening' END",
-    "monthnr": "month(ts)",
-    "yearnr": "year(ts)",
-    "decade": "(year(ts) // 10) * 10",
-    "dayofmonth": "day(ts)",
-    "weeknr": "week(ts)",
+    "monthnr": "CAST(month(ts) AS INTEGER)",
+    "yearnr": "CAST(year(ts) AS INTEGER)",
+    "decade": "CAST((year(ts) // 10) * 10 AS INTEGER)",
+    "dayofmonth": "CAST(day(ts) AS INTEGER)",
+    "weeknr": "CAST(week(ts) AS INTEGER)",
 }
 
 

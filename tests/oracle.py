@@ -20,6 +20,18 @@ def connect(sf_dir: str):
     return con
 
 
+# Spark and DuckDB names of the same types.
+SAME_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def _plain(value):
     if isinstance(value, bool) or value is None:
         return value
@@ -49,6 +61,10 @@ def compare(name, spark_df, con, sql) -> str | None:
     other = [c[0] for c in cursor.description]
     if sorted(columns) != sorted(other):
         return f"{name}: columns {sorted(columns)} != {sorted(other)}"
+    types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    for column, kind in spark_df.dtypes:
+        if SAME_TYPES.get(kind) != types[column]:
+            return f"{name}: {column} is {kind}, not {types[column]}"
     mine, theirs = rows_of(columns, spark_df.collect()), rows_of(other, cursor.fetchall())
     if len(mine) != len(theirs):
         return f"{name}: {len(mine)} rows != {len(theirs)}"
