@@ -8,9 +8,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as driver
+from docsieve.plans import all_queries, all_sql
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,8 @@ def con():
 
 def test_names():
     assert set(SQL) == set(QUERIES)
+    assert QUERIES.items() <= driver.queries().items()
+    assert SQL.items() <= driver.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
