@@ -274,6 +274,7 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The documents of the mix with all their columns, a document used twice as two rows."""
-    columns = [F.col(c) for c in df.columns]
-    mixed = plan_mix(df, doc_id, text, source, **how).apply(df).where("_times > 0")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*columns)
+    # The columns travel as one, so that no name can clash.
+    rows = df.select(F.struct("*").alias("row"), df[doc_id].alias("doc_id"), df[text].alias("text"), df[source].alias("source"))
+    mixed = plan_mix(rows, "doc_id", "text", "source", **how).apply(rows).where("_times > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select("row.*")

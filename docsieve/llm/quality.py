@@ -75,8 +75,7 @@ def measured(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         lambda x, i: (F.get(seen, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(seen, i - 1)["h"] == x["h"])),
     )
     within = F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-    return rows.select(
-        "doc_id",
+    counts = F.struct(
         F.size(words).cast("bigint").alias("n_words"),
         F.length(F.translate(body, SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -89,6 +88,9 @@ def measured(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         .cast("bigint")
         .alias("n_shouted"),
     )
+    # Unpacked from an array of one: a filter on the counts then stays above them. Else Spark would move it down and
+    # put the splitting of the text into the functions of each single word.
+    return rows.select("doc_id", F.inline(F.array(counts)))
 
 
 def verdict(rules: Sequence[Rule] = RULES) -> tuple[Column, Column]:

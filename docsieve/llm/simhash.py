@@ -205,18 +205,16 @@ def near_duplicates(
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``df`` with all their columns, one of each group of near-duplicates: that with the smallest id."""
     chosen = near_duplicates(df, doc_id, text, **how).where("representative")
-    chosen = chosen.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "n"
-    )
-    chosen = keep(chosen, "simhash-chosen")
+    chosen = keep(chosen.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")), "simhash-chosen")
+    # The columns travel as one, so that no name can clash.
+    rows = df.select(F.struct("*").alias("row"), df[doc_id].alias("id"), F.xxhash64(text_of(df[text])).alias("key"))
 
     def matching(some: DataFrame) -> DataFrame:
-        whose = F.col("_doc").eqNullSafe(F.col(doc_id)) & (F.col("_key") == F.xxhash64(text_of(text)))
-        return df.join(some, whose)
+        return rows.join(some, some["doc_id"].eqNullSafe(rows["id"]) & (some["text_key"] == rows["key"]))
 
-    found = matching(chosen.where("n = 1")).select(*map(F.col, df.columns))
+    found = matching(chosen.where("n = 1")).select("row.*")
     several = chosen.where("n > 1")
     if not several.isEmpty():
         # Rows equal in id and text: one of them stays.
-        found = found.unionByName(matching(several).dropDuplicates(["_doc", "_key"]).select(*map(F.col, df.columns)))
+        found = found.unionByName(matching(several).dropDuplicates(["id", "key"]).select("row.*"))
     return found

@@ -149,9 +149,9 @@ def _mix(values: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, length: int, width: int, powers: Powers):
     """Split a text's windows of ``length`` bytes by the anchor of each: (anchor hash, context hash, first, last) arrays.
 
-    The anchor of a window is its string of ``width`` bytes with the smallest hash, so equal windows have equal anchors
-    at the same place in them. ``first`` to ``last`` are the starts of neighbouring windows with one anchor; their
-    context is the text from ``first`` to the end of the last window.
+    The anchor of a window is its leftmost string of ``width`` bytes with the smallest hash, so equal windows have equal
+    anchors at the same place in them. ``first`` to ``last`` are the starts of neighbouring windows whose anchor is at
+    one place of the text; their context is the text from ``first`` to the end of the last window.
     """
     n = len(data)
     up, down = powers.upto(n)
@@ -160,14 +160,17 @@ def anchors(data: np.ndarray, length: int, width: int, powers: Powers):
     hashes = _mix((sums[width:] - sums[:-width]) * up[: n - width + 1])
     span = length - width + 1
     windows = n - length + 1
-    rows = np.concatenate([hashes, np.full(-len(hashes) % span, ~np.uint64(0))]).reshape(-1, span)
+    # The leftmost of the smallest: the upper half of the hash, then the place, so that one number is compared.
+    keys = hashes & np.uint64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=np.uint64)
+    rows = np.concatenate([keys, np.full(-len(keys) % span, ~np.uint64(0))]).reshape(-1, span)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows])
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     last = np.append(first[1:], windows) - 1
+    at = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     context = _mix((sums[last + length] - sums[first]) * up[first] + (last - first).astype(np.uint64))
-    return least[first].view(np.int64), context.view(np.int64), first, last
+    return hashes[at].view(np.int64), context.view(np.int64), first, last
 
 
 def window_hashes(data: np.ndarray, length: int, powers: Powers) -> np.ndarray:

@@ -25,13 +25,19 @@ MEMO_WORDS = 400_000
 
 @dataclass(frozen=True)
 class Training:
-    """At most ``rows`` labelled rows of each label are learned from, of at most ``chars`` characters each."""
+    """At most ``rows`` labelled rows of each label are learned from, of at most ``chars`` characters each.
+
+    There are more epochs, 40 at most, where fewer rows would make less than ``steps`` steps.
+    """
 
     rows: int = 2500
     chars: int = 20_000
-    epochs: int = 7
+    epochs: int = 3
+    steps: int = 100
+    windows: int = 30_000
     batch: int = 96
     rate: float = 0.01
+    floor: float = 1e-5
     seed: int = 7
 
 
@@ -194,8 +200,8 @@ def _padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str], labels: list[int], how: Training = Training()) -> dict[str, np.ndarray]:
     """Learn from texts of which only the whole is labelled: each counts by its most toxic window.
 
-    The first epoch takes a window at random, later ones the window that scores highest so far; texts without the label
-    give a second, random one. Adam, on the touched rows only for the two tables.
+    The first epoch takes windows of all texts, at most ``how.windows`` of them at random; later ones take of each text
+    the window that scores highest so far, and of texts without the label a second, random one. Adam, on the touched rows only for the two tables.
     """
     model = new_model(how.seed)
     dice = np.random.default_rng(how.seed)
@@ -216,9 +222,10 @@ def train(texts: list[str], labels: list[int], how: Training = Training()) -> di
         first[at] = 0.9 * first[at] + 0.1 * grad
         second[at] = 0.99 * second[at] + 0.01 * grad * grad
         size = how.rate / (1 - 0.9 ** min(step, 1000))
-        model[name][at] -= size * first[at] / (np.sqrt(second[at] / (1 - 0.99 ** min(step, 1000))) + 1e-6)
+        model[name][at] -= size * first[at] / (np.sqrt(second[at] / (1 - 0.99 ** min(step, 1000))) + (1e-6 if rows is None else how.floor))
 
-    for epoch in range(how.epochs):
+    epochs = max(how.epochs, min(40, -(-how.steps * how.batch // (2 * len(usable)))))
+    for epoch in range(epochs):
         if epoch:
             table = _Table(model)
             table.add(buckets, grams, sizes)
@@ -229,11 +236,15 @@ def train(texts: list[str], labels: list[int], how: Training = Training()) -> di
                 best[i] = int(np.argmax(scored[at : at + len(windows[i])]))
                 at += len(windows[i])
         chosen = []
-        for i in usable:
-            pick = int(dice.integers(len(windows[i])))
-            chosen.append((windows[i][best[i] if epoch else pick], labels[i]))
-            if epoch and not labels[i] and len(windows[i]) > 1:
-                chosen.append((windows[i][pick], 0))
+        if not epoch:
+            every = [(w, labels[i]) for i in usable for w in windows[i]]
+            passes = [every[i] for _ in range(-(-how.windows // len(every))) for i in dice.permutation(len(every))]
+            chosen = passes[: how.windows]
+        else:
+            for i in usable:
+                chosen.append((windows[i][best[i]], labels[i]))
+                if not labels[i] and len(windows[i]) > 1:
+                    chosen.append((windows[i][int(dice.integers(len(windows[i])))], 0))
         dice.shuffle(order := np.arange(len(chosen)))
         for start in range(0, len(order), how.batch):
             step += 1
@@ -339,7 +350,7 @@ class Scorer:
             self.table.add(*features(new))
         if windows:
             np.maximum.at(best, whose, self.table.logits(self.model, windows).astype(np.float64))
-        return 1 / (1 + np.exp(-np.clip(best, -500, 500)))
+        return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -500, 500))))
 
 
 def held_out(doc_id: str | Column, folds: int = 3, fold: int = 1) -> Column:
