@@ -380,7 +380,7 @@ def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
         return lambda batch: _grouped(work(batch), 20_000)
 
     rows = keep(arrow_map(contexts, schema, each), "large-windows")
-    shared = rows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = keep(rows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared-windows")
     return rows.join(shared, ["anchor", "hash"]).select("doc_id", "text_key", "first", F.col("first").alias("last"))
 
 
@@ -388,7 +388,8 @@ def repeated_spans(docs: DataFrame, length: int, width: int) -> DataFrame:
     """Starts of repeated strings as (doc_id, text_key, first, last); ``docs`` has doc_id, text_key, text."""
     rows = keep(_anchor_rows(docs, length, width), "anchors")
     seen = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most"))
-    seen = seen.where("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("plain"))
+    # Kept, as Spark can split the rows of a frequent anchor only in a join of tables, not in one with sums.
+    seen = keep(seen.where("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("plain")), "repeated-anchors")
     # Where all contexts of an anchor are equal, all their windows are repeated.
     shared = keep(rows.join(seen, "anchor"), "shared-anchors")
     plain = shared.where("plain").select("doc_id", "text_key", "first", "last")
