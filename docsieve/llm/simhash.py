@@ -188,9 +188,11 @@ def near_duplicates(
             "print", "first", F.coalesce("root", "print").alias("root")
         )
         least = prints.groupBy("root").agg(F.min("first").alias("group"))
-        prints = prints.join(least, "root").select("print", "group")
+        prints = prints.join(keep(least, "simhash-groups"), "root").select("print", "group")
     else:
         prints = prints.select("print", F.col("first").alias("group"))
+    # Kept, as Spark can split the rows of a frequent fingerprint only in a join of tables.
+    prints = keep(prints, "simhash-members")
     same = docs["doc_id"].eqNullSafe(F.col("group.id")) & (F.col("text_key") == F.col("group.key"))
     return docs.join(prints, "print").select(
         "doc_id",
