@@ -41,8 +41,11 @@ class Training:
     seed: int = 7
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word its bucket; the buckets of the sequences of 3 to 5 bytes of all words, borders marked; how many each has."""
+    if len(words) > at_once:
+        parts = [features(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+        return tuple(np.concatenate(column) for column in zip(*parts))
     buckets = np.fromiter((zlib.crc32(w.encode()) % WORD_BUCKETS for w in words), np.int64, len(words))
     edged = [f"^{w}$".encode() for w in words]
     size = np.fromiter(map(len, edged), np.int64, len(words))
@@ -60,7 +63,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whose.append(np.repeat(np.arange(len(words)), np.maximum(size - n + 1, 0)))
     whose = np.concatenate(whose)
     order = np.argsort(whose, kind="stable")
-    return buckets, np.concatenate(grams)[order], np.bincount(whose, minlength=len(words))
+    return buckets, np.concatenate(grams).astype(np.int32)[order], np.bincount(whose, minlength=len(words))
 
 
 def windows_of(words: int) -> list[tuple[int, int]]:
