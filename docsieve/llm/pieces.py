@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -15,10 +17,24 @@ from docsieve.llm.shared import arrow_map, slices, text_of
 
 SPACE_MARK = "▁"
 # Words are remembered with their ids up to this number and length; beyond it the memory starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 MEMO_LENGTH = 64
 
 
+class _Memo(dict):
+    """Remembers the ids of words; those of very long ones are made anew each time."""
+
+    def __init__(self, make: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.make(word)
+        if len(word) <= MEMO_LENGTH:
+            self[word] = ids
+        return ids
+
+
 class Pieces:
     """Encoder for merge-type vocabularies (``piece_bpe``) with byte fallback, from the bytes of a model file."""
 
@@ -33,43 +49,53 @@ class Pieces:
             raise ValueError("a vocabulary with unused pieces cannot be read")
         self.ids = {sp.id_to_piece(i): i for i in kept}
         self.scores = {sp.id_to_piece(i): sp.get_score(i) for i in kept}
+        ranked = {score: place for place, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.rank = {piece: ranked[score] for piece, score in self.scores.items()}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         # Where no piece goes on past the end of a word, words can be encoded one by one, with the same result.
         self.by_word = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in self.ids)
         self.segment = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-        self.memo: dict[str, list[int]] = {}
+        self.memo = _Memo(self.segment_ids)
 
     def symbols(self, text: str) -> list[str]:
         """Merge adjacent symbols, best score first and leftmost among equals, until no pair is a piece."""
         parts: list[str] = list(text)
         size = len(parts)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        scores, agenda = self.scores, []
+        # An entry is the pair's rank times the size, plus the left symbol's place: one number orders by both.
+        rank, agenda, pairs = self.rank, [], {}
         for i in range(size - 1):
-            score = scores.get(parts[i] + parts[i + 1])
-            if score is not None:
-                agenda.append((-score, i, i + 1, len(parts[i]) + len(parts[i + 1])))
+            both = parts[i] + parts[i + 1]
+            if both in rank:
+                entry = rank[both] * size + i
+                agenda.append(entry)
+                pairs[entry] = both
         heapq.heapify(agenda)
         while agenda:
-            _, left, right, length = heapq.heappop(agenda)
-            a, b = parts[left], parts[right]
+            entry = heapq.heappop(agenda)
+            left = entry % size
+            a, right = parts[left], after[left]
             # A pair is stale if one of its symbols has been merged meanwhile.
-            if not a or not b or len(a) + len(b) != length:
+            if not a or right >= size or a + parts[right] != pairs[entry]:
                 continue
-            parts[left], parts[right] = a + b, ""
-            nxt = after[right]
-            after[left] = nxt
+            merged = parts[left] = pairs[entry]
+            parts[right] = ""
+            nxt = after[left] = after[right]
             if nxt < size:
                 before[nxt] = left
-                score = scores.get(parts[left] + parts[nxt])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, nxt, length + len(parts[nxt])))
+                both = merged + parts[nxt]
+                if both in rank:
+                    entry = rank[both] * size + left
+                    pairs[entry] = both
+                    heapq.heappush(agenda, entry)
             prev = before[left]
             if prev >= 0:
-                score = scores.get(parts[prev] + parts[left])
-                if score is not None:
-                    heapq.heappush(agenda, (-score, prev, left, len(parts[prev]) + length))
+                both = parts[prev] + merged
+                if both in rank:
+                    entry = rank[both] * size + prev
+                    pairs[entry] = both
+                    heapq.heappush(agenda, entry)
         return [p for p in parts if p]
 
     def segment_ids(self, segment: str) -> list[int]:
@@ -91,28 +117,20 @@ class Pieces:
             return []
         if not self.by_word:
             return self.segment_ids(spelled)
-        words = self.segment.findall(spelled)
-        memo = self.memo
-        try:
-            return list(chain.from_iterable(map(memo.__getitem__, words)))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        out: list[int] = []
-        for word in words:
-            ids = memo.get(word)
-            if ids is None:
-                ids = self.segment_ids(word)
-                if len(word) <= MEMO_LENGTH:
-                    memo[word] = ids
-            out += ids
-        return out
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.segment.findall(spelled))))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def pieces_of(model: bytes) -> Pieces:
+    """The encoder of a model; the tasks that follow each other in a Python worker share it and its memory of words."""
+    return Pieces(model)
+
+
 def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -136,7 +154,7 @@ def encode_pieces(
     schema = f"doc_id {id_type}, {more}n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def each():
-        pieces = Pieces(proto)
+        pieces = pieces_of(proto)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()

@@ -40,7 +40,7 @@ def test_whole_text_like_word_by_word(pieces, texts):
 def test_agenda_takes_the_best_pair_first(pieces):
     # "he" scores better than "th", so "the" is first "t" and "he".
     assert pieces.scores["he"] > pieces.scores["th"]
-    pieces.scores.pop("the", None)
+    pieces.rank.pop("the", None)
     assert pieces.symbols("the") == ["t", "he"]
     assert pieces.symbols("") == []
 
