@@ -96,14 +96,17 @@ def date_bucket(ts: Column, interval: str) -> Column:
 
 
 def number_bucket(value: Column, dtype: T.DataType, width: str | int | float) -> Column:
-    """Lower bound of the fixed-width bucket that holds ``value``."""
+    """Lower bound of the fixed-width bucket that holds ``value``; none for what is not a number."""
     width = float(width)
     if width <= 0:
         raise ValueError("a bucket needs a positive width")
     if isinstance(dtype, T.IntegralType) and width.is_integer():
         value = value.cast("bigint")
         return value - F.pmod(value, F.lit(int(width)).cast("bigint"))
-    return F.floor(value / F.lit(width)) * F.lit(width)
+    quotient = value / F.lit(width)
+    # From 2 ** 53 on a quotient has no fraction, and beyond 2 ** 63 the floor would not fit its type.
+    whole = F.when(F.abs(quotient) >= 2.0**53, quotient).otherwise(F.floor(quotient).cast("double"))
+    return F.when(~F.isnan(quotient), whole * F.lit(width))
 
 
 def micros(ts: Column) -> tuple[Column, Column]:

@@ -11,7 +11,6 @@ import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +123,13 @@ def any_true(conditions: Iterable[Column]) -> Column:
 
 
 def _fold(conditions: Sequence[Column], join, empty: bool) -> Column:
-    return reduce(join, conditions) if conditions else F.lit(empty)
+    """Joined pair by pair, as Spark cannot plan a chain of a thousand conditions."""
+    if not conditions:
+        return F.lit(empty)
+    while len(conditions) > 1:
+        pairs = [conditions[i : i + 2] for i in range(0, len(conditions), 2)]
+        conditions = [join(*pair) if len(pair) == 2 else pair[0] for pair in pairs]
+    return conditions[0]
 
 
 class Query:

@@ -275,10 +275,10 @@ def field_stats(df: DataFrame, field: str) -> DataFrame:
     )
 
 
-def field_values(df: DataFrame, field: str, size: int = MAX_VALUES) -> DataFrame:
-    """Distinct values with their counts, most frequent first."""
-    counts = aggregate(df, [Axis(field, name="value")])
-    return counts.orderBy(F.desc("n"), "value").limit(size)
+def field_values(df: DataFrame, field: str, size: int | None = None) -> DataFrame:
+    """All distinct values with their counts, most frequent first; only the first ``size`` if that is given."""
+    counts = aggregate(df, [Axis(field, name="value")]).orderBy(F.desc("n"), "value")
+    return counts if size is None else counts.limit(size)
 
 
 def list_field_values(df: DataFrame, field: str) -> list[Any]:

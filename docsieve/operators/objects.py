@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,16 +27,18 @@ def object_total(register: DataFrame) -> DataFrame:
     return register.groupBy("index").agg(F.sum("size").alias("total"))
 
 
-def running_total(df: DataFrame, group: str, position: str, amount: str, total: str, peak: str) -> DataFrame:
-    """Running sum of ``amount`` per group in order of ``position``, and its highest value so far.
+def running_total(
+    df: DataFrame, group: str, position: str, amount: str, total: str, peak: str, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Running sum of ``amount`` per group in order of ``position``, then ``ties``, and its highest value so far.
 
     Rows are laid out by ranges of group and position, and stored with the number of their range. Sums run inside
     the ranges first; what came before a range is added from the few range sums of its group. So a group that holds
     most rows is summed by as many tasks as it has ranges.
     """
-    ranged = df.repartitionByRange(group, position).withColumn("__range", F.spark_partition_id())
+    ranged = df.repartitionByRange(group, position, *ties).withColumn("__range", F.spark_partition_id())
     stored = keep(ranged, "ranges")
-    inside = Window.partitionBy(group, "__range").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(group, "__range").orderBy(position, *ties).rowsBetween(Window.unboundedPreceding, 0)
     summed = stored.withColumn("__inside", F.sum(amount).over(inside))
     summed = summed.withColumn("__inside_peak", F.max("__inside").over(inside))
     ranges = summed.groupBy(group, "__range").agg(F.sum(amount).alias("__sum"), F.max("__inside").alias("__top"))
@@ -65,7 +68,7 @@ def quota_running(
         changed = changed | F.col(force)
     wanted = requests.join(known, list(KEY), "left").where(changed)
     wanted = wanted.withColumn("added", F.col("size") - F.coalesce("old_size", F.lit(0)))
-    summed = running_total(wanted, "index", position, "added", "__total", "__peak")
+    summed = running_total(wanted, "index", position, "added", "__total", "__peak", ["field", "filepath"])
     # One row per project on the right; Spark sends it everywhere when it is small, and splits hot keys if not.
     stored = object_total(register).withColumnRenamed("total", "__stored")
     base = F.coalesce("__stored", F.lit(0))
@@ -147,11 +150,22 @@ def split_key(key: Column) -> dict[str, Column]:
     }
 
 
-def reconcile_objects(register: DataFrame, listing: DataFrame, now: dt.datetime) -> DataFrame:
+def reconcile_objects(
+    register: DataFrame, listing: DataFrame, now: dt.datetime, index: str | None = None, field: str | None = None
+) -> DataFrame:
     """The register after a sync with the store listing ``(index, field, filepath, size)``.
 
-    Listed files are added or refreshed. Others go, unless their upload may still be under way.
+    Listed files are added or refreshed. Others go, unless their upload may still be under way. A listing of one project,
+    or of one field of it, is named by ``index`` and ``field``: entries and files outside of it are left as they are.
     """
+    scope = F.lit(True)
+    for name, value in (("index", index), ("field", field)):
+        if value is not None:
+            scope = scope & F.coalesce(F.col(name) == value, F.lit(False))
+    if index is not None or field is not None:
+        outside = register.where(~scope)
+        synced = reconcile_objects(register.where(scope), listing.where(scope), now)
+        return synced.unionByName(outside.select(*synced.columns))
     moment = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     pending_since = F.lit((now - dt.timedelta(hours=PENDING_HOURS)).isoformat(sep=" ")).cast("timestamp_ntz")
     found = listing.select(*KEY, F.col("size").alias("__size"), F.lit(True).alias("__listed"))

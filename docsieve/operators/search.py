@@ -129,7 +129,7 @@ def next_batch(
     """The next ``size`` rows behind the row ``after`` (a dict of its sort keys and id).
 
     Unlike a page number this costs the same at any depth: rows before the cursor are filtered, not counted.
-    Keys must not be null.
+    Rows without a key come last, as in every order, and are read like the others.
     """
     keys = Sort.of(sort)
     if ID not in [k.field for k in keys]:
@@ -137,9 +137,12 @@ def next_batch(
     if after is not None:
         steps = []
         for i, key in enumerate(keys):
-            same = [F.col(k.field) == F.lit(after[k.field]) for k in keys[:i]]
-            column, bound = F.col(key.field), F.lit(after[key.field])
-            steps.append(reduce(lambda a, b: a & b, [*same, column < bound if key.descending else column > bound]))
+            same = [F.col(k.field).eqNullSafe(F.lit(after[k.field])) for k in keys[:i]]
+            column, bound = F.col(key.field), after[key.field]
+            if bound is None:
+                continue  # nothing comes behind a missing key but rows that miss it too
+            behind = (column < bound if key.descending else column > bound) | column.isNull()
+            steps.append(reduce(lambda a, b: a & b, [*same, behind]))
         df = df.where(reduce(lambda a, b: a | b, steps))
     return df.orderBy(*order_by(keys)).limit(size)
 

@@ -39,11 +39,14 @@ def pivot_wide(
     column_axis: str,
     columns: Sequence[Any] | None = None,
     target: str = "n",
-    k: int = TOP_COLUMNS,
 ) -> DataFrame:
-    """The second axis becomes columns; missing cells are 0. Without a column list, the top ``k`` are taken."""
+    """The second axis becomes columns; missing cells are 0. Without a column list all values are taken, those with the
+    largest sums first; `keep_top_columns` cuts them before. Spark refuses more than ``spark.sql.pivotMaxValues``."""
     if columns is None:
-        columns = [row[0] for row in top_columns(buckets, column_axis, target, k).collect()]
+        most = int(buckets.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        columns = [row[0] for row in top_columns(buckets, column_axis, target, most + 1).collect()]
+        if len(columns) > most:
+            raise ValueError(f"more than {most} values on {column_axis!r}")
     wide = buckets.groupBy(row_axis).pivot(column_axis, list(columns)).agg(F.sum(target))
     return wide.na.fill(0, subset=[str(c) for c in columns])
 

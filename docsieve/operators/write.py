@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from docsieve.functions.coerce import stored_value
 from docsieve.functions.ids import doc_hash
+from docsieve.functions.text import normalise
 from docsieve.functions.tags import tag_add, tag_add_changes, tag_remove, tag_remove_changes
 from docsieve.operators.filters import mark_selected, select
 from docsieve.schema import (
@@ -29,6 +30,8 @@ from docsieve.schema import (
     empty_column,
     extend_fields,
     fields_of,
+    mark_words,
+    words_columns,
 )
 from docsieve.session import keep
 
@@ -92,9 +95,26 @@ def prepare(
         new_id = F.col(ID).cast("string").alias(ID)
     order = F.col(position) if position else F.xxhash64(*incoming.columns)
     incoming = incoming.select(new_id, *values, order.alias(_POSITION))
+    if not position and operation != "create":
+        repeated = incoming.where(F.col(ID).isNotNull()).groupBy(ID).count().where("count > 1")
+        if not repeated.isEmpty():
+            raise ValueError("an id comes more than once; give position, so that the last one is known")
     return with_fields(stored, known), incoming
 
 
+def _without_id(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that have an id, and a null id for each of the others, which are failures."""
+    return incoming.where(F.col(ID).isNotNull()), incoming.where(F.col(ID).isNull()).select(ID)
+
+
+def _with_words(table: DataFrame, before: DataFrame) -> DataFrame:
+    """The table with the stored words of ``before``, made anew where they are missing."""
+    for text, column in words_columns(before).items():
+        table = table.withColumn(column, F.coalesce(F.col(column), normalise(F.col(text))))
+        table = mark_words(table, column, text)
+    return table
+
+
 def _last(incoming: DataFrame) -> DataFrame:
     """The last document of each id. Ranking first inside each task keeps a much repeated id small."""
     latest = Window.partitionBy(ID).orderBy(F.col(_POSITION).desc())
@@ -160,9 +180,11 @@ def _patched(stored: DataFrame, batch: _Batch) -> DataFrame:
         names = [c for c in batch.rows.columns if c != ID]
         renamed = batch.rows.select(ID, *[F.col(n).alias(f"__new_{n}") for n in names])
         joined = documents.join(F.broadcast(renamed) if batch.rows_sent else renamed, ID, "left")
-        return joined.select(
-            *[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in stored.columns]
-        )
+        columns = {c: F.coalesce(F.col(f"__new_{c}"), F.col(c)) if c in names else F.col(c) for c in stored.columns}
+        for text, column in words_columns(stored).items():
+            if text in names:  # the words of a new text are made later
+                columns[column] = F.when(F.col(f"__new_{text}").isNull(), F.col(column))
+        return joined.select(*[value.alias(c) for c, value in columns.items()])
 
     if batch.ids_sent and not batch.rows_sent:
         untouched = stored.join(batch.ids, ID, "left_anti")
@@ -175,37 +197,42 @@ def _patched(stored: DataFrame, batch: _Batch) -> DataFrame:
 def write_index(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Insert, or fully replace by id; fields the new document lacks are lost."""
     stored, incoming = prepare(stored, incoming, "index", fields, position)
+    incoming, refused = _without_id(incoming)
     batch = _keep_batch(_last(incoming))
     kept = stored.join(batch.ids, ID, "left_anti")
-    return Written(_union(kept, batch.rows, fields_of(stored)), batch.rows.select(ID).limit(0))
+    return Written(_with_words(_union(kept, batch.rows, fields_of(stored)), stored), refused)
 
 
 def write_create(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Insert only. Ids that exist, or come in a second time, are failures."""
     stored, incoming = prepare(stored, incoming, "create", fields, position)
+    incoming, refused = _without_id(incoming)
     order = Window.partitionBy(ID).orderBy(F.col(_POSITION))
     first = incoming.withColumn("__rank", F.row_number().over(order)).where("__rank <= 1").drop("__rank", _POSITION)
     batch = _keep_batch(first)
     existing = _stored_ids(stored, batch.ids)
     repeated = incoming.groupBy(ID).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ID)
     table = _union(stored, batch.rows.join(existing, ID, "left_anti"), fields_of(stored))
-    return Written(table, existing.union(repeated).distinct())
+    return Written(_with_words(table, stored), existing.union(repeated).distinct().union(refused))
 
 
 def write_update(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """Change the given fields of stored documents. Unknown ids are failures."""
     stored, incoming = prepare(stored, incoming, "update", fields, position)
+    incoming, refused = _without_id(incoming)
     batch = _keep_batch(_overlay(incoming))
     missing = batch.rows.select(ID).join(_stored_ids(stored, batch.ids), ID, "left_anti")
-    return Written(_patched(stored, batch), missing)
+    return Written(_with_words(_patched(stored, batch), stored), missing.union(refused))
 
 
 def write_upsert(stored: DataFrame, incoming: DataFrame, fields=None, position: str | None = None) -> Written:
     """As update, but unknown ids are inserted. A null never erases a value."""
     stored, incoming = prepare(stored, incoming, "upsert", fields, position)
+    incoming, refused = _without_id(incoming)
     batch = _keep_batch(_overlay(incoming))
     inserted = batch.rows.join(_stored_ids(stored, batch.ids), ID, "left_anti")
-    return Written(_union(_patched(stored, batch), inserted, fields_of(stored)), batch.rows.select(ID).limit(0))
+    table = _union(_patched(stored, batch), inserted, fields_of(stored))
+    return Written(_with_words(table, stored), refused)
 
 
 OPERATIONS = {"index": write_index, "create": write_create, "update": write_update, "upsert": write_upsert}
@@ -241,7 +268,10 @@ def update_where(df: DataFrame, field: str, value: Any, queries=None, filters=No
     dtype = df.schema[field].dataType
     constant = F.lit(None).cast(dtype) if value is None else F.lit(value).cast(dtype)
     table = marked.withColumn(field, F.when(F.col(_CHOSEN), constant).otherwise(F.col(field)))
-    return Edited(with_fields(table.drop(_CHOSEN), fields), _report(marked, F.lit(True)))
+    words = words_columns(df).get(field)
+    if words:
+        table = table.withColumn(words, F.when(~F.col(_CHOSEN), F.col(words)))
+    return Edited(_with_words(with_fields(table.drop(_CHOSEN), fields), df), _report(marked, F.lit(True)))
 
 
 def delete_where(df: DataFrame, queries=None, filters=None, ids=None) -> Edited:
@@ -290,7 +320,7 @@ def copy_where(
     fields: dict[str, Field] = {**known, **added}
     copies = found.select(ID, *columns)
     kept = destination.join(copies.select(ID), ID, "left_anti")
-    return _union(with_fields(kept, fields), copies, fields)
+    return _with_words(_union(with_fields(kept, fields), copies, fields), destination)
 
 
 def ids_from_identifiers(df: DataFrame, identifiers: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.dates import PARTS
@@ -10,6 +11,7 @@ from docsieve.operators.aggregate import (
     Metric,
     TopHits,
     aggregate,
+    bucket_order,
     bucket_page,
     field_stats,
     field_values,
@@ -303,9 +305,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     axes = ["o_orderstatus", Axis("o_orderdate", "year")]
-    # One short page, so the row numbers show the order the buckets come out in.
-    page = bucket_page(ordered(aggregate(orders(spark, sf_dir), axes), axes), axes)
-    return page.select("*", (F.monotonically_increasing_id() + 1).alias("place"))
+    buckets = ordered(aggregate(orders(spark, sf_dir), axes), axes)
+    place = F.row_number().over(Window.orderBy(*bucket_order(axes))).cast("bigint")
+    return buckets.select("*", place.alias("place"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsieve.operators.aggregate import Axis, aggregate, field_stats
@@ -103,9 +104,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     wide = pivot_wide(aggregate(documents(spark, sf_dir), ["source", "lang"]), "source", "lang", LANGS)
-    # One page of a table, so the row numbers show the order.
-    rows = sort_by_total(wide, LANGS).limit(1000)
-    return rows.select("*", (F.monotonically_increasing_id() + 1).alias("place"))
+    # All rows come out sorted, so their numbers show the order.
+    rows = sort_by_total(wide, LANGS)
+    return rows.select("*", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint").alias("place"))
 
 
 @query(

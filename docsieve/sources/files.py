@@ -26,7 +26,9 @@ def column_name(name: str) -> str:
 def source_csv(spark: SparkSession, path: str, separator: str = ",", multiline: bool = True) -> DataFrame:
     """A table with a header, all values as strings, without rows whose cells are all empty.
 
-    Texts may hold line breaks, so a file is read by one task; ``multiline=False`` lets Spark split big files.
+    Texts may hold line breaks, so a file is read by one task; ``multiline=False`` lets Spark split big files. In a
+    folder all files must have the same columns in the same order, else reading fails. A name that comes twice once
+    it is simplified gets a number.
     """
     df = (
         spark.read.option("header", True)
@@ -34,9 +36,17 @@ def source_csv(spark: SparkSession, path: str, separator: str = ",", multiline:
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .csv(path)
     )
-    return df.toDF(*[column_name(c) for c in df.columns]).dropna(how="all")
+    names: list[str] = []
+    for name in map(column_name, df.columns):
+        number, new = 1, name
+        while new in names:
+            number += 1
+            new = f"{name}_{number}"
+        names.append(new)
+    return df.toDF(*names).dropna(how="all")
 
 
 def sink_csv(df: DataFrame, path: str, separator: str = ",") -> None:

@@ -1,11 +1,13 @@
 """Taking document batches as they arrive.
 
-Every micro-batch is stored under its own number and replaced if it is sent again, so a restart changes nothing.
+Every micro-batch is stored under the id of its query and its own number, and replaced if it is sent again, so a restart
+changes nothing and several sources can share a folder. Batches count in the order in which they were stored.
 Batches are folded into the project when it is read, or when the caller writes the folded table out.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docsieve.operators.write import Written, write
 from docsieve.schema import Field
 
-_BATCH = "__batch"
+_BATCH, _QUERY, _TAKEN = "__batch", "__query", "__taken"
 _ORDER = "__order"
 
 
@@ -28,15 +30,17 @@ def watch_documents(spark: SparkSession, path: str, schema: T.StructType, file_f
 def ingest(
     documents: DataFrame, staging: str, checkpoint: str, position: str | None = None, every: str | None = None
 ) -> StreamingQuery:
-    """Start taking batches; returns the running query. ``position`` orders documents inside a batch.
+    """Start taking batches; returns the running query. ``position`` orders documents inside a batch, else their place
+    in its files does.
 
     It stops after what is there now, or goes on and looks ``every`` so often (as in "1 minute").
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        order = F.col(position) if position else F.lit(0)
-        rows = batch.withColumn(_ORDER, order.cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{staging}/{_BATCH}={number}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        order = F.col(position) if position else F.monotonically_increasing_id()
+        rows = batch.withColumn(_ORDER, order.cast("bigint")).withColumn(_TAKEN, F.lit(time.time_ns()))
+        rows.write.mode("overwrite").parquet(f"{staging}/{_QUERY}={query}/{_BATCH}={number}")
 
     return (
         documents.writeStream.foreachBatch(store)
@@ -51,6 +55,6 @@ def fold(
 ) -> Written:
     """The project with all taken batches applied in order."""
     batches = stored.sparkSession.read.option("basePath", staging).parquet(staging)
-    order = F.struct(F.col(_BATCH).cast("bigint").alias("batch"), F.col(_ORDER).alias("order"))
-    incoming = batches.withColumn("__place", order).drop(_BATCH, _ORDER)
+    order = F.struct(_TAKEN, F.col(_BATCH).cast("bigint").alias("batch"), F.col(_QUERY).cast("string").alias("query"), _ORDER)
+    incoming = batches.withColumn("__place", order).drop(_BATCH, _QUERY, _TAKEN, _ORDER)
     return write(operation, stored, incoming, fields, position="__place")

@@ -33,7 +33,7 @@ def test_pivot_and_totals(docs):
     assert values(column_stats(wide, ["x", "y"])) == [("x", 2, 0, 2), ("y", 2, 0, 2)]
     assert values(top_columns(buckets, "subcat", k=1)) == [("x", 2)]
     assert values(keep_top_columns(buckets, "subcat", k=1)) == [("x", "a", 2)]
-    assert pivot_wide(buckets, "cat", "subcat", k=1).columns == ["cat", "x"]
+    assert pivot_wide(buckets, "cat", "subcat").columns == ["cat", "x", "y"]
 
 
 def test_pivot_keeps_totals(spark):
