@@ -30,6 +30,13 @@ def naive(ts: Column) -> Column:
     return ts.cast(T.TimestampNTZType())
 
 
+def in_utc(ts: Column) -> Column:
+    """A moment with zone as its time in UTC, without zone, whatever the session's zone is."""
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    start = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def _day(ts: Column) -> Column:
     return ts.cast("date")
 

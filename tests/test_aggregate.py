@@ -109,7 +109,8 @@ def test_top_hits(docs):
 
 @pytest.fixture(scope="module")
 def dates6(spark):
-    stamps = ["2018-01-01T04:00", "2018-01-01T09:00", "2018-01-11T09:00", "2018-01-17T11:00", "2018-01-17T18:00", "2018-03-07T23:59"]
+    # Ends and beginnings of years, weeks that belong to the next year, and the borders of the parts of a day.
+    stamps = ["2021-12-31T23:10", "2022-01-03T05:30", "2022-01-03T13:00", "2022-02-28T06:00", "2022-05-14T17:59", "2019-12-30T00:00"]
     rows = [(str(i), s) for i, s in enumerate(stamps)]
     return spark.createDataFrame(rows, "_id string, date string").withColumn("date", F.col("date").cast("timestamp_ntz"))
 
@@ -117,16 +118,17 @@ def dates6(spark):
 @pytest.mark.parametrize(
     "part,expected",
     [
-        ("dayofweek", {"Monday": 2, "Wednesday": 3, "Thursday": 1}),
-        ("daypart", {"Night": 1, "Morning": 3, "Evening": 2}),
-        ("monthnr", {1: 5, 3: 1}),
-        ("yearnr", {2018: 6}),
-        ("decade", {2010: 6}),
-        ("dayofmonth", {1: 2, 11: 1, 17: 2, 7: 1}),
-        ("weeknr", {1: 2, 2: 1, 3: 2, 10: 1}),
-        ("hour", {dt.datetime(2018, 1, 1, 4): 1, dt.datetime(2018, 1, 1, 9): 1, dt.datetime(2018, 1, 11, 9): 1,
-                  dt.datetime(2018, 1, 17, 11): 1, dt.datetime(2018, 1, 17, 18): 1, dt.datetime(2018, 3, 7, 23): 1}),
-        ("week", {dt.date(2018, 1, 1): 2, dt.date(2018, 1, 8): 1, dt.date(2018, 1, 15): 2, dt.date(2018, 3, 5): 1}),
+        ("dayofweek", {"Friday": 1, "Monday": 4, "Saturday": 1}),
+        ("daypart", {"Night": 2, "Morning": 1, "Afternoon": 2, "Evening": 1}),
+        ("monthnr", {12: 2, 1: 2, 2: 1, 5: 1}),
+        ("yearnr", {2019: 1, 2021: 1, 2022: 4}),
+        ("decade", {2010: 1, 2020: 5}),
+        ("dayofmonth", {31: 1, 3: 2, 28: 1, 14: 1, 30: 1}),
+        ("weeknr", {52: 1, 1: 3, 9: 1, 19: 1}),
+        ("hour", {dt.datetime(2021, 12, 31, 23): 1, dt.datetime(2022, 1, 3, 5): 1, dt.datetime(2022, 1, 3, 13): 1,
+                  dt.datetime(2022, 2, 28, 6): 1, dt.datetime(2022, 5, 14, 17): 1, dt.datetime(2019, 12, 30, 0): 1}),
+        ("week", {dt.date(2021, 12, 27): 1, dt.date(2022, 1, 3): 2, dt.date(2022, 2, 28): 1, dt.date(2022, 5, 9): 1,
+                  dt.date(2019, 12, 30): 1}),
     ],
 )
 def test_date_parts(dates6, part, expected):
@@ -135,7 +137,7 @@ def test_date_parts(dates6, part, expected):
 
 def test_two_parts(dates6):
     found = as_dict(aggregate(dates6, [Axis("date", "monthnr"), Axis("date", "dayofmonth")]))
-    assert found == {(1, 1): 2, (1, 11): 1, (1, 17): 2, (3, 7): 1}
+    assert found == {(12, 31): 1, (1, 3): 2, (2, 28): 1, (5, 14): 1, (12, 30): 1}
 
 
 def test_dates_do_not_depend_on_the_session_zone(dates6, spark):

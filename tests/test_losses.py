@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.dates import number_bucket
 from docsieve.functions.text import store_words
-from docsieve.operators.aggregate import field_values
+from docsieve.operators.aggregate import Axis, aggregate, field_values
 from docsieve.operators.objects import reconcile_objects
 from docsieve.operators.search import batches, search
-from docsieve.operators.shape import pivot_wide
+from docsieve.operators.shape import drill_down, pivot_wide
 from docsieve.operators.write import copy_where, update_where, write
 from docsieve.schema import declare
 from docsieve.sources.files import source_csv
+from docsieve.sources.projects import read_project
 from docsieve.streaming.ingest import fold, ingest, watch_documents
 
 
@@ -121,3 +122,21 @@ def test_number_buckets(spark):
 
 def test_a_thousand_labels(spark, docs):
     assert ids(search(docs, [f"w{i}" for i in range(1000)] + ["toto"])) == ["2", "3"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_buckets_of_zoned_dates_hold_their_documents(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    moments = ["2024-03-31T23:30:00Z", "2024-04-01T00:30:00Z", "1969-12-31T23:59:59.5Z"]
+    df = spark.createDataFrame([(str(i), m) for i, m in enumerate(moments)], "_id string, at string")
+    df.select("_id", F.col("at").cast("timestamp").alias("at")).write.parquet(f"{tmp_path}/zoned")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        project = read_project(spark, f"{tmp_path}/zoned", fields={"at": "date"})
+        axis = Axis("at", "month")
+        found = {r["at_month"]: r["n"] for r in aggregate(project, [axis]).collect()}
+        assert found == {dt.date(2024, 3, 1): 1, dt.date(2024, 4, 1): 1, dt.date(1969, 12, 1): 1}
+        for month, n in found.items():
+            assert drill_down(project, [axis], {"at_month": month}).count() == n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
