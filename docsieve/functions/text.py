@@ -418,7 +418,7 @@ _CLAUSE = re.compile(
     r"""\s*(?:
         (?P<joint>AND|OR|NOT|&&|\|\|)(?=\s|$)
       | (?P<sign>[-+!])?(?:(?P<field>[\w.]+):)?
-        (?: "(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))? | /(?P<regex>[^/]+)/ | (?P<term>[^\s"()]+) )
+        (?: (?P<group>\() | "(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))? | /(?P<regex>[^/]+)/ | (?P<term>[^\s"()]+) )
     )""",
     re.VERBOSE,
 )
@@ -434,16 +434,25 @@ def _term(text: str) -> Query:
 
 
 def shorthand(text: str) -> Query:
-    """Read a flat typed query: words, "phrases", pre*, te?t, /regex/, word~1, "a b"~5, field:word,
-    joined by AND, OR, NOT, + and -. Words side by side mean OR. Groups are written as a tree instead.
+    """Read a typed query: words, "phrases", pre*, te?t, /regex/, word~1, "a b"~5, field:word, (groups),
+    joined by AND, OR, NOT, + and -. Words side by side mean OR.
     """
+    query, end = _read(text.strip(), 0, False)
+    return query
+
+
+def _read(text: str, at: int, inside: bool) -> tuple[Query, int]:
+    """A query up to the end of the text or, ``inside`` a group, to its closing bracket; and where that ends."""
     clauses: list[tuple[str, Query]] = []  # (must | should | not, query)
-    joint, negate, at = None, False, 0
-    text = text.strip()
+    joint, negate, closed = None, False, False
     while at < len(text):
+        closing = re.compile(r"\s*\)").match(text, at)
+        if closing and inside:
+            at, closed = closing.end(), True
+            break
         clause = _CLAUSE.match(text, at)
-        if not clause:
-            raise ValueError(f"cannot read {text[at:]!r}: build groups with &, | and ~")
+        if not clause or (clause["group"] and clause["field"]):
+            raise ValueError(f"cannot read {text[at:]!r}")
         at = clause.end()
         if clause["joint"]:
             if clause["joint"] == "NOT":
@@ -451,7 +460,9 @@ def shorthand(text: str) -> Query:
             else:
                 joint = clause["joint"]
             continue
-        if clause["field"] == "_exists_":
+        if clause["group"]:
+            query, at = _read(text, at, True)
+        elif clause["field"] == "_exists_":
             query: Query = Exists(clause["term"])
         elif clause["phrase"] is not None:
             query = Near(clause["phrase"], int(clause["slop"])) if clause["slop"] else Phrase(clause["phrase"])
@@ -471,6 +482,8 @@ def shorthand(text: str) -> Query:
         clauses.append((occur, query))
         joint, negate = None, False
 
+    if inside and not closed:
+        raise ValueError("a bracket is not closed")
     by = {kind: tuple(q for occur, q in clauses if occur == kind) for kind in ("must", "should", "not")}
     parts: list[Query] = list(by["must"])
     if by["should"] and not by["must"]:
@@ -481,7 +494,7 @@ def shorthand(text: str) -> Query:
         parts.append(_Optional(by["should"]))
     if not parts:
         raise ValueError("empty query")
-    return parts[0] if len(parts) == 1 else AllOf(tuple(parts))
+    return (parts[0] if len(parts) == 1 else AllOf(tuple(parts))), at
 
 
 class _Optional(_Group):

@@ -5,15 +5,15 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from docsieve.functions.text import AnyOf, Word
 from docsieve.operators.aggregate import aggregate
 from docsieve.operators.filters import select
 from docsieve.operators.write import _last
+from docsieve.plans import all_queries
 from docsieve.plans.corpora import documents, events
 
 SF = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
+QUERIES = all_queries()
 
 
 def plan(df) -> str:

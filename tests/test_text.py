@@ -6,6 +6,7 @@ import random
 
 import pytest
 import regex
+from conftest import ids
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as X
@@ -146,3 +147,24 @@ def test_merging_and_stripping_marks(spark):
     df = spark.createDataFrame([("<em>a</em> <em>b</em>, <em>c</em>",)], "t string")
     row = df.select(highlight_merge(F.col("t")), highlight_strip(F.col("t"))).first()
     assert tuple(row) == ("<em>a b</em>, <em>c</em>", "a b, c")
+
+
+@pytest.mark.parametrize(
+    "query,found",
+    [
+        ("(toto OR title) AND test", ["1", "2"]),
+        ("(this AND toto) OR (text AND test)", ["1", "2"]),
+        ("text -(test OR toto)", ["0"]),
+        ("+(this OR test*) +toto", ["2", "3"]),
+        ('((("a text")))', ["0"]),
+        ("NOT (text OR toto)", []),
+    ],
+)
+def test_groups_in_typed_queries(docs, query, found):
+    assert ids(search(docs, query)) == found
+
+
+@pytest.mark.parametrize("query", ["(a", "a)", "()", "text:(a b)", "(a AND (b)"])
+def test_unreadable_groups(query):
+    with pytest.raises(ValueError):
+        X.shorthand(query)
