@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,24 +16,68 @@ from pyspark.sql import DataFrame
 from docsieve.llm.shared import arrow_map, slices, text_of
 
 SPACE_MARK = "▁"
-# Words are remembered with their ids up to this number and length; beyond it the memory starts anew.
-MEMO_WORDS = 800_000
+# Short stretches of text are remembered with their ids: twice this many at most, none longer than the second number.
+MEMO_STRETCHES = 400_000
 MEMO_LENGTH = 64
+# An agenda of so many pairs or fewer is a list searched for its best pair, a longer one a heap. Both merge alike.
+LIST_AGENDA = 48
+NEVER = 1 << 60
 
 
 class _Memo(dict):
-    """Remembers the ids of words; those of very long ones are made anew each time."""
+    """Remembers the ids of stretches, as bytes; those of very long ones are made anew each time.
+
+    Full, it becomes the old half; what is looked up there moves over, and the rest goes when the new half is full.
+    """
 
     def __init__(self, make: Callable[[str], list[int]]) -> None:
         super().__init__()
         self.make = make
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.make(word)
-        if len(word) <= MEMO_LENGTH:
-            self[word] = ids
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.old.get(stretch)
+        if ids is None:
+            ids = array("i", self.make(stretch)).tobytes()
+        if len(stretch) <= MEMO_LENGTH:
+            self[stretch] = ids
         return ids
 
+    def turn(self) -> None:
+        """Start a new half if this one is full."""
+        if len(self) > MEMO_STRETCHES:
+            self.old = dict(self)
+            self.clear()
+
+
+def _stretches(pieces: Iterable[str]) -> re.Pattern:
+    """Cuts a text where no piece has the characters on both sides next to each other, so that no merge can cross.
+
+    Characters that pieces join, directly or through others, are one class; the space mark belongs to what follows it
+    where no piece has it after another character. A stretch is a run of one class; a character in no class stands alone.
+    """
+    joined = {both for piece in pieces for both in zip(piece, piece[1:])}
+    if any(b == SPACE_MARK != a for a, b in joined):
+        return re.compile("(?s).+")
+    leader: dict[str, str] = {}
+
+    def find(char: str) -> str:
+        while leader.setdefault(char, char) != char:
+            char = leader[char]
+        return char
+
+    for a, b in joined:
+        if a != SPACE_MARK:
+            leader[find(a)] = find(b)
+        else:
+            find(b)
+    leader.pop(SPACE_MARK, None)
+    classes: dict[str, list[str]] = {}
+    for char in leader:
+        classes.setdefault(find(char), []).append(char)
+    runs = [f"{SPACE_MARK}*[{re.escape(''.join(sorted(c)))}]+" for c in sorted(classes.values(), key=len, reverse=True)]
+    return re.compile("(?s)" + "|".join([*runs, f"{SPACE_MARK}+", "."]))
+
 
 class Pieces:
     """Encoder for merge-type vocabularies (``piece_bpe``) with byte fallback, from the bytes of a model file."""
@@ -53,15 +97,16 @@ class Pieces:
         self.rank = {piece: ranked[score] for piece, score in self.scores.items()}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        # Where no piece goes on past the end of a word, words can be encoded one by one, with the same result.
-        self.by_word = not any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece in self.ids)
-        self.segment = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-        self.memo = _Memo(self.segment_ids)
+        self.decimal = [str(i) for i in range(n)]
+        self.stretch = _stretches(self.ids)
+        self.memo = _Memo(self.stretch_ids)
 
     def symbols(self, text: str) -> list[str]:
         """Merge adjacent symbols, best score first and leftmost among equals, until no pair is a piece."""
         parts: list[str] = list(text)
         size = len(parts)
+        if size <= LIST_AGENDA:
+            return self._short_symbols(parts)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
         # An entry is the pair's rank times the size, plus the left symbol's place: one number orders by both.
         rank, agenda, pairs = self.rank, [], {}
@@ -98,9 +143,25 @@ class Pieces:
                     heapq.heappush(agenda, entry)
         return [p for p in parts if p]
 
-    def segment_ids(self, segment: str) -> list[int]:
+    def _short_symbols(self, parts: list[str]) -> list[str]:
+        rank = self.rank.get
+        agenda = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            left = agenda.index(best)
+            merged = parts[left] = parts[left] + parts.pop(left + 1)
+            del agenda[left]
+            if left:
+                agenda[left - 1] = rank(parts[left - 1] + merged, NEVER)
+            if left < len(agenda):
+                agenda[left] = rank(merged + parts[left + 1], NEVER)
+        return parts
+
+    def stretch_ids(self, stretch: str) -> list[int]:
         out: list[int] = []
-        for symbol in self.symbols(segment):
+        for symbol in self.symbols(stretch):
             found = self.ids.get(symbol)
             if found is not None:
                 out.append(found)
@@ -112,14 +173,13 @@ class Pieces:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, without an end id."""
-        spelled = self.library.normalize(text)
-        if not spelled:
-            return []
-        if not self.by_word:
-            return self.segment_ids(spelled)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.segment.findall(spelled))))
+        self.memo.turn()
+        found = self.stretch.findall(self.library.normalize(text))
+        return array("i", b"".join(map(self.memo.__getitem__, found))).tolist()
+
+    def written(self, ids: list[int]) -> str:
+        """The decimal ids, joined by a blank."""
+        return " ".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -127,7 +187,7 @@ class Pieces:
 
 @lru_cache(maxsize=1)
 def pieces_of(model: bytes) -> Pieces:
-    """The encoder of a model; the tasks that follow each other in a Python worker share it and its memory of words."""
+    """The encoder of a model; the tasks that follow each other in a Python worker share it and its memory of stretches."""
     return Pieces(model)
 
 
@@ -170,7 +230,7 @@ def encode_pieces(
                 columns |= {"ids": pa.array(found, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
             columns |= {
                 "n_tokens": pa.array([len(one) for one in found], pa.int64()),
-                "ids_sha256": pa.array([_digest(" ".join(map(str, one))) for one in found], pa.string()),
+                "ids_sha256": pa.array([_digest(pieces.written(one)) for one in found], pa.string()),
                 "decoded_sha256": pa.array([_digest(one) for one in decoded], pa.string()),
             }
             return pa.RecordBatch.from_pydict(columns)

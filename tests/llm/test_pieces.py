@@ -32,9 +32,30 @@ def test_like_the_library(pieces, library, dice, texts):
         assert pieces.encode(text) == library.encode(text), text
 
 
-def test_whole_text_like_word_by_word(pieces, texts):
+def test_whole_text_like_stretch_by_stretch(pieces, texts):
     for text in list(texts.values())[:10]:
-        assert pieces.segment_ids(pieces.library.normalize(text[:2000])) == pieces.encode(text[:2000])
+        assert pieces.stretch_ids(pieces.library.normalize(text[:2000])) == pieces.encode(text[:2000])
+
+
+def test_both_agendas_merge_alike(pieces, dice, monkeypatch):
+    words = ["".join(dice.choices("aeinorst▁.,é\nß你", k=dice.randrange(60))) for _ in range(500)]
+    monkeypatch.setattr("docsieve.llm.pieces.LIST_AGENDA", 100)
+    listed = [pieces.symbols(word) for word in words]
+    monkeypatch.setattr("docsieve.llm.pieces.LIST_AGENDA", 0)
+    assert [pieces.symbols(word) for word in words] == listed
+
+
+def test_no_piece_reaches_past_a_stretch(pieces):
+    for piece in pieces.ids:
+        assert pieces.stretch.findall(piece) == [piece]
+    assert pieces.stretch.findall("▁▁the.\nIt▁7é") == ["▁▁the", ".", "\n", "It", "▁", "7", "é"]
+
+
+def test_a_full_memory_forgets_in_halves(pieces, library, texts, monkeypatch):
+    monkeypatch.setattr("docsieve.llm.pieces.MEMO_STRETCHES", 20)
+    for text in texts.values():
+        assert pieces.encode(text) == library.encode(text)
+    assert pieces.memo.old
 
 
 def test_agenda_takes_the_best_pair_first(pieces):
