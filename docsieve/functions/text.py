@@ -297,21 +297,28 @@ class Near(Leaf):
 
     def on_text(self, subject: Subject) -> Column:
         terms = words_of(self.text)
-        if len(set(terms)) < len(terms):
-            raise ValueError("the words of a near query must differ")
+        places = {term: [i for i, other in enumerate(terms) if other == term] for term in terms}
         padding = F.array(*[F.lit("")] * (len(terms) - 1)) if len(terms) > 1 else F.array().cast("array<string>")
         bound = F.array(F.concat(padding, subject.words()))
 
-        # Moving word i back by i places, all words must fall into a span of slop + 1 places.
+        # Moving word i back by i places, all words must fall into a span of slop + 1 places. A word given several times
+        # needs a place for each: any run of its spans must hold it as often as there are spans (Hall's condition).
         def fits(tokens: Column) -> Column:
-            return F.exists(
-                F.sequence(F.lit(1), F.size(tokens)),
-                lambda at: all_true(
-                    F.array_contains(F.slice(tokens, at + i, self.slop + 1), term) for i, term in enumerate(terms)
-                ),
-            )
-
-        return subject.may_hold(terms) & F.exists(bound, fits)
+            def held(at: Column) -> Column:
+                tests = [F.array_contains(F.slice(tokens, at + i, self.slop + 1), t) for i, t in enumerate(terms)]
+                for term, own in places.items():
+                    for a, first in enumerate(own):
+                        for b, last in enumerate(own[a + 1 :], a + 1):
+                            span = F.slice(tokens, at + first, last - first + self.slop + 1)
+                            tests.append(F.size(F.filter(span, lambda t: t == F.lit(term))) > b - a)
+                return all_true(tests)
+
+            return F.exists(F.sequence(F.lit(1), F.size(tokens)), held)
+
+        found = subject.may_hold(terms)
+        if subject.stored is None:  # only texts that have all words are split
+            found = all_true([found, *[subject.lower.rlike(whole_word(term)) for term in places]])
+        return found & F.exists(bound, fits)
 
     def keyword_test(self, value: Column) -> Column:
         return value == F.lit(self.text)

@@ -16,6 +16,7 @@ from docsieve.functions.text import labelled
 from docsieve.operators.aggregate import QUERY, Axis
 from docsieve.operators.filters import Filter, select, time_span
 from docsieve.schema import fields_of
+from docsieve.session import keep
 
 TOP_COLUMNS = 10
 
@@ -27,7 +28,8 @@ def top_columns(buckets: DataFrame, column_axis: str, target: str = "n", k: int
 
 
 def keep_top_columns(buckets: DataFrame, column_axis: str, target: str = "n", k: int = TOP_COLUMNS) -> DataFrame:
-    """Bucket rows of the top columns only, before a pivot widens them."""
+    """Bucket rows of the top columns only, before a pivot widens them. The buckets are counted once and kept."""
+    buckets = keep(buckets, "buckets")
     # At most k rows, so this side is always small enough to send everywhere.
     top = F.broadcast(top_columns(buckets, column_axis, target, k).select(column_axis))
     return buckets.join(top, column_axis, "left_semi")
@@ -43,6 +45,7 @@ def pivot_wide(
     """The second axis becomes columns; missing cells are 0. Without a column list all values are taken, those with the
     largest sums first; `keep_top_columns` cuts them before. Spark refuses more than ``spark.sql.pivotMaxValues``."""
     if columns is None:
+        buckets = keep(buckets, "buckets")
         most = int(buckets.sparkSession.conf.get("spark.sql.pivotMaxValues"))
         columns = [row[0] for row in top_columns(buckets, column_axis, target, most + 1).collect()]
         if len(columns) > most:
@@ -57,9 +60,10 @@ def _filled(domain: DataFrame, buckets: DataFrame, axis: str) -> DataFrame:
 
 
 def zero_fill_dates(buckets: DataFrame, axis: str, interval: str) -> DataFrame:
-    """Add empty buckets between the first and the last."""
+    """Add empty buckets between the first and the last. The buckets are counted once and kept."""
     if interval not in dates.STEPS:
         raise ValueError(f"no steps for interval {interval!r}")
+    buckets = keep(buckets, "buckets")
     day = F.col(axis).cast("date")
     step = F.expr(f"interval {dates.STEPS[interval]}")
     ends = buckets.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first is not null")
@@ -68,12 +72,14 @@ def zero_fill_dates(buckets: DataFrame, axis: str, interval: str) -> DataFrame:
 
 
 def zero_fill_parts(buckets: DataFrame, axis: str, part: str) -> DataFrame:
-    """Add missing months, weekdays or dayparts; years or decades between the first and the last."""
+    """Add missing months, weekdays or dayparts; years or decades between the first and the last, for which the buckets
+    are counted once and kept."""
     spark, dtype = buckets.sparkSession, buckets.schema[axis].dataType
     fixed = {"monthnr": range(1, 13), "dayofweek": dates.WEEKDAYS, "daypart": dates.DAYPARTS}
     if part in fixed:
         domain = spark.createDataFrame([(v,) for v in fixed[part]], [axis])
     elif part in ("yearnr", "decade"):
+        buckets = keep(buckets, "buckets")
         ends = buckets.agg(F.min(axis).alias("first"), F.max(axis).alias("last")).where("first is not null")
         step = F.lit(10 if part == "decade" else 1)
         domain = ends.select(F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"), step)).alias(axis))

@@ -304,7 +304,7 @@ def copy_where(
     field_options: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> DataFrame:
     """Copy matches into another table. Per field: ``rename``, ``exclude``, or ``type`` for a new field.
-    An id that exists in the destination is replaced."""
+    An id that exists in the destination is replaced. The matches are found once and kept."""
     options, known = field_options or {}, fields_of(destination)
     found, columns, added = select(source, queries, filters), [], {}
     for name, field in fields_of(source).items():
@@ -318,9 +318,9 @@ def copy_where(
         value = stored_value(F.col(name), source.schema[name].dataType, target_type)
         columns.append(value.cast(SPARK_TYPES[target_type]).alias(target))
     fields: dict[str, Field] = {**known, **added}
-    copies = found.select(ID, *columns)
-    kept = destination.join(copies.select(ID), ID, "left_anti")
-    return _with_words(_union(with_fields(kept, fields), copies, fields), destination)
+    copies = _keep_batch(found.select(ID, *columns))
+    kept = destination.join(copies.ids, ID, "left_anti")
+    return _with_words(_union(with_fields(kept, fields), copies.rows, fields), destination)
 
 
 def ids_from_identifiers(df: DataFrame, identifiers: Sequence[str]) -> DataFrame:

@@ -74,10 +74,10 @@ _OVERLAY = f"""(SELECT _id, arg_max(source, position) FILTER (source IS NOT NULL
 
 
 def _shown(df):
-    return df.select("_id", "source", "lang", F.length("text").alias("length"), F.coalesce("n_chars", F.lit(-1)).alias("n"))
+    return df.select("_id", "source", "lang", F.md5("text").alias("text"), F.coalesce("n_chars", F.lit(-1)).alias("n"))
 
 
-_SHOW = "_id, source, lang, CAST(length(text) AS INTEGER) AS length, coalesce(n_chars, -1) AS n"
+_SHOW = "_id, source, lang, md5(text) AS text, coalesce(n_chars, -1) AS n"
 
 
 @query("upsert_join", f"SELECT DISTINCT _id, _id IN (SELECT _id FROM {DOCUMENTS}) AS stored FROM {_CHANGES}")

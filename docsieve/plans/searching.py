@@ -30,7 +30,7 @@ from docsieve.plans.corpora import (
     words_sql,
 )
 from docsieve.plans.registry import query
-from docsieve.schema import Snippet
+from docsieve.schema import Field, Snippet
 from docsieve.sources.projects import scan_multi, scan_project
 
 N = joined_sql("text")
@@ -133,8 +133,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     # Two projects with different limits: what is shown keeps to the smaller one.
-    other = {**limited_fields(), "text": limited_fields()["text"]}
-    allowed = allowed_fields([limited_fields(), other], ["METAREADER", "READER"])
+    other = {**limited_fields(), "text": Field("text", access="snippet", max_snippet=Snippet(90, 3, 60))}
+    allowed = allowed_fields([limited_fields(), other], ["METAREADER", "METAREADER"])
     return project_allowed(documents(spark, sf_dir), allowed)
 
 
@@ -319,6 +319,17 @@ def _(spark, sf_dir):
     return search(documents(spark, sf_dir), '"by with"~4', page=None)
 
 
+@query(
+    "match_near_repeated",
+    f"""WITH w AS (SELECT _id, unnest(range(1, len(t) + 1)) AS p, unnest(t) AS word
+          FROM (SELECT _id, {words_sql("text")} AS t FROM {DOCUMENTS})),
+        the AS (SELECT _id, p, lead(p) OVER (PARTITION BY _id ORDER BY p) AS q FROM w WHERE word = 'the')
+        SELECT DISTINCT _id FROM the WHERE q - 1 - p <= 2""",
+)
+def _(spark, sf_dir):
+    return search(documents(spark, sf_dir), '"the the"~2', page=None)
+
+
 @query(
     "match_fuzzy",
     f"SELECT _id FROM {DOCUMENTS} WHERE len(list_filter({words_sql('text')},"

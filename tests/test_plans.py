@@ -67,6 +67,15 @@ def test_no_query_uses_python_workers_or_cross_joins(spark):
             assert node not in text, (name, node)
 
 
+@pytest.mark.parametrize(
+    "name,source",
+    [("copy_where", "documents"), ("zero_fill_dates", "orders"), ("zero_fill_decades", "orders"), ("top_columns", "documents")],
+)
+def test_results_needed_twice_are_made_once(spark, name, source):
+    text = plan(QUERIES[name](spark, SF))
+    assert f"{source}.parquet" not in text and text.count("/docsieve/") == 2
+
+
 def test_a_hot_bucket_is_combined_before_the_shuffle(spark):
     df = events(spark, SF).withColumn("event_type", F.lit("click"))
     text = plan(aggregate(df, ["event_type"]))

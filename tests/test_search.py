@@ -6,7 +6,7 @@ import pytest
 from conftest import ids, values
 from pyspark.sql import functions as F
 
-from docsieve.functions.text import Fuzzy, Near, Phrase, Prefix, Regex, Wildcard, Word, labelled, split_labels, store_words
+from docsieve.functions.text import Fuzzy, Phrase, Prefix, Regex, Wildcard, Word, labelled, split_labels, store_words
 from docsieve.operators.filters import MAX_LITERAL_IDS, Filter, id_list, mark_selected, select
 from docsieve.operators.search import batches, next_batch, page_meta, project_fields, search, sort_documents
 from docsieve.schema import Snippet, declare
@@ -59,9 +59,10 @@ def test_queries(docs, query, expected):
     assert marked.where("hit is null").count() == 0
 
 
-def test_groups_are_refused_in_typed_queries(docs):
-    with pytest.raises(ValueError):
-        select(docs, "(this OR that) AND test")
+def test_groups_in_typed_queries(docs):
+    tree = (Word("this") | Word("that")) & Word("test")
+    assert ids(select(docs, "(this OR that) AND test")) == ids(select(docs, tree))
+    assert ids(select(docs, "this OR (that AND test)")) == ids(select(docs, Word("this") | Word("that") & Word("test")))
 
 
 def test_query_shorthands():
@@ -74,8 +75,6 @@ def test_query_shorthands():
 def test_leaves_check_their_arguments(docs):
     with pytest.raises(ValueError):
         Fuzzy("x", 3)
-    with pytest.raises(ValueError):
-        select(docs, Near("a a", 2))
     assert ids(select(docs, Wildcard("?est") | Regex("tot.+"))) == ["1", "2", "3"]
 
 

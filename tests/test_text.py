@@ -57,15 +57,24 @@ def test_phrase_patterns(frame, texts, phrase):
 
 
 def near(ws, terms, slop):
-    places = [[p - i for p, w in enumerate(ws) if w == t] for i, t in enumerate(terms)]
-    starts = [p for group in places for p in group]
-    return any(all(any(m <= p <= m + slop for p in group) for group in places) for m in starts)
+    def placed(start, i, taken):
+        spans = range(max(0, start + i), min(len(ws), start + i + slop + 1))
+        return i == len(terms) or any(
+            ws[p] == terms[i] and p not in taken and placed(start, i + 1, taken | {p}) for p in spans
+        )
 
+    return any(placed(start, 0, frozenset()) for start in range(-len(terms) - slop, len(ws) + 1))
 
-@pytest.mark.parametrize("terms,slop", [("te a", 1), ("a te", 2), ("a test ab", 2), ("ab a", 0), ("x1", 3)])
+
+NEAR = [("te a", 1), ("a te", 2), ("a test ab", 2), ("ab a", 0), ("x1", 3), ("a a", 2), ("test te test", 3), ("te te te", 1)]
+
+
+@pytest.mark.parametrize("terms,slop", NEAR)
 def test_near(frame, texts, terms, slop):
     found = {int(r["_id"]) for r in frame.where(X.match(frame, X.Near(terms, slop))).collect()}
     assert found == {i for i, t in enumerate(texts) if near(X.words_of(t), terms.split(), slop)}
+    stored = X.store_words(frame, "text")
+    assert found == {int(r["_id"]) for r in stored.where(X.match(stored, X.Near(terms, slop))).collect()}
 
 
 def edits(a, b):
