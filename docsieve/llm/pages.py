@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from docsieve.llm.shared import arrow_map, keep, slices, text_of
 from docsieve.llm.urls import host_and_path
 
-# A class of tokens is valid if it has so many tokens and is found on so many pages, and on this share of the host's.
+# A class of tokens is valid if it has so many tokens and is found on so many distinct pages, and on this share of the host's.
 MIN_TOKENS = 3
 MIN_PAGES = 4
 MIN_SHARE = 0.9
@@ -203,8 +204,41 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def _distinct_pages(pages: DataFrame) -> DataFrame:
+    """Per host one row for all pages with the same text: a hash of that text, and the page's tokens with their numbers.
+
+    The text is what a page has without a template, so copies under other urls or with other menus are one page. Of the
+    tokens of copies the smallest are taken, whatever the order; copies are folded in the tasks before the shuffle.
+    """
+
+    def each():
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for part in slices(batch, 1, 8_000_000):
+                found: dict[tuple[str, bytes], bytes] = {}
+                for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    page = tokens(html)
+                    text = " ".join(main_text(page, {}).split())
+                    key = host, blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest()
+                    count = sorted(Counter(n.key for n in page if n.key).items())
+                    packed = np.array(count, "<u8").tobytes()
+                    found[key] = min(found.get(key, packed), packed)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k[0] for k in found], pa.string()),
+                        pa.array(np.frombuffer(b"".join(k[1] for k in found), "<i8")),
+                        pa.array(list(found.values()), pa.binary()),
+                    ],
+                    ["host", "page", "tokens"],
+                )
+
+        return work
+
+    rows = arrow_map(pages.select("host", "html"), "host string, page bigint, tokens binary", each)
+    return rows.groupBy("host", "page").agg(F.min("tokens").alias("tokens"))
+
+
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """Per host and token, summed per task: pages, occurrences, and a hash of the occurrence vector.
+    """Per host and token, summed per task: distinct pages, occurrences, and a hash of the occurrence vector.
 
     The vector has a number per page. Its hash is the sum over pages of a hash of page and number, so parts can be added
     up in any order. Token 0 is a page itself.
@@ -214,12 +248,11 @@ def _occurrences(pages: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in slices(batch, 2, 8_000_000):
                 sums: dict[tuple[str, int], list[int]] = {}
-                hosts, pages_, texts = (part.column(i).to_pylist() for i in range(3))
-                for host, page, html in zip(hosts, pages_, texts):
-                    count = Counter(n.key for n in tokens(html) if n.key)
-                    count[0] = 1
-                    keys = list(count)
-                    times = np.fromiter(count.values(), np.uint64, len(keys))
+                hosts, pages_, packed = (part.column(i).to_pylist() for i in range(3))
+                for host, page, counted in zip(hosts, pages_, packed):
+                    count = np.frombuffer(counted, "<u8").reshape(-1, 2)
+                    keys = [0, *count[:, 0].tolist()]
+                    times = np.concatenate([np.ones(1, np.uint64), count[:, 1]])
                     marks = _mix(np.uint64(page % (1 << 64)) + times * np.uint64(0x9E3779B97F4A7C15)).tolist()
                     for key, n, mark in zip(keys, times.tolist(), marks):
                         found = sums.get((host, key))
@@ -244,14 +277,14 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 
         return work
 
-    return arrow_map(pages, "host string, token bigint, pages bigint, times bigint, vector bigint", each)
+    return arrow_map(_distinct_pages(pages), "host string, token bigint, pages bigint, times bigint, vector bigint", each)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): per host the tokens of its equivalence classes, as pairs of 64-bit numbers token, class.
 
-    Tokens with one occurrence vector form a class. Classes need MIN_TOKENS tokens and nearly all of the host's pages,
-    so a host's template is no longer than its pages are, and one row a host is bounded.
+    Tokens with one occurrence vector form a class. Classes need MIN_TOKENS tokens and nearly all of the host's distinct
+    pages, so that an article that comes often is not taken for a template, and a host's template is no longer than its pages are, and one row a host is bounded.
     """
     seen = _occurrences(pages).groupBy("host", "token").agg(
         F.sum("pages").alias("pages"),
@@ -280,14 +313,14 @@ def extract_main(df: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     Character references are decoded, white space inside a block becomes one blank, blocks are joined by line feeds.
     A null html counts as empty and has an empty text; a null url belongs to the empty host. Hosts with fewer than
-    MIN_PAGES pages have no template. Repeated rows are pages each. Other columns are not read. A host that holds a
-    large part of all pages is summed in the tasks, and its pages are dealt out by the join's skew handling.
+    MIN_PAGES distinct pages have no template; rows of a host whose text is the same before a template is dropped are one
+    page there, whatever their number, urls and menus. Every row still has its result. Other columns are not read. A host
+    that holds a large part of all pages is summed in the tasks, and its pages are dealt out by the join's skew handling.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (page_id, url)}
     host = host_and_path(F.col(url))[0]
     pages = df.select(df[page_id].alias("page_id"), df[url].alias("url"), host.alias("host"), text_of(df[html]).alias("html"))
-    page = F.xxhash64("page_id", "url", "html")
-    known = keep(templates(pages.select("host", page.alias("page"), "html")), "page-templates")
+    known = keep(templates(pages.select("host", "html")), "page-templates")
     rows = pages.join(known, "host", "left").select("page_id", "url", "html", "template")
     schema = f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_chars bigint"
 

@@ -91,3 +91,31 @@ def test_odd(spark):
     found = sorted(((r["page_id"] or 0), r["text"]) for r in extract_main(df).collect())
     assert found == [(0, ""), (1, "x"), (1, "x"), (2, ""), (3, ("long " * 100_000).strip())]
     assert extract_main(df.limit(0)).collect() == []
+
+
+def texts_of(spark, rows):
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in extract_main(df).collect()}
+
+
+def test_repeated_rows_keep_their_text(spark):
+    """Copies of a page are no template: ten equal rows, with or without a few other pages beside them."""
+    html = "<html><body><div><p>x</p><p>y</p></div></body></html>"
+    assert texts_of(spark, [(i, "http://h.org/a", html) for i in range(10)]) == dict.fromkeys(range(10), "x\ny")
+    mixed = [(i, "http://h.org/a", html) for i in range(60)]
+    mixed += [(60 + i, f"http://h.org/{i}", f"<html><body><div><p>other {i}</p></div></body></html>") for i in range(4)]
+    found = texts_of(spark, mixed)
+    assert [found[i] for i in range(64)] == ["x\ny"] * 60 + [f"other {i}" for i in range(4)]
+
+
+def test_one_article_under_many_urls(spark):
+    """The same article under ten urls of a host, each with a menu and links of its own, keeps its text."""
+    html = "<body><nav>here: {0}</nav><article><h1>Title</h1><p>One <a href='?page={0}'>story</a>.</p><p>End.</p></article></body>"
+    rows = [(i, f"http://h.org/a?utm_source=s{i}&page={i}", html.format(i)) for i in range(10)]
+    assert texts_of(spark, rows) == dict.fromkeys(range(10), "Title\nOne story.\nEnd.")
+    # Where there are enough different pages, the template is found as before, and copies get it too.
+    pages = pages_of_a_host(spark).select("page_id", "url", "html").collect()
+    copies = [(100 + i, f"http://h.org/copy/{i}", pages[0]["html"]) for i in range(80)]
+    found = texts_of(spark, [tuple(r) for r in pages] + copies)
+    assert found[1] == "Title 1\nStory 1 goes on.\nStory 1 goes on."
+    assert found[100] == found[0] == "Title 0\nStory 0 goes on."
