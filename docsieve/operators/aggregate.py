@@ -16,10 +16,11 @@ from docsieve.functions.text import all_true, label_matches, labelled
 from docsieve.operators.filters import select
 from docsieve.operators.search import Sort, order_by
 from docsieve.schema import ID, col, fields_of
+from docsieve.session import keep
 
 QUERY = "_query"
 MAX_VALUES = 2000
-# Medians may be off by one rank in this many; groups up to that size are exact.
+# Estimated medians may be off by one rank in this many.
 _PRECISION = 50_000
 # Up to here Spark ranks inside each task before the shuffle.
 MAX_HITS = 1000
@@ -46,7 +47,10 @@ class Axis:
 
 @dataclass(frozen=True)
 class Metric:
-    """A summary of a field: sum, avg, min, max, value_count, cardinality, median_absolute_deviation."""
+    """A summary of a field: sum, avg, min, max, value_count, cardinality, median_absolute_deviation.
+
+    All are exact. ``cardinality_estimate`` and ``median_absolute_deviation_estimate`` are bounded sketches of the last two.
+    """
 
     field: str
     function: str
@@ -109,8 +113,9 @@ def _metric(df: DataFrame, metric: Metric) -> Column:
         "min": F.min,
         "max": F.max,
         "value_count": F.count,
-        # Distinct counts are estimates, as sketches stay small however many values a bucket has.
-        "cardinality": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(_sketchable(c, df, metric.field), 14)),
+        # Distinct values are combined in the tasks and dealt out by bucket and value.
+        "cardinality": F.count_distinct,
+        "cardinality_estimate": lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(_sketchable(c, df, metric.field), 14)),
     }
     if metric.function not in functions:
         raise ValueError(f"unknown function {metric.function!r}")
@@ -155,11 +160,14 @@ def aggregate(
     filters: Mapping[str, Any] | None = None,
     ids=None,
 ) -> DataFrame:
-    """One row per bucket: the axes, the number of documents ``n``, and the metrics, in that order."""
+    """One row per bucket: the axes, the number of documents ``n``, and the metrics, in that order.
+
+    Lazy, but for ``median_absolute_deviation``, which keeps the counts of the values.
+    """
     axes = [Axis.of(a) for a in axes]
     base = _base(df, axes, queries, filters, ids)
-    plain = [m for m in metrics if isinstance(m, Metric) and m.function != "median_absolute_deviation"]
-    spreads = [m for m in metrics if isinstance(m, Metric) and m.function == "median_absolute_deviation"]
+    plain = [m for m in metrics if isinstance(m, Metric) and m.function not in _SPREADS]
+    spreads = [m for m in metrics if isinstance(m, Metric) and m.function in _SPREADS]
     hits = [m for m in metrics if isinstance(m, TopHits)]
     labels = [a.label for a in axes]
 
@@ -175,7 +183,7 @@ def aggregate(
         aggregates.append(column)
     result = rows.groupBy(*map(col, labels)).agg(*aggregates)
     for m in spreads:
-        result = _attach(result, _spread(base, axes, m), labels)
+        result = _attach(result, _SPREADS[m.function](base, axes, m), labels)
     for m in hits:
         result = _attach(result, _top_hits(base, axes, m), labels)
     names = [m.label if isinstance(m, Metric) else m.name for m in metrics]
@@ -189,26 +197,76 @@ def _attach(result: DataFrame, extra: DataFrame, labels: Sequence[str]) -> DataF
     return result.withColumn(value, extra.scalar())
 
 
-def _median(value: Column) -> Column:
+def _spread_rows(base: DataFrame, axes: Sequence[Axis], metric: Metric) -> tuple[DataFrame, Column]:
+    """Buckets with the field, and the field as a number."""
+    rows = _axis_columns(base, axes, [metric.field])
+    source = f"__{metric.field}" if metric.field in [a.label for a in axes] else metric.field
+    return rows, F.col(source).cast("double")
+
+
+def _medians(counted: DataFrame, groups: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """From distinct values with their counts per group to each group's median, and the stored counts.
+
+    Middle value, or the mean of the two middle ones. Values are laid out by ranges of group and value, and stored with
+    the number of their range. The few sums of the ranges say in which one a middle rank lies, and only there are values
+    ranked, so a group that holds most values is no matter of one task.
+    """
+    keys = list(map(col, groups))
+    ranged = counted.repartitionByRange(*keys, "__value").withColumn("__range", F.spark_partition_id())
+    stored = keep(ranged, "medians")
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = stored.groupBy(*keys, "__range").agg(F.sum("__count").alias("__sum"))
+    ranges = ranges.withColumns({"__before": F.coalesce(F.sum("__sum").over(earlier), F.lit(0)), "__total": F.sum("__sum").over(group)})
+    middle = {"__low": F.expr("(__total + 1) div 2"), "__high": F.expr("__total div 2 + 1")}
+    ranges = ranges.withColumns(middle).where("__before < __high and __before + __sum >= __low")
+    inside = Window.partitionBy(*keys, "__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = stored.join(ranges, [*groups, "__range"]).withColumn("__upto", F.col("__before") + F.sum("__count").over(inside))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("__upto") >= F.col(rank)) & (F.col("__upto") - F.col("__count") < F.col(rank)), F.col("__value")))
+
+    median = ((at("__low") + at("__high")) / 2).alias(name)
+    return ranked.groupBy(*keys).agg(median), stored.drop("__range")
+
+
+def _spread(base: DataFrame, axes: Sequence[Axis], metric: Metric) -> DataFrame:
+    """Median distance to the bucket's median, both exact."""
+    rows, value = _spread_rows(base, axes, metric)
+    # Without an axis all rows are one group.
+    groups = [a.label for a in axes] or ["__all"]
+    if not axes:
+        rows = rows.withColumn("__all", F.lit(0))
+    counted = rows.select(*map(col, groups), value.alias("__value")).where("__value is not null")
+    counted = counted.groupBy(*map(col, groups), "__value").agg(F.count(F.lit(1)).alias("__count"))
+    centre, stored = _medians(counted, groups, "__centre")
+    # No hint: the bucket table is small or large as the axes decide, and Spark knows its size by then.
+    distance = stored.join(centre, groups).withColumn("__value", F.abs(F.col("__value") - F.col("__centre")))
+    counted = distance.groupBy(*map(col, groups), "__value").agg(F.sum("__count").alias("__count"))
+    spread, _ = _medians(counted, groups, metric.label)
+    return spread if axes else spread.drop("__all")
+
+
+def _estimated_median(value: Column) -> Column:
     """Middle value, or the mean of the two middle ones: the sketch taken from below and from above."""
     below = F.approx_percentile(value, 0.5, _PRECISION)
     above = -F.approx_percentile(-value, 0.5, _PRECISION)
     return (below + above) / 2
 
 
-def _spread(base: DataFrame, axes: Sequence[Axis], metric: Metric) -> DataFrame:
+def _estimated_spread(base: DataFrame, axes: Sequence[Axis], metric: Metric) -> DataFrame:
     """Median distance to the bucket's median. Both medians come from bounded sketches."""
     labels = [a.label for a in axes]
-    rows = _axis_columns(base, axes, [metric.field])
-    source = f"__{metric.field}" if metric.field in labels else metric.field
-    value = F.col(source).cast("double")
-    centre = rows.groupBy(*map(col, labels)).agg(_median(value).alias("__centre"))
+    rows, value = _spread_rows(base, axes, metric)
+    centre = rows.groupBy(*map(col, labels)).agg(_estimated_median(value).alias("__centre"))
     if labels:
-        # No hint: the bucket table is small or large as the axes decide, and Spark knows its size by then.
         distance = rows.join(centre, labels).withColumn("__distance", F.abs(value - F.col("__centre")))
     else:
         distance = rows.withColumn("__distance", F.abs(value - centre.scalar()))
-    return distance.groupBy(*map(col, labels)).agg(_median(F.col("__distance")).alias(metric.label))
+    return distance.groupBy(*map(col, labels)).agg(_estimated_median(F.col("__distance")).alias(metric.label))
+
+
+_SPREADS = {"median_absolute_deviation": _spread, "median_absolute_deviation_estimate": _estimated_spread}
 
 
 def _top_hits(base: DataFrame, axes: Sequence[Axis], hits: TopHits) -> DataFrame:

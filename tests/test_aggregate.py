@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import statistics
 
 import pytest
 from conftest import as_dict, values
@@ -82,6 +83,26 @@ def test_more_metrics(docs):
     assert values(aggregate(docs, [], by_date)) == [(4, 3)]
 
 
+def test_large_groups_have_exact_medians_and_distinct_counts(spark):
+    """Over 50,000 rows and distinct values in a group, nearly all in one; a small group, ties, missing values."""
+    rows = [(i * 2_654_435_761 % 1_000_003) ** 2 / 1e6 for i in range(150_000)]
+    small = [3.0, 3.0, 3.0, 8.0, 9.0, 100.0]
+    expected = {}
+    for name, found in {"big": rows, "small": small, "all": rows + small}.items():
+        centre = statistics.median(found)
+        expected[name] = (len(set(found)), statistics.median(abs(v - centre) for v in found))
+    df = spark.createDataFrame([("big", v) for v in rows] + [("small", v) for v in small] + [("none", None)] * 2, "c string, v double")
+    df = declare(df.withColumn("_id", F.monotonically_increasing_id().cast("string")), {"c": "keyword", "v": "number"})
+    wanted = [Metric("v", "cardinality", "d"), Metric("v", "median_absolute_deviation", "m")]
+    by = {r["c"]: (r["d"], r["m"]) for r in aggregate(df, ["c"], wanted).collect()}
+    assert by == {"big": expected["big"], "small": expected["small"], "none": (0, None)}
+    assert values(aggregate(df, [], wanted)) == [(150_008, *expected["all"])]
+    estimates = [Metric("v", "cardinality_estimate", "d"), Metric("v", "median_absolute_deviation_estimate", "m")]
+    (n, d, m), = values(aggregate(df, [], estimates))
+    assert n == 150_008 and [d, m] == pytest.approx(expected["all"], rel=0.05)
+    assert values(aggregate(df.limit(0), [], wanted)) == [(0, 0, None)]
+
+
 def test_documents_without_a_value_are_left_out(spark):
     df = spark.createDataFrame([("0", None, 1), ("1", "a", None), ("2", "a", 3)], "_id string, c string, v bigint")
     assert values(aggregate(df, ["c"], [Metric("v", "avg"), Metric("v", "value_count", "c_v")])) == [("a", 2, 3.0, 1)]
