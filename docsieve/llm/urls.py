@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.shared import keep
 
-# Segments of a path below this depth are one wildcard.
+# Down to this depth every segment is a step of the template; below it only where branches part are there more steps.
 DEPTH = 6
-# A branch with fewer pages is always part of the wildcard.
+# Only in the SQL, where smaller branches are always part of the wildcard.
 MIN_PAGES = 20
 # Branches whose purity is this many standard errors away from their siblings' stay apart.
 Z = 3.0
@@ -54,19 +54,28 @@ def rule_of(rules: Sequence[UrlRule], host: Column, path: Column) -> tuple[Colum
 
 
 def shapes_of(path: Column) -> Column:
-    """The segments of a path, at most DEPTH and a wildcard for the rest; runs of digits are generalised."""
+    """The segments of a path; runs of digits are generalised."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(F.slice(segments, 1, DEPTH), lambda s: F.regexp_replace(s, "[0-9]+", "<n>"))
-    return F.concat(shaped, F.when(F.size(segments) > DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(segments, lambda s: F.regexp_replace(s, "[0-9]+", "<n>"))
+
+
+def _apart() -> Column:
+    """Whether a branch's share of good labels (_g of _l) is far from that of all its node's branches (_ng of _nl)."""
+    share = (F.col("_ng") + 1) / (F.col("_nl") + 2)
+    return F.abs(F.col("_g") - F.col("_l") * share) > F.lit(Z) * F.sqrt(F.col("_l") * share * (1 - share))
+
+
+def _smoothed() -> Column:
+    return (F.col("_g") + F.col("purity") * SMOOTHING) / (F.col("_l") + SMOOTHING)
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
     """From (host, shape, pages, labelled, good), one row each, to (host, shape, template, purity).
 
-    Level by level below each host: the branches at a node are its pages' next segments. A branch with few pages is a
-    value of a variable segment; a branch whose share of good labels is within Z standard errors of all branches' is
-    similar to them. Both kinds merge into the wildcard; the others stay apart. A node's purity is smoothed by its
-    parent's, the host's by that of all hosts.
+    Level by level below each host: the branches at a node are its pages' next segments. Branches whose share of good
+    labels is within Z standard errors of all branches' are similar to them and merge into the wildcard; the others stay
+    apart, however few pages they have. A node's purity is smoothed by its parent's, the host's by that of all hosts.
+    Below DEPTH levels the rest of a path is one wildcard, until branches of it part (see ``_deeper``).
     """
     total = shapes.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     # One row: the share of good pages among all labelled ones, one half without labels.
@@ -78,15 +87,10 @@ def template_tree(shapes: DataFrame) -> DataFrame:
     tree = shapes.join(host, "host").withColumn("template", F.lit(""))
     for level in range(DEPTH + 1):
         # Paths that end above this level keep their template; they form a branch of their own.
-        segment = F.coalesce(F.get("shape", F.lit(level)), F.lit(""))
-        tree = tree.withColumn("_segment", segment)
-        branch = tree.groupBy("host", "template", "_segment").agg(
-            F.sum("pages").alias("_n"), F.sum("good").alias("_g"), F.sum("labelled").alias("_l")
-        )
+        segment = F.get("shape", F.lit(level)) if level < DEPTH else F.when(F.size("shape") > DEPTH, F.lit("**"))
+        tree = tree.withColumn("_segment", F.coalesce(segment, F.lit("")))
+        branch = tree.groupBy("host", "template", "_segment").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
         node = branch.groupBy("host", "template").agg(F.sum("_g").alias("_ng"), F.sum("_l").alias("_nl"))
-        share = (F.col("_ng") + 1) / (F.col("_nl") + 2)
-        apart = F.abs(F.col("_g") - F.col("_l") * share) > F.lit(Z) * F.sqrt(F.col("_l") * share * (1 - share))
-        named = (F.col("_n") >= MIN_PAGES) & apart
         branch = branch.join(node, ["host", "template"]).select(
             "host",
             "template",
@@ -94,7 +98,7 @@ def template_tree(shapes: DataFrame) -> DataFrame:
             "_g",
             "_l",
             F.when(F.col("_segment") == "", F.lit(""))
-            .otherwise(F.concat(F.lit("/"), F.when(named, F.col("_segment")).otherwise(F.lit("*"))))
+            .otherwise(F.concat(F.lit("/"), F.when(_apart(), F.col("_segment")).otherwise(F.lit("*"))))
             .alias("_step"),
         )
         merged = branch.groupBy("host", "template", "_step").agg(F.sum("_g").alias("_g"), F.sum("_l").alias("_l"))
@@ -102,16 +106,68 @@ def template_tree(shapes: DataFrame) -> DataFrame:
         tree = tree.join(step, ["host", "template", "_segment"]).select(
             "host",
             "shape",
-            "pages",
             "labelled",
             "good",
+            F.col("template").alias("base"),
             F.concat("template", "_step").alias("template"),
-            F.when(F.col("_step") == "", F.col("purity"))
-            .otherwise((F.col("_g") + F.col("purity") * SMOOTHING) / (F.col("_l") + SMOOTHING))
-            .alias("purity"),
+            F.when(F.col("_step") == "", F.col("purity")).otherwise(_smoothed()).alias("purity"),
+        )
+        tree = keep(tree, "url-tree")
+    return _deeper(tree).select("host", "shape", "template", "purity")
+
+
+def _deeper(tree: DataFrame) -> DataFrame:
+    """Part the branches below DEPTH levels, at any depth, with ``base`` as the template without the last wildcard.
+
+    At each node all levels of its labelled pages are tried at once, those above taken for wildcards, and the first
+    level with a branch that stays apart makes new nodes of its branches; levels without one change nothing. So there
+    are as many rounds as branches part below each other, however long paths are, and unlabelled pages add none.
+    """
+    tree = tree.withColumn("at", F.lit(DEPTH))
+    while True:
+        # A path's end is a branch too, which counts among its node's but stays.
+        rest = F.concat(F.slice("shape", F.col("at") + 1, F.size("shape")), F.array(F.lit("")))
+        open_ = tree.where("size(shape) > at AND labelled > 0")
+        cells = open_.select("host", "base", "good", "labelled", F.posexplode(rest).alias("_skip", "_segment"))
+        branch = cells.groupBy("host", "base", "_skip", "_segment").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
+        node = branch.groupBy("host", "base", "_skip").agg(F.sum("_g").alias("_ng"), F.sum("_l").alias("_nl"))
+        named = branch.join(node, ["host", "base", "_skip"]).where(_apart() & (F.col("_segment") != ""))
+        named = keep(named.select("host", "base", "_skip", "_segment", F.lit(True).alias("_named")), "url-branches")
+        if named.isEmpty():
+            return tree
+        first = named.groupBy("host", "base").agg(F.min("_skip").alias("_skip"))
+        level = F.col("at") + F.col("_skip")
+        tree = tree.join(first, ["host", "base"], "left")
+        tree = tree.withColumn("_segment", F.when(F.size("shape") > F.col("at"), F.get("shape", level)))
+        tree = tree.join(named, ["host", "base", "_skip", "_segment"], "left")
+        moves = F.col("_segment").isNotNull()
+        step = F.concat(F.lit("/"), F.when(F.col("_named"), F.col("_segment")).otherwise(F.lit("*")))
+        # What does not move is done.
+        tree = tree.select(
+            "host",
+            "shape",
+            "labelled",
+            "good",
+            "template",
+            "purity",
+            moves.alias("_moves"),
+            F.when(moves, F.concat("base", F.repeat(F.lit("/*"), F.col("_skip")), step)).otherwise(F.col("base")).alias("base"),
+            F.when(moves, level + 1).otherwise(F.size("shape")).alias("at"),
+        )
+        tree = keep(tree, "url-tree")
+        sums = tree.where("_moves").groupBy("host", "base").agg(F.sum("good").alias("_g"), F.sum("labelled").alias("_l"))
+        end = F.when(F.size("shape") > F.col("at"), F.lit("/*")).otherwise(F.lit(""))
+        tree = tree.join(sums, ["host", "base"], "left").select(
+            "host",
+            "shape",
+            "labelled",
+            "good",
+            "base",
+            "at",
+            F.when(F.col("_moves"), F.concat("base", end)).otherwise(F.col("template")).alias("template"),
+            F.when(F.col("_moves"), _smoothed()).otherwise(F.col("purity")).alias("purity"),
         )
         tree = keep(tree, "url-tree")
-    return tree.select("host", "shape", "template", "purity")
 
 
 def url_filter(

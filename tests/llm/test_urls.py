@@ -89,3 +89,34 @@ def test_odd(spark):
     assert judged(spark, [], []).collect() == []
     shape = spark.range(1).select(shapes_of(F.lit("/a1b22/2020-01-02/x"))).first()[0]
     assert shape == ["a<n>b<n>", "<n>-<n>-<n>", "x"]
+
+
+def test_bad_branch_far_down(spark):
+    """Branches part at the eighth level and again at the tenth; what has no labels follows its node."""
+    base = "/*" * 7
+    branches = [
+        (60, "/news/{}.html", 1, "allow", base + "/news/*"),
+        (60, "/spam/p/q/r{}", 0, "block", base + "/spam/*/q/*"),
+        (10, "/spam/p/q", None, "block", base + "/spam/*/q"),
+        (60, "/spam/p/good/r/{}", 1, "allow", base + "/spam/*/good/*"),
+        (5, "/other/{}", None, "allow", base + "/*/*"),
+        (5, "", None, "allow", base),
+    ]
+    urls, labels, wanted = [], [], {}
+    for count, rest, good, verdict, template in branches:
+        for i in range(count):
+            urls.append((len(wanted), f"http://d.org/a/2020/01/02/b/c/{'xy'[i % 2]}" + rest.format(i)))
+            labels += [] if good is None else [(len(wanted), good, 0)]
+            wanted[len(wanted)] = (verdict, template)
+    rows = judged(spark, urls, labels).collect()
+    assert len(rows) == len(urls)
+    assert {r["page_id"]: (r["verdict"], r["template"]) for r in rows} == wanted
+
+
+def test_small_bad_branch(spark):
+    """A branch of 15 labelled pages parts from its siblings, and no longer lowers their purity."""
+    urls = [(i, f"http://a.org/{chr(97 + i // 10)}{chr(97 + i % 10)}/{i}") for i in range(100)]
+    urls += [(100 + i, f"http://a.org/spam/{i}") for i in range(15)]
+    rows = judged(spark, urls, [(i, int(i < 100), 0) for i in range(115)]).collect()
+    assert {(r["template"], r["verdict"]) for r in rows} == {("/*/*", "allow"), ("/spam/*", "block")}
+    assert min(r["purity"] for r in rows if r["verdict"] == "allow") > 0.98
