@@ -35,6 +35,13 @@ def test_windows_overlap_and_cover():
         assert all(y[0] < x[1] for x, y in zip(found, found[1:]))
 
 
+def test_a_passage_lies_whole_in_a_window():
+    """Wherever a passage of 33 words begins in a text, one window holds all of it."""
+    for n in (33, 48, 49, 300):
+        for start in range(n - 32):
+            assert any(a <= start and start + 33 <= b for a, b in windows_of(n)), (n, start)
+
+
 def test_features():
     buckets, grams, sizes = features(["", "a", "abc", "abc"])
     assert sizes.tolist() == [0, 1, 6, 6]
