@@ -114,6 +114,9 @@ def quality_rules(
     A null text counts as empty and has no words, so it fails the base rules. Every row is judged by itself: repeated
     rows and repeated or null ids give one result row each. Other columns of the input are not read. Words in repeated
     three-word windows are found by sorting the windows' 64-bit hashes within the text.
+
+    The stop words are English, German, French and Spanish, and ``word_length`` counts words between blanks: nearly all
+    clean documents in other languages, or in scripts without blanks, are rejected. Give ``rules`` of your own for those.
     """
     base, kept = verdict(rules)
     return measured(df, doc_id, text).withColumn("base_failed", base).withColumn("kept", kept)
