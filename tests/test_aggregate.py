@@ -4,7 +4,7 @@ import datetime as dt
 import statistics
 
 import pytest
-from conftest import as_dict, values
+from core_samples import as_dict, values
 from pyspark.sql import functions as F
 
 from docsieve.functions import dates

@@ -6,7 +6,7 @@ import json
 import os
 
 import pytest
-from conftest import ids, values
+from core_samples import ids, values
 
 from docsieve.operators.write import tag_where
 from docsieve.schema import Field, Snippet, declare, fields_of

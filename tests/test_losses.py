@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import ids
+from core_samples import ids
 from pyspark.sql import functions as F
 
 from docsieve.functions.dates import number_bucket

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import values
+from core_samples import values
 from pyspark.sql import functions as F
 
 from docsieve.functions.ids import mime_from_extension, path_extension, path_file, path_folder

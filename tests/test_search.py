@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import ids, values
+from core_samples import ids, values
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import Fuzzy, Phrase, Prefix, Regex, Wildcard, Word, labelled, split_labels, store_words

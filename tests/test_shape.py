@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import as_dict, ids, values
+from core_samples import as_dict, ids, values
 
 from docsieve.operators.aggregate import Axis, aggregate
 from docsieve.operators.filters import select

@@ -6,7 +6,7 @@ import random
 
 import pytest
 import regex
-from conftest import ids
+from core_samples import ids
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as X

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import as_dict, values
+from core_samples import as_dict, values
 from pyspark.sql import functions as F
 
 from docsieve.functions import coerce
