@@ -7,6 +7,7 @@ per length reaches the driver, however many documents there are. Documents find
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -338,22 +339,24 @@ class ByteLevelIds:
     def _one(self, text: str) -> np.ndarray:
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many words, one after the other, and how many each has."""
+    def _words(self, words: pa.Array, blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, each with ``blank`` before it, one after the other, and how many each has."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         (mark, number), *_ = self.fast._special_tokens.items()
-        plain = [mark not in w for w in words]
-        parted = mark.join([w if fine else "" for w, fine in zip(words, plain)])
-        ids = self._one(parted) if words else np.zeros(0, "<u4")
-        ends = np.append(np.flatnonzero(ids == number), len(ids))
-        counts = np.diff(ends, prepend=-1) - 1
-        ids = ids[ids != number]
-        if not all(plain):
+        marked = pc.match_substring(words, mark)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pc.if_else(marked, "", words))
+        ids = self._one(blank + pc.binary_join(listed, mark + blank)[0].as_py())
+        own = ids != number
+        counts = np.diff(np.append(np.flatnonzero(~own), len(ids)), prepend=-1) - 1
+        ids = ids[own]
+        if pc.any(marked).as_py():
             # Words with the special token in them are encoded alone.
             lists = np.split(ids, np.cumsum(counts)[:-1])
-            for i in [i for i, fine in enumerate(plain) if not fine]:
-                lists[i] = self._one(words[i])
+            for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+                lists[i] = self._one(blank + words[i].as_py())
             ids, counts = np.concatenate(lists), np.array([len(one) for one in lists])
-        return ids, counts[: len(words)]
+        return ids, counts
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``, and how many each text has."""
@@ -361,8 +364,8 @@ class ByteLevelIds:
             found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
             lists = [np.array([*one.ids, end], "<u4") for one in found]
             return np.concatenate(lists), np.array([len(one) for one in lists])
-        unsafe = np.array([UNSAFE.search(t) is not None for t in texts.to_pylist()])
-        whole = [t for t, alone in zip(texts.to_pylist(), unsafe) if alone]
+        every = texts.to_pylist()
+        unsafe = np.array([UNSAFE.search(t) is not None for t in every])
         # A text that is not cut has one part, the text.
         parts = pc.split_pattern(pc.if_else(pa.array(unsafe), "", texts), " ")
         count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -371,13 +374,12 @@ class ByteLevelIds:
         first = np.zeros(len(words), bool)
         first[begin[:-1]] = True
         later = words.filter(pa.array(~first)).dictionary_encode()
-        starts = words.filter(pa.array(first)).to_pylist()
-        for row, text in zip(np.flatnonzero(unsafe).tolist(), whole):
-            starts[row] = text
-        table = [" " + w for w in later.dictionary.to_pylist()]
-        self._check(table)
-        ids, sizes = self._words(table + starts)
-        pool, size = np.append(ids, np.uint32(end)), np.append(sizes, 1)
+        starts = pc.if_else(pa.array(unsafe), texts, words.filter(pa.array(first)))
+        table = later.dictionary
+        self._check([" " + w.as_py() for w in table[:: max(1, len(table) // self.checked)]] if self.checked else [])
+        blank, plain = self._words(table, " "), self._words(starts, "")
+        pool = np.concatenate([blank[0], plain[0], np.array([end], "<u4")])
+        size = np.concatenate([blank[1], plain[1], [1]])
         place = np.append(0, np.cumsum(size)[:-1])
         # Per text its first word, the others, and the end, as numbers of entries in the pool.
         rows = np.arange(len(count))
@@ -392,14 +394,15 @@ class ByteLevelIds:
         return found, np.diff(upto[np.append(begin[:-1] + rows, len(order))])
 
     def _check(self, words: list[str]) -> None:
-        some = words[:: max(1, len(words) // self.checked)] if self.checked else []
-        if [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)] != [self._one(w).tolist() for w in some]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        if [one.ids for one in found] != [self._one(w).tolist() for w in words]:
             raise ValueError("ids differ from those of the tokenizers library")
 
 
 @lru_cache(maxsize=1)
 def byte_level_ids(spec: str) -> ByteLevelIds:
-    """The encoder of a vocabulary, for all tasks of a Python worker."""
+    """The encoder of a vocabulary, for all tasks of a Python worker; it uses one thread, as tasks have one core each."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ByteLevelIds(spec)
 
 

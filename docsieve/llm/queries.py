@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from docsieve.llm.chat import format_chats, with_control_turns
 from docsieve.llm.fuzzy import piecewise_hashes
 from docsieve.llm.mixing import mix_sources
+from docsieve.llm.packing import pack_documents
 from docsieve.llm.pages import extract_main
 from docsieve.llm.pieces import encode_pieces
 from docsieve.llm.quality import quality_rules
+from docsieve.llm.runs import find_runs, with_periodic_tails
 from docsieve.llm.shared import table
 from docsieve.llm.simhash import near_duplicates
 from docsieve.llm.sql import quality_sql, url_sql
 from docsieve.llm.substrings import remove_repeats
 from docsieve.llm.toxicity import score_toxicity
 from docsieve.llm.urls import UrlRule, url_filter
+from docsieve.llm.whitening import component_rows, whiten_embeddings
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,6 +80,18 @@ def op10_mixing(spark, sf_dir):
     )
 
 
+def op11_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), BYTES, capacity=2048, end=0, ids=False)
+
+
+def op12_whitening(spark, sf_dir):
+    return component_rows(whiten_embeddings(table(spark, sf_dir, "embeddings"), components=32))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return find_runs(with_periodic_tails(table(spark, sf_dir, "documents")), periods=4, least=6, texts=False)
+
+
 QUERIES = {
     build.__name__: build
     for build in (
@@ -90,6 +105,9 @@ QUERIES = {
         op8_html_extraction,
         op9_simhash,
         op10_mixing,
+        op11_packing,
+        op12_whitening,
+        op13_periodic_runs,
     )
 }
 SQL = {"op3_url_filters": url_sql(URL_RULES), "op7_quality_rules": quality_sql()}

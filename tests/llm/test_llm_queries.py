@@ -47,6 +47,34 @@ COLUMNS = {
     8: {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     9: {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     10: {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    11: {
+        "doc_id": "bigint",
+        "piece": "int",
+        "start": "bigint",
+        "length": "bigint",
+        "ids_crc32": "bigint",
+        "sequence_id": "bigint",
+        "offset": "bigint",
+    },
+    12: {
+        "vec_id": "bigint",
+        "component": "int",
+        "n": "bigint",
+        "deviation": "bigint",
+        "whitened": "double",
+        "explained": "double",
+        "identity_error": "double",
+    },
+    13: {
+        "doc_id": "bigint",
+        "n_runs": "bigint",
+        "start": "bigint",
+        "length": "bigint",
+        "period": "bigint",
+        "exponent_milli": "bigint",
+        "runs_sha256": "string",
+        "collapsed_sha256": "string",
+    },
 }
 
 
@@ -55,7 +83,7 @@ def number(name: str) -> int:
 
 
 def test_all_are_registered():
-    assert sorted(map(number, QUERIES)) == list(range(1, 11))
+    assert sorted(map(number, QUERIES)) == list(range(1, 14))
     assert QUERIES.items() <= driver.queries().items()
     assert "pipeline" in driver.queries()
     assert SQL.items() <= driver.oracle_sql().items()
