@@ -18,6 +18,13 @@ from docsieve.llm.shared import arrow_map, keep, slices, text_of
 BLOCK = 1 << 21
 # Groups of more contexts than this are counted window by window instead, wherever their rows are.
 GROUP_MOST = 1024
+# Bytes of a text whose windows are looked at together.
+PIECE = 1 << 20
+# Bytes of the segments that contexts are fetched from.
+SEGMENT = 4096
+# So many 64-bit keys (some 25 MB) are sent to all executors, to leave out of a shuffle what they do not name; beyond
+# that everything is shuffled, with the same result.
+SENT_KEYS = 500_000
 
 
 def suffix_array(text: np.ndarray, length: int) -> np.ndarray:
@@ -224,16 +231,16 @@ def _anchor_rows(docs: DataFrame, length: int, width: int) -> DataFrame:
                 )
 
             for row, data in enumerate(_bytes_of(batch.column(2))):
-                if len(data) < length:
-                    continue
-                one = anchors(data, length, width, powers)
-                parts.append(one)
-                counts.append(len(one[0]))
-                rows.append(row)
-                size += len(one[0])
-                if size > 100_000:
-                    yield packed()
-                    parts, counts, rows, size = [], [], [], 0
+                # A context that goes on in the next piece is two contexts.
+                for start in range(0, len(data) - length + 1, PIECE):
+                    hash_, context, first, last = anchors(data[start : start + PIECE + length - 1], length, width, powers)
+                    parts.append((hash_, context, first + start, last + start))
+                    counts.append(len(hash_))
+                    rows.append(row)
+                    size += len(hash_)
+                    if size > 100_000:
+                        yield packed()
+                        parts, counts, rows, size = [], [], [], 0
             if parts:
                 yield packed()
 
@@ -242,43 +249,57 @@ def _anchor_rows(docs: DataFrame, length: int, width: int) -> DataFrame:
     return arrow_map(docs, schema, each)
 
 
-def _contexts(requests: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Fetch the texts of the requested contexts, document by document."""
+def _segments(docs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text_key, segment, body): texts in parts of SEGMENT bytes, each with ``most`` bytes of the next ones."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key bigint, anchor bigint, large boolean, first int, body binary"
-    asked = requests.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("anchor", "large", "first", "last")).alias("asked")
-    )
-    whose = docs["doc_id"].eqNullSafe(asked["doc_id"]) & (docs["text_key"] == asked["text_key"])
-    # Rows equal in id and text give a context each. That adds nothing: it occurs twice, so it is repeated throughout.
-    found = asked.join(docs, whose).select(asked["doc_id"], asked["text_key"], "text", "asked")
+    schema = f"doc_id {kind}, text_key bigint, segment int, body binary"
 
     def each():
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            lists = batch.column(3)
-            fields = lists.flatten()
-            names = [fields.type.field(i).name for i in range(fields.type.num_fields)]
-            anchor, large, first, last = (fields.field(names.index(n)) for n in ("anchor", "large", "first", "last"))
-            a, b = first.to_numpy(zero_copy_only=False), last.to_numpy(zero_copy_only=False)
-            counts = np.diff(lists.offsets.to_numpy())
-            at = 0
-            for row, (data, count) in enumerate(zip(_bytes_of(batch.column(2)), counts.tolist())):
-                body = [data[a[i] : b[i] + length].tobytes() for i in range(at, at + count)]
-                whose = pa.array(np.full(count, row))
-                yield _arrays(
-                    schema,
-                    batch.column(0).take(whose),
-                    batch.column(1).take(whose),
-                    anchor.slice(at, count),
-                    large.slice(at, count),
-                    first.slice(at, count),
-                    pa.array(body, pa.binary()),
-                )
-                at += count
+            rows, numbers, bodies = [], [], []
 
-        return lambda batch: _grouped(work(batch))
+            def packed():
+                whose = pa.array(rows, pa.int64())
+                kept = batch.column(0).take(whose), batch.column(1).take(whose)
+                return _arrays(schema, *kept, pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary()))
+
+            for row, data in enumerate(_bytes_of(batch.column(2))):
+                for start in range(0, len(data), SEGMENT):
+                    rows.append(row)
+                    numbers.append(start // SEGMENT)
+                    bodies.append(data[start : start + SEGMENT + most].tobytes())
+                    if len(rows) == 2000:
+                        yield packed()
+                        rows, numbers, bodies = [], [], []
+            if rows:
+                yield packed()
+
+        return work
+
+    return arrow_map(docs, schema, each)
 
-    return arrow_map(found, schema, each)
+
+def _sent(keys: DataFrame, name: str) -> DataFrame | None:
+    """The different hashes of ``keys``, to be sent to all executors, or None where they are too many."""
+    found = keep(keys.select(F.xxhash64("*").alias("key")).distinct(), name)
+    return F.broadcast(found) if found.count() <= SENT_KEYS else None
+
+
+def _contexts(requests: DataFrame, docs: DataFrame, length: int, width: int) -> DataFrame:
+    """Fetch the texts of the requested contexts from the segments of their documents in which they begin."""
+    where = ["doc_id", "text_key", "segment"]
+    requests = requests.withColumn("segment", (F.col("first") / SEGMENT).cast("int"))
+    segments = _segments(docs, 2 * length - width)
+    sent = _sent(requests.select(where), "context-segments")
+    if sent is not None:
+        segments = segments.withColumn("key", F.xxhash64(*where)).join(sent, "key", "left_semi").drop("key")
+    same = segments["doc_id"].eqNullSafe(requests["doc_id"])
+    for c in where[1:]:
+        same &= segments[c] == requests[c]
+    # Rows equal in id and text give a context each. That adds nothing: it occurs twice, so it is repeated throughout.
+    body = F.substring("body", F.col("first") % SEGMENT + 1, F.col("last") - F.col("first") + length)
+    found = requests.join(segments, same)
+    return found.select(requests["doc_id"], requests["text_key"], "anchor", "large", "first", body.alias("body"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -403,7 +424,7 @@ def repeated_spans(docs: DataFrame, length: int, width: int) -> DataFrame:
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     groups = groups.where("least = 1").select("anchor", (F.col("m") > GROUP_MOST).alias("large"))
     asked = distinct.join(groups, "anchor").select("anchor", "large", "who.*")
-    contexts = keep(_contexts(asked, docs, length), "context-texts")
+    contexts = keep(_contexts(keep(asked, "asked-contexts"), docs, length, width), "context-texts")
     blocks = _block_spans(contexts.where("not large"), length)
     windows = _window_spans(contexts.where("large"), length)
     return plain.unionByName(equal).unionByName(blocks).unionByName(windows)
@@ -440,13 +461,23 @@ def remove_repeats(
     docs = df.select(
         df[doc_id].alias("doc_id"), F.xxhash64(text_of(df[text])).alias("text_key"), text_of(df[text]).alias("text"), row
     )
-    spans = repeated_spans(docs.drop("row"), length, width).groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("spans")
-    )
-    whose = docs["doc_id"].eqNullSafe(spans["doc_id"]) & (docs["text_key"] == spans["text_key"])
-    found = docs.join(spans, whose, "left").select(
-        docs["doc_id"], docs["text_key"], "text", "spans", *(["row"] if carry else [])
-    )
+    whose = ["doc_id", "text_key"]
+    spans = repeated_spans(docs.drop("row"), length, width)
+    spans = keep(spans.groupBy(whose).agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeated-spans")
+    columns = [*whose, "text", *(["row"] if carry else [])]
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    sent = _sent(spans.select(whose), "repeated-documents")
+    shuffled, alone = docs, None
+    if sent is not None:
+        # Documents without spans stay where they are.
+        keyed = docs.withColumn("key", F.xxhash64(*whose))
+        shuffled = keyed.join(sent, "key", "left_semi")
+        alone = keyed.join(sent, "key", "left_anti").select(*columns[:3], none, *columns[3:])
+    same = shuffled["doc_id"].eqNullSafe(spans["doc_id"]) & (shuffled["text_key"] == spans["text_key"])
+    kept_columns = [shuffled[c] for c in columns]
+    found = shuffled.join(spans, same, "left").select(*kept_columns[:3], "spans", *kept_columns[3:])
+    if alone is not None:
+        found = found.unionByName(alone)
     more = ", kept_text string" if kept else ""
     more += f", row {found.schema['row'].dataType.simpleString()}" if carry else ""
     schema = f"doc_id {kind}, text_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}"
