@@ -14,7 +14,6 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsieve.llm.shared import arrow_map, keep, slices, text_of
+from docsieve.llm.shared import arrow_map, keep, remembered, slices, text_of
 
 # Pieces over this part of a sequence are large, and so many groups are made of them; of these schemes the best counts.
 SCHEMES = ((1 / 8, 48), (1 / 4, 96), (1 / 3, 144), (1 / 2, 48))
@@ -399,11 +398,10 @@ class ByteLevelIds:
             raise ValueError("ids differ from those of the tokenizers library")
 
 
-@lru_cache(maxsize=1)
 def byte_level_ids(spec: str) -> ByteLevelIds:
     """The encoder of a vocabulary, for all tasks of a Python worker; it uses one thread, as tasks have one core each."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ByteLevelIds(spec)
+    return remembered("byte-level", spec, lambda: ByteLevelIds(spec))
 
 
 def _pieces(df: DataFrame, spec: str, doc_id: str, text: str, capacity: int, end: int, ids: bool) -> DataFrame:
@@ -454,7 +452,7 @@ def _pieces(df: DataFrame, spec: str, doc_id: str, text: str, capacity: int, end
 
         return batches
 
-    return arrow_map(df.select(df[doc_id].alias("doc_id"), text_of(df[text]).alias("text")), schema, each)
+    return arrow_map(df.select(df[doc_id].alias("doc_id"), text_of(df[text]).alias("text")), schema, each, "byte-level")
 
 
 def pack_documents(

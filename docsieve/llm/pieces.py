@@ -7,18 +7,19 @@ import heapq
 import re
 from array import array
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsieve.llm.shared import arrow_map, slices, text_of
+from docsieve.llm.shared import arrow_map, remembered, slices, text_of
 
 SPACE_MARK = "▁"
-# Short stretches of text are remembered with their ids: twice this many at most, none longer than the second number.
-MEMO_STRETCHES = 400_000
+# Short stretches of text are remembered with their ids: twice so many bytes at most, no stretch longer than the second
+# number. An entry takes so many bytes besides its characters and ids.
+MEMO_BYTES = 75_000_000
 MEMO_LENGTH = 64
+MEMO_ENTRY = 160
 # An agenda of so many pairs or fewer is a list searched for its best pair, a longer one a heap. Both merge alike.
 LIST_AGENDA = 48
 NEVER = 1 << 60
@@ -34,6 +35,7 @@ class _Memo(dict):
         super().__init__()
         self.make = make
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.old.get(stretch)
@@ -41,13 +43,15 @@ class _Memo(dict):
             ids = array("i", self.make(stretch)).tobytes()
         if len(stretch) <= MEMO_LENGTH:
             self[stretch] = ids
+            self.bytes += MEMO_ENTRY + len(stretch) + len(ids)
         return ids
 
     def turn(self) -> None:
         """Start a new half if this one is full."""
-        if len(self) > MEMO_STRETCHES:
+        if self.bytes > MEMO_BYTES:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
 
 
 def _stretches(pieces: Iterable[str]) -> re.Pattern:
@@ -185,10 +189,9 @@ class Pieces:
         return self.library.decode(ids)
 
 
-@lru_cache(maxsize=1)
 def pieces_of(model: bytes) -> Pieces:
     """The encoder of a model; the tasks that follow each other in a Python worker share it and its memory of stretches."""
-    return Pieces(model)
+    return remembered("pieces", model, lambda: Pieces(model))
 
 
 def _digest(text: str) -> str:
@@ -237,5 +240,5 @@ def encode_pieces(
 
         return lambda batch: (work(part) for part in slices(batch, 1))
 
-    return arrow_map(df.select(df[doc_id].alias("doc_id"), text_of(text).alias("text")), schema, each)
+    return arrow_map(df.select(df[doc_id].alias("doc_id"), text_of(text).alias("text")), schema, each, "pieces")
 

@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 
 from docsieve.session import CHECKPOINT_DIR, keep, shared_dir
 
-__all__ = ["CHECKPOINT_DIR", "arrow_map", "keep", "shared_dir", "slices", "table", "text_of", "word_count", "words_of"]
+__all__ = [
+    "CHECKPOINT_DIR",
+    "arrow_map",
+    "keep",
+    "remembered",
+    "shared_dir",
+    "slices",
+    "table",
+    "text_of",
+    "word_count",
+    "words_of",
+]
 
 # A word is a run of anything but these white space characters.
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,12 +50,34 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{WORD_CLASS}+")).cast("bigint")
 
 
+_memory: dict[str, tuple] = {}
+
+
+def remembered(kind: str, key, make: Callable):
+    """What the tasks of one kind share that follow each other in a Python worker, made anew where ``key`` differs.
+
+    A task of another kind frees it, see `arrow_map`.
+    """
+    held = _memory.get(kind)
+    if held is None or held[0] != key:
+        held = _memory[kind] = (key, make())
+    return held[1]
+
+
 def arrow_map(
-    df: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator | None]]
+    df: DataFrame,
+    schema: str,
+    each: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator | None]],
+    kind: str | None = None,
 ) -> DataFrame:
-    """Map Arrow batches. ``each`` runs once per task, so that models are loaded once, and gives the function."""
+    """Map Arrow batches. ``each`` runs once per task, so that models are loaded once, and gives the function.
+
+    ``kind`` names what the tasks remember; what those of other kinds have left behind in the worker is freed.
+    """
 
     def run(batches):
+        for other in [k for k in _memory if k != kind]:
+            del _memory[other]
         work = each()
         for batch in batches:
             if batch.num_rows:

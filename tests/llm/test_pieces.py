@@ -52,7 +52,7 @@ def test_no_piece_reaches_past_a_stretch(pieces):
 
 
 def test_a_full_memory_forgets_in_halves(pieces, library, texts, monkeypatch):
-    monkeypatch.setattr("docsieve.llm.pieces.MEMO_STRETCHES", 20)
+    monkeypatch.setattr("docsieve.llm.pieces.MEMO_BYTES", 4000)
     for text in texts.values():
         assert pieces.encode(text) == library.encode(text)
     assert pieces.memo.old
