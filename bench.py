@@ -24,6 +24,7 @@ HEADLINE = [
     "match_word",
     "match_phrase",
     "match_labels",
+    "match_labels_many",
     "match_wildcard",
     "match_fuzzy",
     "match_near",
@@ -34,6 +35,7 @@ HEADLINE = [
     "snippet_matches",
     "highlight",
     "page",
+    "page_far",
     "sort_multi",
     "agg_terms",
     "agg_multi_axis",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,8 @@ WORD = f"{WORD_CHAR}+(?:{JOINER}{WORD_CHAR}+)*"
 _BIND_FROM = 2
 # From this many leaves on, splitting a text into words once is cheaper than searching it for each leaf.
 _SPLIT_FROM = 16
+# So many labels are sent to all executors at most.
+MAX_SENT_LABELS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -93,10 +95,12 @@ def word_sequence(sequence: Sequence[str]) -> str:
 class Subject:
     """One searchable column as a leaf sees it."""
 
-    kind: str  # text, keyword or tag
+    kind: str  # text, keyword, tag or other
     value: Column
     lower: Column | None = None
     stored: Column | None = None
+    # The condition of a field filter, for fields of other kinds.
+    filtered: Callable[[object], Column] | None = None
 
     def words(self) -> Column:
         if self.stored is not None:
@@ -157,8 +161,13 @@ class Query:
 
 class Leaf(Query):
     def column(self, subjects: Mapping[str, Subject]) -> Column:
-        tests = {"text": self.on_text, "keyword": self.on_keyword, "tag": self.on_tag}
-        return any_true(F.coalesce(tests[s.kind](s), F.lit(False)) for s in subjects.values())
+        tests = {"text": self.on_text, "keyword": self.on_keyword, "tag": self.on_tag, "other": self.on_other}
+        found = []
+        for s in subjects.values():
+            test = tests[s.kind](s)
+            # Tests of plain values stay as they are, so that they reach the scan.
+            found.append(s.value.isNotNull() & test if s.kind == "other" else F.coalesce(test, F.lit(False)))
+        return any_true(found)
 
     def leaves(self, field: str | None = None) -> list[Leaf]:
         return [self]
@@ -175,6 +184,10 @@ class Leaf(Query):
     def on_tag(self, subject: Subject) -> Column:
         return F.exists(subject.value, self.keyword_test)
 
+    def on_other(self, subject: Subject) -> Column:
+        """Test of a number, date or truth value."""
+        raise ValueError(f"{type(self).__name__} looks for words, and the field has none")
+
     def pattern(self) -> str | None:
         """Java pattern of a hit in running text, or None where it depends on the words of the text."""
         return None
@@ -197,6 +210,9 @@ class Word(Leaf):
                 found.append(subject.may_hold([word]) & subject.lower.rlike(whole_word(word)))
         return any_true(found)
 
+    def on_other(self, subject: Subject) -> Column:
+        return subject.filtered([self.text])
+
     def keyword_test(self, value: Column) -> Column:
         return value == F.lit(self.text)
 
@@ -241,6 +257,9 @@ class Phrase(Leaf):
             return subject.stored.contains(f" {' '.join(sequence)} ")
         return subject.may_hold(sequence) & subject.lower.rlike(word_sequence(sequence))
 
+    def on_other(self, subject: Subject) -> Column:
+        return subject.filtered([self.text])
+
     def keyword_test(self, value: Column) -> Column:
         return value == F.lit(self.text)
 
@@ -367,12 +386,57 @@ class Fuzzy(Leaf):
         return self._test(self.text, value)
 
 
+@dataclass(frozen=True)
+class Between(Leaf):
+    """Values of a field from ``low`` to ``high``; None for an open end, ``without`` names the ends that do not count."""
+
+    low: str | None
+    high: str | None
+    without: frozenset[str] = frozenset()
+
+    def bounds(self) -> dict[str, str]:
+        found = {}
+        if self.low is not None:
+            found["gt" if "low" in self.without else "gte"] = self.low
+        if self.high is not None:
+            found["lt" if "high" in self.without else "lte"] = self.high
+        return found
+
+    def on_text(self, subject: Subject) -> Column:
+        raise ValueError("a range needs a field of single values")
+
+    def keyword_test(self, value: Column) -> Column:
+        tests = {"gt": value.__gt__, "gte": value.__ge__, "lt": value.__lt__, "lte": value.__le__}
+        return value.isNotNull() & all_true(tests[op](F.lit(bound)) for op, bound in self.bounds().items())
+
+    def on_other(self, subject: Subject) -> Column:
+        return subject.filtered(self.bounds()) if self.bounds() else F.lit(True)
+
+    def leaves(self, field: str | None = None) -> list[Leaf]:
+        return []
+
+
+class Subjects(dict):
+    """Searchable fields, and beside them the ``others``, which are searched only by their name."""
+
+    def __init__(self, searchable: Mapping[str, Subject], others: Mapping[str, Subject]) -> None:
+        super().__init__(searchable)
+        self.others = dict(others)
+
+    def of(self, field: str) -> Subject:
+        found = self.get(field) or self.others.get(field)
+        if found is None:
+            raise ValueError(f"{field!r} is not a searchable field")
+        return found
+
+
 @dataclass(frozen=True)
 class Exists(Query):
     field: str
 
-    def column(self, subjects: Mapping[str, Subject]) -> Column:
-        return F.col(self.field).isNotNull()
+    def column(self, subjects: Subjects) -> Column:
+        """As the field filter of that name: an empty list is no value."""
+        return subjects.others[""].filtered((self.field, {"exists": True}))
 
 
 @dataclass(frozen=True)
@@ -380,10 +444,8 @@ class InField(Query):
     field: str
     part: Query
 
-    def column(self, subjects: Mapping[str, Subject]) -> Column:
-        if self.field not in subjects:
-            raise ValueError(f"{self.field!r} is not a searchable field")
-        return self.part.column({self.field: subjects[self.field]})
+    def column(self, subjects: Subjects) -> Column:
+        return self.part.column(Subjects({self.field: subjects.of(self.field)}, subjects.others))
 
     def leaves(self, field: str | None = None) -> list[Leaf]:
         return self.part.leaves(field) if field in (None, self.field) else []
@@ -421,11 +483,130 @@ class NoneOf(_Group):
         return []
 
 
+def _list(texts: Iterable[str]) -> Column:
+    """A constant array, made from a single literal."""
+    return F.split(F.lit("\x00".join(texts)), "\x00")
+
+
+def _starts(values: Column, length: int) -> Column:
+    return F.transform(values, lambda value: F.substring(value, 1, length))
+
+
+def _sequences(values: Column, length: int, firsts: Iterable[str]) -> Column:
+    """All runs of ``length`` words that begin with one of some words, each joined by blanks."""
+    heads, last = list(firsts), F.greatest(F.size(values) - length, F.lit(0))
+    places = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(values, i).isin(heads))
+    return F.transform(places, lambda i: F.array_join(F.slice(values, i + 1, length), " "))
+
+
+def _shape(leaf: Query) -> tuple[str, int, str] | None:
+    """How a leaf is looked up among the words of a text: as a word, a start or a phrase of some length, and the term."""
+    if isinstance(leaf, (Word, Phrase)):
+        found = words_of(leaf.text)
+        if len(found) == 1:
+            return "word", 1, found[0]
+        return ("phrase", len(found), " ".join(found)) if isinstance(leaf, Phrase) and found else None
+    if isinstance(leaf, Prefix):
+        start = leaf._start()
+        return ("start", len(start), start) if start else None
+    return None
+
+
+def _looked_up(shape: tuple[str, int], terms: Iterable[str], words: Column) -> Column:
+    """The part of a text's words that can be one of the terms of a shape."""
+    kind, length = shape
+    if kind == "word":
+        return words
+    if kind == "start":
+        return _starts(words, length)
+    return _sequences(words, length, sorted({term.split(" ")[0] for term in terms}))
+
+
+class Lexicon(Query):
+    """Any of many words, starts and phrases. The words of a text are looked up, which costs the same for any number."""
+
+    def __init__(self, leaves: Iterable[Leaf], field: str | None = None) -> None:
+        self.field, self.parts = field, tuple(leaves)
+
+    def size(self) -> int:
+        return len(self.parts)
+
+    def leaves(self, field: str | None = None) -> list[Leaf]:
+        return list(self.parts) if self.field in (None, field) or field is None else []
+
+    def _on_words(self, words: Column) -> Column:
+        """Looked for until the first is found: words and starts word by word, then phrases."""
+        tables: dict[tuple[str, int], dict[str, None]] = {}
+        for kind, length, term in filter(None, map(_shape, self.parts)):
+            tables.setdefault((kind, length), {})[term] = None
+
+        def known(word: Column) -> Column:
+            parts = [(F.substring(word, 1, n) if kind == "start" else word, terms) for (kind, n), terms in single]
+            return any_true(part.isin(list(terms)) for part, terms in parts)
+
+        def held(n: int, terms: Iterable[str]) -> Column:
+            heads = list(dict.fromkeys(term.split(" ")[0] for term in terms))
+            places = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+            run = lambda i: F.array_join(F.slice(words, i + 1, n), " ")
+            return F.exists(places, lambda i: F.get(words, i).isin(heads) & run(i).isin(list(terms)))
+
+        single = [(shape, terms) for shape, terms in sorted(tables.items(), reverse=True) if shape[0] != "phrase"]
+        tests = [F.exists(words, known)] if single else []
+        return any_true(tests + [held(n, terms) for (kind, n), terms in sorted(tables.items()) if kind == "phrase"])
+
+    def _on_value(self, value: Column) -> Column:
+        whole = [p.text for p in self.parts if not isinstance(p, Prefix)]
+        starts: dict[int, list[str]] = {}
+        for part in self.parts:
+            if isinstance(part, Prefix):
+                starts.setdefault(len(part.text), []).append(part.text)
+        tests = [value.isin(whole)] if whole else []
+        return any_true(tests + [F.substring(value, 1, n).isin(texts) for n, texts in starts.items()])
+
+    def column(self, subjects: Mapping[str, Subject]) -> Column:
+        tests = []
+        for subject in [subjects.of(self.field)] if self.field else subjects.values():
+            if subject.kind == "other":
+                return any_true(InField(self.field, part).column(subjects) for part in self.parts)
+            if subject.kind == "text":
+                # A one-element array binds the words, so that a text is split once.
+                tests.append(F.exists(F.array(subject.words()), self._on_words))
+            elif subject.kind == "tag":
+                tests.append(F.exists(subject.value, self._on_value))
+            else:
+                tests.append(self._on_value(subject.value))
+        return any_true(F.coalesce(test, F.lit(False)) for test in tests)
+
+
+def _flat(query: Query) -> list[Query]:
+    return [part for p in query.parts for part in _flat(p)] if type(query) is AnyOf else [query]
+
+
+def gathered(query: Query) -> Query:
+    """The same query, in which words, starts and phrases of which any may match are looked up together if they are many."""
+    if type(query) in (AllOf, NoneOf):
+        return type(query)(tuple(gathered(p) for p in query.parts))
+    if type(query) is not AnyOf:
+        return query
+    plain: dict[str | None, list[Leaf]] = {}
+    others = []
+    for part in _flat(query):
+        field, leaf = (part.field, part.part) if isinstance(part, InField) else (None, part)
+        if _shape(leaf) is not None:
+            plain.setdefault(field, []).append(leaf)
+        else:
+            others.append(gathered(part))
+    if sum(map(len, plain.values())) < _SPLIT_FROM:
+        return AnyOf(tuple(gathered(p) for p in query.parts))
+    parts = [Lexicon(leaves, field) for field, leaves in plain.items()] + others
+    return AnyOf(tuple(parts)) if len(parts) > 1 else parts[0]
+
+
 _CLAUSE = re.compile(
     r"""\s*(?:
         (?P<joint>AND|OR|NOT|&&|\|\|)(?=\s|$)
       | (?P<sign>[-+!])?(?:(?P<field>[\w.]+):)?
-        (?: (?P<group>\() | "(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))? | /(?P<regex>[^/]+)/ | (?P<term>[^\s"()]+) )
+        (?: (?P<group>\() | (?P<open>[\[{])\s*(?P<low>[^\s\]}]+)\s+TO\s+(?P<high>[^\s\]}]+)\s*(?P<close>[\]}]) | "(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))? | /(?P<regex>[^/]+)/ | (?P<term>[^\s"()]+) )
     )""",
     re.VERBOSE,
 )
@@ -441,7 +622,7 @@ def _term(text: str) -> Query:
 
 
 def shorthand(text: str) -> Query:
-    """Read a typed query: words, "phrases", pre*, te?t, /regex/, word~1, "a b"~5, field:word, (groups),
+    """Read a typed query: words, "phrases", pre*, te?t, /regex/, word~1, "a b"~5, field:word, field:[a TO b], (groups),
     joined by AND, OR, NOT, + and -. Words side by side mean OR.
     """
     query, end = _read(text.strip(), 0, False)
@@ -473,6 +654,12 @@ def _read(text: str, at: int, inside: bool) -> tuple[Query, int]:
             query: Query = Exists(clause["term"])
         elif clause["phrase"] is not None:
             query = Near(clause["phrase"], int(clause["slop"])) if clause["slop"] else Phrase(clause["phrase"])
+        elif clause["open"]:
+            low, high = (None if end == "*" else end.strip('"') for end in (clause["low"], clause["high"]))
+            without = {"low": clause["open"] == "{", "high": clause["close"] == "}"}
+            query = Between(low, high, frozenset(end for end, out in without.items() if out))
+            if not clause["field"]:
+                raise ValueError("a range needs a field")
         elif clause["regex"]:
             query = Regex(clause["regex"])
         else:
@@ -551,9 +738,18 @@ def search_kinds(df: DataFrame) -> dict[str, str]:
     return kinds
 
 
-def _subjects(df: DataFrame, lower_of) -> dict[str, Subject]:
-    stored = words_columns(df)
-    return {
+def _subjects(df: DataFrame, lower_of) -> Subjects:
+    from docsieve.operators.filters import field_condition
+
+    stored, known = words_columns(df), search_kinds(df)
+    others = {
+        name: Subject("other", F.col(name), filtered=lambda spec, name=name: field_condition(df, name, spec))
+        for name, field in fields_of(df).items()
+        if name not in known and field.type in ("number", "integer", "boolean", "date")
+    }
+    # Under no name: any field's condition.
+    others[""] = Subject("other", F.lit(None), filtered=lambda both: field_condition(df, *both))
+    searchable = {
         name: Subject(
             kind,
             F.col(name),
@@ -562,6 +758,7 @@ def _subjects(df: DataFrame, lower_of) -> dict[str, Subject]:
         )
         for name, kind in search_kinds(df).items()
     }
+    return Subjects(searchable, others)
 
 
 def _unstored_texts(df: DataFrame) -> list[str]:
@@ -571,7 +768,7 @@ def _unstored_texts(df: DataFrame) -> list[str]:
 
 def match(df: DataFrame, query: str | Query) -> Column:
     """Boolean Column: the document matches the query; never null."""
-    query, texts = as_query(query), _unstored_texts(df)
+    query, texts = gathered(as_query(query)), _unstored_texts(df)
     if query.size() < _BIND_FROM or not texts:
         return query.column(_subjects(df, lambda name: F.lower(F.col(name))))
     # A one-element array binds the lower-cased texts, so that they are made once for all leaves.
@@ -600,6 +797,7 @@ def where_matches(df: DataFrame, queries) -> DataFrame:
     query, texts = any_of(queries), _unstored_texts(df)
     if query is None:
         return df
+    query = gathered(query)
     if query.size() < _BIND_FROM or not texts:
         return df.where(match(df, query))
     lowered = {n: f"__lower_{n}" for n in texts}
@@ -609,44 +807,73 @@ def where_matches(df: DataFrame, queries) -> DataFrame:
     return bound.where(query.column(subjects)).drop(*lowered.values())
 
 
-def _plain_word(query: Query, kinds: Mapping[str, str]) -> tuple[str, str | None] | None:
-    """The word and field (None for all) of a query for one single word in texts; None for other queries."""
+def _plain(query: Query, kinds: Mapping[str, str]) -> tuple[Leaf, str | None] | None:
+    """The leaf and field (None for all) of a query for one word, start or phrase in texts; None for other queries."""
     field = query.field if isinstance(query, InField) else None
     leaf = query.part if isinstance(query, InField) else query
-    if not isinstance(leaf, Word) or len(words_of(leaf.text)) != 1 or (field and kinds.get(field) != "text"):
+    if _shape(leaf) is None or (field and kinds.get(field) != "text"):
         return None
-    return leaf.text, field
+    return leaf, field
+
+
+def _marks_of(values: Column, marks: Mapping[str, list[str]]) -> Column:
+    """Marks of those values of an array that have some, for arrays of a few values. The table is a constant."""
+    listed = "\x02".join(f"{value}\x03{','.join(several)}" for value, several in marks.items())
+    table = F.str_to_map(F.lit(listed), F.lit("\x02"), F.lit("\x03"))
+    return F.flatten(F.transform(F.array_intersect(values, _list(marks)), lambda value: F.split(table[value], ",")))
 
 
-def _labels_of(values: Column, labels: Mapping[str, list[str]]) -> Column:
-    """Labels of those values of an array that have some."""
-    keys = F.array(*map(F.lit, labels))
-    table = F.create_map(*[part for k, v in labels.items() for part in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.flatten(F.transform(F.array_intersect(values, keys), lambda value: table[value]))
+def _headed(head: str, terms: Column) -> Column:
+    return F.transform(terms, lambda term: F.concat(F.lit(head), term))
 
 
-def _word_labels(df: DataFrame, plain: Mapping[str, tuple[str, str | None]]) -> list[Column]:
-    """Arrays of matching labels, one per searchable field: the words of a text are looked up among the labels,
-    which costs the same for any number of labels."""
-    found = []
-    for name, kind in search_kinds(df).items():
-        table: dict[str, list[str]] = {}
-        for label, (word, field) in plain.items():
+def _term_keys(
+    df: DataFrame, plain: Mapping[str, tuple[Leaf, str | None]], marks: Mapping[str, str]
+) -> tuple[list[Column], list[Column], list[tuple[str, str]]]:
+    """What a document holds of the terms of labels: keys of terms in texts, marks of labels found in other fields, and
+    the label of each key.
+
+    The words of a text, their starts and runs of them are cut with the terms, which costs much the same for any number.
+    """
+    texts: dict[tuple[str, str | None, str, int], dict[str, None]] = {}
+    others: dict[tuple[str, str, int], dict[str, list[str]]] = {}
+    rows, kinds = [], search_kinds(df)
+    for label, (leaf, field) in plain.items():
+        how, length, term = _shape(leaf)
+        rows.append((f"{field or ''}|{how}{length}|{term}", label))
+        for name, kind in kinds.items():
             if kind == "text" and field in (None, name):
-                table.setdefault(words_of(word)[0], []).append(label)
+                texts.setdefault((name, field, how, length), {})[term] = None
             elif kind != "text" and field is None:
-                table.setdefault(word, []).append(label)
-        if table:
-            values = {"text": F.col(f"__words_{name}"), "tag": F.col(name)}.get(kind, F.array(F.col(name)))
-            found.append(F.coalesce(_labels_of(values, table), F.array().cast("array<string>")))
-    return found
+                shape = ("start", len(leaf.text)) if isinstance(leaf, Prefix) else ("word", 1)
+                others.setdefault((name, *shape), {}).setdefault(leaf.text, []).append(marks[label])
+    none = F.array().cast("array<string>")
+
+    def hits(name: str, words: Column) -> Column:
+        """Keys of one field; the terms of each kind are cut with what the words can be."""
+        keys = []
+        for (field_name, field, how, length), terms in texts.items():
+            if field_name == name:
+                cut = F.array_intersect(_looked_up((how, length), terms, words), _list(terms))
+                keys.append(_headed(f"{field or ''}|{how}{length}|", cut))
+        return F.concat(*keys)
+
+    keys, labels = [], []
+    for name in dict.fromkeys(name for name, *_ in texts):
+        # A one-element array binds the words, so that a text is split once.
+        bound = F.transform(F.array(f"__words_{name}"), lambda words: hits(name, words))  # noqa: B023
+        keys.append(F.coalesce(F.flatten(bound), none))
+    for (name, how, length), terms in others.items():
+        values = F.col(name) if kinds[name] == "tag" else F.array(F.col(name))
+        labels.append(F.coalesce(_marks_of(_looked_up((how, length), terms, values), terms), none))
+    return keys, labels, rows
 
 
 def label_matches(df: DataFrame, queries, name: str = "_query") -> DataFrame:
     """One row per document and matching label. All labels are tested in one pass over the texts."""
     found, columns, kinds = labelled(queries), df.columns, search_kinds(df)
     many = sum(q.size() for q in found.values()) >= _SPLIT_FROM
-    plain = {label: word for label, q in found.items() if many and (word := _plain_word(q, kinds))}
+    plain = {label: leaf for label, q in found.items() if many and (leaf := _plain(q, kinds))}
     others = {label: q for label, q in found.items() if label not in plain}
     if many:
         texts, stored = [n for n, kind in kinds.items() if kind == "text"], words_columns(df)
@@ -659,7 +886,18 @@ def label_matches(df: DataFrame, queries, name: str = "_query") -> DataFrame:
     lowered = {n: f"__lower_{n}" for n in _unstored_texts(df)} if others else {}
     bound = df.withColumns({alias: F.lower(F.col(n)) for n, alias in lowered.items()}) if lowered else df
     subjects = _subjects(df, lambda n: F.col(lowered[n]) if n in lowered else None)
-    labels = F.array(*[F.when(q.column(subjects), F.lit(label)) for label, q in others.items()]).cast("array<string>")
-    if plain:
-        labels = F.array_distinct(F.concat(*_word_labels(df, plain), labels))
-    return bound.select(*columns, F.explode(labels).alias(name)).where(F.col(name).isNotNull())
+    if not plain:
+        labels = F.array(*[F.when(q.column(subjects), F.lit(label)) for label, q in others.items()]).cast("array<string>")
+        return bound.select(*columns, F.explode(labels).alias(name)).where(F.col(name).isNotNull())
+    marks = {label: f"={i}" for i, label in enumerate(found)}
+    keys, own, rows = _term_keys(df, plain, marks)
+    rows = [(key, label, marks[label]) for key, label in [*rows, *((mark, label) for label, mark in marks.items())]]
+    own.append(F.array(*[F.when(q.column(subjects), F.lit(marks[label])) for label, q in others.items()]).cast("array<string>"))
+    table = df.sparkSession.createDataFrame(rows, "__key string, __label string, __mark string")
+    bound = bound.withColumn("__own", F.array_compact(F.concat(*own)))
+    held = bound.select(*columns, "__own", F.explode(F.array_distinct(F.concat("__own", *keys))).alias("__key"))
+    # The labels were typed or listed by the caller, so they are few next to any text.
+    held = held.join(F.broadcast(table) if len(rows) <= MAX_SENT_LABELS else table, "__key")
+    # A label that was found in another field as well counts once.
+    again = (F.col("__key") != F.col("__mark")) & F.array_contains("__own", F.col("__mark"))
+    return held.where(~again).select(*columns, F.col("__label").alias(name))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from docsieve.functions import dates
 from docsieve.functions.text import all_true, label_matches, labelled
 from docsieve.operators.filters import select
-from docsieve.operators.search import Sort, order_by
+from docsieve.operators.order import Sort, order_by
 from docsieve.schema import ID, col, fields_of
 from docsieve.session import keep
 

@@ -2,64 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Iterator, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions.snippets import present
 from docsieve.operators.filters import select
+from docsieve.operators.order import RANDOM, Sort, order_by
+from docsieve.operators.scroll import behind, snapshot, with_id
 from docsieve.schema import ID, Snippet
 
-RANDOM = "?"
-# A page is cut from the first rows of the sort order, which one task holds; next_batch goes any deeper.
-MAX_DEPTH = 100_000
-
-
-@dataclass(frozen=True)
-class Sort:
-    field: str
-    descending: bool = False
-
-    @staticmethod
-    def of(spec: Any) -> list[Sort]:
-        """Sort keys from a name, a list of names, or ``{field: {"order": "desc"}}`` items."""
-        if spec is None:
-            return []
-        if isinstance(spec, (str, Sort, Mapping)):
-            spec = [spec]
-        keys = []
-        for item in spec:
-            if isinstance(item, Sort):
-                keys.append(item)
-            elif isinstance(item, str):
-                keys.append(Sort(item))
-            else:
-                for name, options in item.items():
-                    order = options if isinstance(options, str) else options.get("order", "asc")
-                    if order not in ("asc", "desc"):
-                        raise ValueError(f"unknown order {order!r}")
-                    keys.append(Sort(name, order == "desc"))
-        return keys
-
-
-def random_key(seed: int, id_column: str = ID) -> Column:
-    """A shuffled order that a re-run task or a later page gives again: a digest of id and seed."""
-    return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
-
-
-def order_by(sort: Sequence[Sort], id_column: str = ID, seed: int = 0) -> list[Column]:
-    """Sort columns; documents without a key come last, and the id settles ties."""
-    columns = []
-    for key in sort:
-        column = random_key(seed, id_column) if key.field == RANDOM else F.col(key.field)
-        columns.append(column.desc_nulls_last() if key.descending else column.asc_nulls_last())
-    if id_column not in [key.field for key in sort]:
-        columns.append(F.col(id_column).asc())
-    return columns
+# Up to so many rows a page is cut from the first rows of the sort order, which one task holds; deeper ones are read from a
+# snapshot of the order.
+TOP_ROWS = 100_000
 
 
 def sort_documents(df: DataFrame, sort: Any, seed: int = 0) -> DataFrame:
@@ -94,7 +51,8 @@ def search(
     """Matching documents, one page of them or (``page=None``) all.
 
     ``fields`` is a list of names, or a dict from name to a ``Snippet`` (None for the whole value). Snippets and
-    marks are made after the page is cut, so only for the rows that are shown.
+    marks are made after the page is cut, so only for the rows that are shown. A page behind the first TOP_ROWS rows is
+    read from a snapshot, which is made at once; to read several such pages, make one `snapshot` and take them from it.
     """
     chosen = _fields(fields)
     keys = Sort.of(sort)
@@ -102,10 +60,10 @@ def search(
     needed = dict.fromkeys([ID, *chosen, *[k.field for k in keys if k.field != RANDOM]])
     found = found.select(*needed)
     if page is not None:
-        if (page + 1) * per_page > MAX_DEPTH:
-            raise ValueError(f"pages reach {MAX_DEPTH} rows deep; read on with next_batch")
-        order = order_by(keys, seed=seed)
-        found = found.orderBy(*order).offset(page * per_page).limit(per_page)
+        if (page + 1) * per_page > TOP_ROWS:
+            found = snapshot(found, keys, seed).rows(page * per_page, per_page)
+        else:
+            found = found.orderBy(*order_by(keys, seed=seed)).offset(page * per_page).limit(per_page)
     elif keys:
         found = found.orderBy(*order_by(keys, seed=seed))
     shown = {name: params for name, params in chosen.items() if name != ID}
@@ -123,34 +81,18 @@ def page_meta(df: DataFrame, per_page: int = 10, page: int = 0, queries=None, fi
     )
 
 
-def next_batch(
-    df: DataFrame, size: int, after: Mapping[str, Any] | None = None, sort: Any = None
-) -> DataFrame:
+def next_batch(df: DataFrame, size: int, after: Mapping[str, Any] | None = None, sort: Any = None) -> DataFrame:
     """The next ``size`` rows behind the row ``after`` (a dict of its sort keys and id).
 
     Unlike a page number this costs the same at any depth: rows before the cursor are filtered, not counted.
     Rows without a key come last, as in every order, and are read like the others.
     """
-    keys = Sort.of(sort)
-    if ID not in [k.field for k in keys]:
-        keys = [*keys, Sort(ID)]
+    keys = with_id(sort)
     if after is not None:
-        steps = []
-        for i, key in enumerate(keys):
-            same = [F.col(k.field).eqNullSafe(F.lit(after[k.field])) for k in keys[:i]]
-            column, bound = F.col(key.field), after[key.field]
-            if bound is None:
-                continue  # nothing comes behind a missing key but rows that miss it too
-            behind = (column < bound if key.descending else column > bound) | column.isNull()
-            steps.append(reduce(lambda a, b: a & b, [*same, behind]))
-        df = df.where(reduce(lambda a, b: a | b, steps))
+        df = df.where(behind(keys, after))
     return df.orderBy(*order_by(keys)).limit(size)
 
 
 def batches(df: DataFrame, size: int, sort: Any = None) -> Iterator[list[Any]]:
-    """Batch after batch until the end. For an interactive reader; a whole result is better written out."""
-    keys = [k.field for k in Sort.of(sort)]
-    after = None
-    while rows := next_batch(df, size, after, sort).collect():
-        yield rows
-        after = {name: rows[-1][name] for name in dict.fromkeys([*keys, ID])}
+    """Batch after batch until the end, from a snapshot: one sort for all of them."""
+    yield from snapshot(df, sort).batches(size)

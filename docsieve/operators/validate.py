@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.functions.coerce import CHECKS, COERCERS, URL, is_boolean, is_date, is_integer, is_number
 from docsieve.functions.ids import link_type, path_extension
 from docsieve.schema import MEDIA_TYPES
+from docsieve.session import keep
 
 # Shares and lengths of the type rules, and the number of examples shown.
 MAX_INVALID = 0.2
@@ -195,11 +197,26 @@ def coerce_rows(df: DataFrame, types: Mapping[str, str], names: Mapping[str, str
 
 
 def find_duplicates(df: DataFrame, identifiers: Sequence[str] | None = None) -> DataFrame:
-    """Identifier values that more than one row has, with the number of rows; all columns if none are given."""
+    """Identifier values that more than one row has, with the number of rows; all columns if none are given.
+
+    Values of open length are first counted by a digest of 128 bits, which runs a job at once. Only values whose digest
+    repeats are then grouped themselves, so that long texts that occur once are not shuffled.
+    """
     keys = list(identifiers or df.columns)
+    if any(_is_long(df.schema[k].dataType) for k in keys):
+        # Hashes pass over nulls, so where they are counts as well.
+        parts = [F.col(k) for k in keys] + [F.col(k).isNull() for k in keys]
+        digest = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("again"), *parts).alias("b"))
+        counts = df.groupBy(digest.alias("__digest")).agg(F.count(F.lit(1)).alias("n"))
+        repeated = keep(counts.where("n > 1").select("__digest"), "digests")
+        df = df.withColumn("__digest", digest).join(repeated, "__digest", "left_semi").drop("__digest")
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def _is_long(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+
+
 def has_duplicates(df: DataFrame, identifiers: Sequence[str] | None = None) -> bool:
     return not find_duplicates(df, identifiers).isEmpty()
 

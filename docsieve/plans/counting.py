@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.dates import PARTS
@@ -11,12 +10,12 @@ from docsieve.operators.aggregate import (
     Metric,
     TopHits,
     aggregate,
-    bucket_order,
     bucket_page,
     field_stats,
     field_values,
     ordered,
 )
+from docsieve.operators.scroll import numbered
 from docsieve.plans.corpora import (
     BENCHMARK,
     CONVERSATIONS,
@@ -305,9 +304,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     axes = ["o_orderstatus", Axis("o_orderdate", "year")]
-    buckets = ordered(aggregate(orders(spark, sf_dir), axes), axes)
-    place = F.row_number().over(Window.orderBy(*bucket_order(axes))).cast("bigint")
-    return buckets.select("*", place.alias("place"))
+    return numbered(ordered(aggregate(orders(spark, sf_dir), axes), axes), "place")
 
 
 @query(

@@ -31,7 +31,7 @@ from docsieve.sources.files import (
     source_text_folder,
     store_listing,
 )
-from docsieve.streaming.ingest import fold, ingest, watch_documents
+from docsieve.streaming.ingest import compact, fold, ingest, take, watch_documents
 
 
 @query("source_csv", f"SELECT _id AS id, text, lang, CAST(n_chars AS VARCHAR) AS n_chars FROM {DOCUMENTS}")
@@ -148,3 +148,22 @@ def _(spark, sf_dir):
         ingest(stream, staging, scratch_path(spark, "progress")).awaitTermination()
     new = {n: f for n, f in fields_of(full).items() if n in ("event_type", "value")}
     return fold(stored, staging, "upsert", new).table.select("_id", "ts", "event_type", "value")
+
+
+@query(
+    "ingest_resent",
+    f"SELECT _id, CASE WHEN CAST(_id AS BIGINT) % 3 = 0 THEN 'second' ELSE 'first' END AS event_type, value FROM {EVENTS}",
+)
+def _(spark, sf_dir):
+    # One source sends all, another a third of them later; then the first one's batch comes again, twice.
+    full = events(spark, sf_dir)
+    stored = declare(full.select("_id", "value"), {"value": "number"})
+    staging, new = scratch_path(spark, "staging"), {"event_type": "keyword"}
+    first = full.select("_id", F.lit("first").alias("event_type"))
+    second = first.where("CAST(_id AS BIGINT) % 3 = 0").withColumn("event_type", F.lit("second"))
+    take(first, staging, "one", 0)
+    take(second, staging, "two", 0)
+    take(first, staging, "one", 0)
+    compact(stored, staging, "upsert", new)
+    take(first, staging, "one", 0)
+    return fold(stored, staging, "upsert", new).table.select("_id", "event_type", "value")

@@ -8,6 +8,7 @@ from docsieve.functions.snippets import highlight, highlight_merge, highlight_st
 from docsieve.functions.text import Phrase, Prefix, Word, store_words
 from docsieve.operators.access import allowed_fields, project_allowed
 from docsieve.operators.filters import select
+from docsieve.operators.scroll import snapshot
 from docsieve.operators.search import next_batch, page_meta, project_fields, search
 from docsieve.plans.corpora import (
     BENCHMARK,
@@ -278,6 +279,46 @@ def _(spark, sf_dir):
     return search(documents(spark, sf_dir), labels, fields=["lang"], page=None)
 
 
+# A thousand made-up labels: words and starts of two syllables, and phrases of two frequent words.
+_SYLLABLES = [c + v for c in "bcdfghjklmnprstvz" for v in "aeiou"]
+_MANY_WORDS = [a + b for a in _SYLLABLES for b in _SYLLABLES][::21][:334]
+_MANY_STARTS = [a + b for a in _SYLLABLES for b in _SYLLABLES][7::21][:333]
+_FREQUENT = "the of and to in that was der und die den von de la le les et des el los del en".split()
+_MANY_PHRASES = [f"{a} {b}" for a in _FREQUENT for b in _FREQUENT if a > b][:231] + [f"{a} {a}" for a in _FREQUENT]
+_MANY_PHRASES += [f"{a} {b} {c}" for a, b, c in zip(_FREQUENT * 4, _FREQUENT[3:] * 5, _FREQUENT[1:] * 5)][:80]
+
+
+def _many_labels():
+    leaves = [*map(Word, _MANY_WORDS), *map(Prefix, _MANY_STARTS), *map(Phrase, _MANY_PHRASES)]
+    return {f"label {i}": leaf for i, leaf in enumerate(leaves)}
+
+
+def _sql_list(texts) -> str:
+    return "[" + ", ".join(f"'{text}'" for text in texts) + "]"
+
+
+_MANY_SQL = f"""list_has_any(w, {_sql_list(_MANY_WORDS)})
+    OR list_has_any(list_transform(w, lambda x: left(x, 4)), {_sql_list(t for t in _MANY_STARTS if len(t) == 4)})
+    OR list_has_any(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                    {_sql_list(t for t in _MANY_PHRASES if t.count(" ") == 1)})
+    OR list_has_any(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+                    {_sql_list(t for t in _MANY_PHRASES if t.count(" ") == 2)})"""
+_MANY_VALUES = " OR ".join(
+    f"{field} IN (SELECT unnest({_sql_list(_MANY_WORDS + _MANY_PHRASES)}))"
+    f" OR left({field}, 4) IN (SELECT unnest({_sql_list(_MANY_STARTS)}))"
+    for field in ("lang", "source")
+)
+
+
+@query(
+    "match_labels_many",
+    f"""SELECT _id, lang FROM (SELECT _id, lang, source, {words_sql("text")} AS w FROM {DOCUMENTS})
+        WHERE {_MANY_SQL} OR {_MANY_VALUES}""",
+)
+def _(spark, sf_dir):
+    return search(documents(spark, sf_dir), _many_labels(), fields=["lang"], page=None)
+
+
 @query("match_stored_words", f"SELECT _id FROM {DOCUMENTS} WHERE contains({N}, ' that ') AND contains({N}, ' on the ')")
 def _(spark, sf_dir):
     return search(store_words(documents(spark, sf_dir), "text"), 'that AND "on the"', page=None)
@@ -291,6 +332,21 @@ def _(spark, sf_dir):
     return search(rated_documents(spark, sf_dir), "lang:de AND text:der AND _exists_:quality", page=None)
 
 
+@query(
+    "match_field_values",
+    f"""SELECT _id, o_orderstatus, o_totalprice FROM {TAGGED_ORDERS}
+        WHERE (o_totalprice >= 100000 AND o_totalprice < 250000.5) AND o_orderdate >= TIMESTAMP '1996-03-01'
+          AND CAST(o_orderdate AS DATE) <= DATE '1998-02-28' AND o_orderstatus IN ('F', 'O') AND NOT o_custkey = 7
+          AND tags IS NOT NULL AND len(tags) > 0""",
+)
+def _(spark, sf_dir):
+    typed = (
+        "+o_totalprice:[100000 TO 250000.5} +o_orderdate:[1996-03-01 TO 1998-02] +o_orderstatus:[F TO O]"
+        " +_exists_:tags -o_custkey:7"
+    )
+    return search(tagged_orders(spark, sf_dir), typed, fields=["o_orderstatus", "o_totalprice"], page=None)
+
+
 @query(
     "match_wildcard",
     f"SELECT _id FROM {DOCUMENTS} WHERE regexp_matches({N}, ' th[^ ]t ') OR regexp_matches({N}, ' eau[^ ]*ai ')",
@@ -378,6 +434,30 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "page_far",
+    f"""SELECT _id, o_orderstatus, o_totalprice FROM {ORDERS}
+        ORDER BY o_orderstatus, o_totalprice DESC, _id LIMIT 100 OFFSET (SELECT count(*) - 250 FROM {ORDERS})""",
+)
+def _(spark, sf_dir):
+    # Near the end of a snapshot, where a page is read from one or two of its ranges.
+    df = project_fields(orders(spark, sf_dir), ["o_orderstatus", "o_totalprice"])
+    sorted_orders = snapshot(df, ["o_orderstatus", {"o_totalprice": "desc"}])
+    return sorted_orders.rows(sorted_orders.total - 250, 100)
+
+
+@query(
+    "scroll_after",
+    f"""SELECT _id, quality, n_chars FROM {RATED_DOCUMENTS}
+        WHERE quality < 1 OR quality IS NULL OR (quality = 1 AND (n_chars > 3000 OR (n_chars = 3000 AND _id > '5')))
+        ORDER BY quality DESC NULLS LAST, n_chars, _id LIMIT 150""",
+)
+def _(spark, sf_dir):
+    df = project_fields(rated_documents(spark, sf_dir), ["quality", "n_chars"])
+    cursor = {"quality": 1, "n_chars": 3000, "_id": "5"}
+    return snapshot(df, [{"quality": "desc"}, "n_chars"]).after(cursor, 150)
+
+
 @query(
     "page_meta",
     f"""SELECT count(*) AS total_count, 20 AS per_page, CAST(ceil(count(*) / 20.0) AS BIGINT) AS page_count, 3 AS page

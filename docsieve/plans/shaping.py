@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docsieve.operators.aggregate import Axis, aggregate, field_stats
+from docsieve.operators.scroll import numbered
 from docsieve.operators.shape import (
     auto_interval,
     column_stats,
@@ -93,8 +93,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     buckets = aggregate(events(spark, sf_dir), [Axis("ts", "dayofweek")])
-    rows = in_part_order(buckets, "ts_dayofweek", "dayofweek").limit(7)
-    return rows.select("*", (F.monotonically_increasing_id() + 1).alias("place"))
+    return numbered(in_part_order(buckets, "ts_dayofweek", "dayofweek"), "place")
 
 
 @query(
@@ -104,9 +103,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     wide = pivot_wide(aggregate(documents(spark, sf_dir), ["source", "lang"]), "source", "lang", LANGS)
-    # All rows come out sorted, so their numbers show the order.
-    rows = sort_by_total(wide, LANGS)
-    return rows.select("*", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint").alias("place"))
+    return numbered(sort_by_total(wide, LANGS), "place")
 
 
 @query(

@@ -49,6 +49,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docsieve/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop knows them: folders may lie in any store that Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_folders(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
+    """Names of the folders in a folder, none if it does not exist; only those that a job has ``finished`` writing."""
+    place, store = _folder(spark, path)
+    if not store.exists(place):
+        return []
+    found = [entry.getPath() for entry in store.listStatus(place) if entry.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.getName() for p in found if not finished or store.exists(done(p, "_SUCCESS")))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that this library has written; nothing happens if it is not there."""
+    place, store = _folder(spark, path)
+    store.delete(place, True)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps need to the shared folder, and read it from there.
 

@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import text as X
 from docsieve.functions.snippets import highlight_merge, highlight_strip
+from docsieve.functions.text import (
+    Fuzzy,
+    InField,
+    Lexicon,
+    NoneOf,
+    Phrase,
+    Prefix,
+    Word,
+    any_of,
+    gathered,
+    label_matches,
+    store_words,
+    where_matches,
+)
 from docsieve.plans.corpora import documents
 from docsieve.schema import Snippet, declare
 from docsieve.operators.search import search
@@ -177,3 +191,50 @@ def test_groups_in_typed_queries(docs, query, found):
 def test_unreadable_groups(query):
     with pytest.raises(ValueError):
         X.shorthand(query)
+
+
+def _made_up(spark, dice):
+    vocabulary = ["the", "of", "a's", "b.c", "été", "x_1", "12", "foo", "bar", "baz", "Qux", "ni"]
+    rows = []
+    for i in range(200):
+        text = " ".join(dice.choice(vocabulary) for _ in range(dice.randrange(0, 15)))
+        tags = [dice.choice(vocabulary) for _ in range(dice.randrange(0, 3))]
+        rows.append((str(i), text if i % 13 else None, dice.choice([*vocabulary, "foo bar"]), tags if i % 7 else None))
+    df = spark.createDataFrame(rows, "_id string, text string, k string, t array<string>")
+    return declare(df, {"text": "text", "k": "keyword", "t": "tag"}), vocabulary
+
+
+def test_many_labels_are_looked_up(spark, monkeypatch):
+    """Words, starts and phrases that are looked up together, against one test for each."""
+    df, vocabulary = _made_up(spark, random.Random(4))
+    leaves = [*map(Word, vocabulary[:5]), *map(Prefix, ("fo", "é", "ba", "q", "12", "z", "te-"))]
+    leaves += map(Phrase, ("the of", "foo bar baz", "ni ni", "été", "x_1 12", "A's b.c", "foo bar"))
+    leaves += [Word("none"), Word("foo bar"), InField("text", Word("qux")), InField("k", Prefix("Q"))]
+    leaves += [InField("text", Phrase("bar foo")), Fuzzy("fop", 1), Word("Foo"), Word("foo")]
+    for wanted in (leaves, leaves[12:19], leaves[20:], leaves[5:12]):
+        labels = {f"label {i}": leaf for i, leaf in enumerate(wanted)}
+        found = []
+        for many in (2, 10**9):
+            monkeypatch.setattr("docsieve.functions.text._SPLIT_FROM", many)
+            assert isinstance(gathered(any_of(labels)), Lexicon if wanted == leaves[12:19] and many == 2 else object)
+            pairs = label_matches(df, labels).select("_id", "_query").collect()
+            found.append(
+                (
+                    ids(where_matches(df, labels)),
+                    ids(where_matches(store_words(df, "text"), labels)),
+                    ids(where_matches(df, NoneOf((any_of(labels),)))),
+                    sorted(map(tuple, pairs)),
+                )
+            )
+        assert found[0] == found[1] and found[0][0]
+
+
+def test_a_thousand_labels_make_no_larger_plan(spark):
+    df, vocabulary = _made_up(spark, random.Random(4))
+    sizes = []
+    for count in (30, 1000):
+        kinds = (Word, Prefix, lambda t: Phrase(f"{t} the"))
+        labels = {str(i): kinds[i % 3](f"{vocabulary[i % 12]}{i}") for i in range(count)}
+        plan = where_matches(df, labels)._jdf.queryExecution().optimizedPlan()
+        sizes.append(plan.toString().count("exists("))
+    assert sizes[0] == sizes[1]

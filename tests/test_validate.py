@@ -168,3 +168,16 @@ def test_missing_media(spark):
 
 def test_limits_are_the_documented_ones():
     assert (validate.MAX_INVALID, validate.MAX_DISTINCT, validate.MAX_KEYWORD, validate.MAX_EXAMPLES) == (0.2, 0.5, 256, 100)
+
+
+def test_long_duplicates_are_found_by_digest(spark, tmp_path):
+    rows = [("a", None, 1), ("a", None, 2), (None, "a", 3), ("b", "b" * 2000, 4), ("c", "b" * 2000, 5), ("c", "b" * 2000, 6)]
+    spark.createDataFrame(rows * 1, "t string, u string, n int").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(values(find_duplicates(df, ["t", "u"])), key=str) == [("a", None, 2), ("c", "b" * 2000, 2)]
+    assert values(find_duplicates(df, ["u"]).where("u is null")) == [(None, 2)]
+    assert values(find_duplicates(df)) == [] and values(find_duplicates(df, ["n"])) == []
+    # Only the values that repeat are dealt out.
+    counts = find_duplicates(df, ["t", "u"])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(t") < plan.index("LeftSemi")
