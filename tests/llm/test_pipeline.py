@@ -61,3 +61,16 @@ def test_stages(spark, documents):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_and_empty(spark, odd):
+    """Nulls, empty and long texts, repeated ids, columns with clashing names, and no rows at all, through all stages."""
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, SF)
+            if name != "sentencepiece":
+                assert made.dtypes == docs.dtypes
+                # The rules reject most of these texts, so the other stages see all of them.
+                made.count()
+            else:
+                assert made.count() == docs.count()
