@@ -7,12 +7,14 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docsieve.operators.objects import split_key
 from docsieve.schema import ID, SPARK_TYPES, Field, Snippet, declare, fields_of
+from docsieve.session import keep
 
 
 _MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -26,19 +28,48 @@ def column_name(name: str) -> str:
 def source_csv(spark: SparkSession, path: str, separator: str = ",", multiline: bool = True) -> DataFrame:
     """A table with a header, all values as strings, without rows whose cells are all empty.
 
-    Texts may hold line breaks, so a file is read by one task; ``multiline=False`` lets Spark split big files. In a
-    folder all files must have the same columns in the same order, else reading fails. A name that comes twice once
-    it is simplified gets a number.
+    Cells may hold line breaks, and big files are split all the same: one job looks whether any line leaves a quote
+    open. If none does, files are read line by line. Else lines are numbered by the record they belong to, see
+    `_numbered_lines`, put together and kept in the shared folder. Files whose quotes do not follow the rules (quotes
+    inside bare cells) are read by one task each, as Spark does. With ``multiline=False`` nobody looks, and every line
+    is a record.
+
+    In a folder all files must have the same columns in the same order, else reading fails. A name that comes twice
+    once it is simplified gets a number.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("sep", separator)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    if not multiline:
+        return _simple_names(_csv_reader(spark, separator, False).csv(path))
+    whole = _csv_reader(spark, separator, True).csv(path)
+    lines = _csv_lines(spark, path)
+    # A carriage return inside a line would count as the end of a record, so such lines are put together as well.
+    broken = (F.col("odd") == 1) | F.col("value").contains("\r")
+    seen = lines.agg(
+        F.coalesce(F.bool_or(broken), F.lit(False)).alias("broken"),
+        F.coalesce(F.bool_and(_well_quoted(F.col("value"), separator) | broken), F.lit(True)).alias("regular"),
+    ).first()
+    if not seen["broken"]:
+        return _simple_names(_csv_reader(spark, separator, not seen["regular"]).csv(path))
+    records = keep(_csv_records(_numbered_lines(lines)), "csv-records")
+    options = {"sep": separator, "escape": '"', "multiLine": "true"}
+    schema = ", ".join(f"c{i} string" for i in range(len(whole.columns)))
+    cells = F.from_csv("value", schema, options)
+    header = F.when(F.col("number") == 1, F.to_json(cells))
+    seen = records.agg(
+        F.bool_and(_well_quoted(F.col("value"), separator)).alias("regular"),
+        (F.min(header) == F.max(header)).alias("alike"),
+    ).first()
+    if not (seen["regular"] and seen["alike"]):
+        return _simple_names(whole)
+    rows = records.where("number > 1").select(cells.alias("cells")).select("cells.*")
+    return _simple_names(rows.toDF(*whole.columns))
+
+
+def _csv_reader(spark: SparkSession, separator: str, multiline: bool) -> DataFrameReader:
+    reader = spark.read.option("header", True).option("sep", separator).option("multiLine", multiline)
+    return reader.option("escape", '"').option("inferSchema", False).option("enforceSchema", False)
+
+
+def _simple_names(df: DataFrame) -> DataFrame:
     names: list[str] = []
     for name in map(column_name, df.columns):
         number, new = 1, name
@@ -49,6 +80,65 @@ def source_csv(spark: SparkSession, path: str, separator: str = ",", multiline:
     return df.toDF(*names).dropna(how="all")
 
 
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with file, chunk (place of a split in its file), place in the chunk, and whether their quotes are odd."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\r\z", "").alias("value"),
+        F.col("value").endswith("\r").alias("returned"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("chunk"),
+        # Lines of a chunk come in order, and the numbers given in a task rise.
+        F.monotonically_increasing_id().alias("place"),
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.withColumn("odd", F.pmod(quotes, F.lit(2)))
+
+
+def _well_quoted(record: Column, separator: str) -> Column:
+    """Whether all quotes of a record surround whole cells or are doubled, and no bare cell holds a carriage return."""
+    border = re.escape(separator)
+    bare = F.replace(record, F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(bare, rf'(^|{border})"[^"]*"(?={border}|\z)', "$1")
+    return ~bare.contains('"') & ~bare.contains("\r")
+
+
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    """Lines with the ``number`` of their record in the file, from 1.
+
+    A line begins a record where the quotes before it are even. Inside a chunk they are counted from its start; whether
+    that start lies in a cell, and how many records begin before it, follows from sums over the chunks before, a row
+    each. So no task holds more than a chunk, and a file that cannot be split is one chunk.
+    """
+    chunk = ["file", "chunk"]
+    before = Window.partitionBy(*chunk).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*chunk).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+
+    def inside(df: DataFrame) -> DataFrame:
+        return df.withColumn("inner", F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)))
+
+    # The records that begin in a chunk, by the parity it starts with.
+    sums = inside(lines.select(*chunk, "place", "odd")).groupBy(*chunk).agg(
+        F.sum("odd").alias("odds"), F.count_if(F.col("inner") == 0).alias("even_0"), F.count_if(F.col("inner") == 1).alias("even_1")
+    )
+    earlier = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("open", F.pmod(F.coalesce(F.sum("odds").over(earlier), F.lit(0)), F.lit(2)))
+    begun = F.when(F.col("open") == 0, F.col("even_0")).otherwise(F.col("even_1"))
+    sums = sums.select(*chunk, "open", begun.alias("begun")).withColumn("done", F.coalesce(F.sum("begun").over(earlier), F.lit(0)))
+    joined = inside(lines).join(sums.drop("begun"), chunk)
+    number = F.col("done") + F.sum((F.col("inner") == F.col("open")).cast("bigint")).over(upto)
+    return joined.select("value", "returned", *chunk, "place", number.alias("number"))
+
+
+def _csv_records(lines: DataFrame) -> DataFrame:
+    """Whole records with their ``number``, in the order of the files. A range of records is put together by one task."""
+    records = lines.repartitionByRange("file", "number").groupBy("file", "number").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "place", "value", "returned"))).alias("parts")
+    )
+    text = F.transform("parts", lambda p: F.concat(p["value"], F.when(p["returned"], "\r\n").otherwise("\n")))
+    joined = F.regexp_replace(F.array_join(text, ""), r"\r?\n\z", "")
+    return records.select("file", "number", joined.alias("value")).sortWithinPartitions("file", "number")
+
+
 def sink_csv(df: DataFrame, path: str, separator: str = ",") -> None:
     """Write a selection or bucket rows with a header. Arrays become JSON."""
     columns = [

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import gzip
 import json
 import os
+import random
 
 import pytest
 from core_samples import ids, values
 
+import docsieve.sources.files as source_files
 from docsieve.operators.write import tag_where
 from docsieve.schema import Field, Snippet, declare, fields_of
 from docsieve.sources.files import (
@@ -48,6 +51,81 @@ def test_csv_round_trip(spark, docs, tmp_path):
     assert source_csv(spark, str(tmp_path / "tsv"), "\t").first()["tags"] == '["a\\tb"]'
 
 
+@pytest.fixture
+def small_chunks(spark):
+    """Files are split every 700 bytes, as big ones are every 128 MB."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "700")
+    yield
+    for n, value in before.items():
+        spark.conf.set(n, value)
+
+
+def one_task(spark, path, separator=","):
+    return source_files._simple_names(source_files._csv_reader(spark, separator, True).csv(path))
+
+
+def cell(dice: random.Random) -> str:
+    return "".join(dice.choices(["a", "ü", " ", ",", '"', "\n", "\n\n", "\t", "\\", "\r\n", "'"], k=dice.randrange(0, 60)))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("separator", [",", "\t", "|"])
+def test_csv_with_breaks_is_read_in_chunks(spark, tmp_path, small_chunks, end, separator):
+    """Cells with breaks, separators and quotes, over many chunks; some records are longer than a chunk."""
+    dice = random.Random(f"{end}{separator}")
+    rows = [[str(i), cell(dice), cell(dice) * dice.choice([1, 1, 1, 40])] for i in range(300)]
+    rows[7] = ["id", "a text", "b"]  # A row that equals the header is a row.
+    for part in range(2):
+        with open(tmp_path / f"{part}.csv", "w", encoding="utf-8", newline="") as file:
+            writer = csv.writer(file, delimiter=separator, lineterminator=end)
+            writer.writerows([["id", "a text", "b"], *rows[part::2]])
+    lines = source_files._csv_lines(spark, str(tmp_path))
+    assert lines.select("file", "chunk").distinct().count() > 20
+    found = source_csv(spark, str(tmp_path), separator)
+    assert found.columns == ["id", "a_text", "b"]
+    assert sorted(values(found)) == sorted(tuple(c or None for c in r) for r in rows)
+    assert "FileScan csv" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_lines_without_breaks_need_no_shuffle(spark, tmp_path, small_chunks):
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x, ""y"""\n' for i in range(400)))
+    found = source_csv(spark, str(tmp_path))
+    assert found.count() == 400 and found.rdd.getNumPartitions() > 3
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'a,b\n5" disk,x\n6" disk,y\n',  # Quotes in bare cells, one a line: together they look like a break.
+        'a,b\n5" disk,x\n',
+        'a,b\n"x" y,1\n"p\nq",2\n',
+        "a,b\r1,2\r3,4\r",
+        'a,b\r\n"x\ry",2\r\n',
+        'a,b\n"x\ny"\n1,2,3\n\n,\n"",""\n',
+        '\ufeffa,b\n"x\ny",2\n',
+        '"a\nb",c\n"1\n2",3',
+        "a,b\n",
+        'a,b\n"open\n1,2\n',
+    ],
+)
+def test_odd_csv_is_read_as_by_one_task(spark, tmp_path, text):
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    found, plain = source_csv(spark, str(tmp_path / "t.csv")), one_task(spark, str(tmp_path / "t.csv"))
+    assert found.columns == plain.columns
+    assert sorted(map(str, values(found))) == sorted(map(str, values(plain)))
+
+
+def test_csv_files_with_other_columns_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"x\ny",2\n')
+    (tmp_path / "b.csv").write_text('b,a\n"x\ny",2\n')
+    with pytest.raises(Exception, match="header"):
+        source_csv(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("compression", ["gzip", None])
 def test_export_round_trip(spark, docs, tmp_path, compression):
     full = declare(docs, {"text": Field("text", access="snippet", max_snippet=Snippet(10, 1, 5))})
