@@ -33,12 +33,16 @@ def effective_role(
     rules: DataFrame,
     caps: DataFrame | None = None,
     min_role: str | None = None,
+    contexts: Sequence[str] | None = None,
 ) -> DataFrame:
     """Role per user and project: exact address before ``*@domain`` before ``*``; rows ``(email, role_context, role)``.
 
-    ``caps`` holds key restrictions ``(email, server_role, default_project_role, project_roles map)``.
+    There is a row for every user in every project with a rule for everyone, so ask for the users and ``contexts``
+    (projects) that are needed; for all of them at once there is `role_rules`. ``rules`` may be its result. ``caps`` holds key restrictions ``(email, server_role, default_project_role, project_roles map)``.
     The strongest rule is chosen first and then tested against ``min_role``.
     """
+    if contexts is not None:
+        rules = rules.where(F.col("role_context").isin(*contexts))
     salt = F.pmod(F.xxhash64("email"), F.lit(_SPREAD)).cast("int")
     domain = F.concat(F.lit("*@"), F.substring_index("email", "@", -1))
     patterns = F.array(
@@ -65,6 +69,25 @@ def effective_role(
     return ranked.select("email", "role_context", role_name(F.col("rank")).alias("role"))
 
 
+def role_rules(rules: DataFrame) -> DataFrame:
+    """What all users may do, as one row per pattern (address, ``*@domain`` or ``*``) and project.
+
+    Rows ``(email, role_context, role, overrides)``: the strongest role of the pattern, and that of the next wider
+    pattern with a rule in the project, which would hold without it (null if there is none). The rows grow with the
+    rules, not with users times projects. `effective_role` makes from them the rows of the users who are asked for.
+    """
+    best = rules.groupBy("email", "role_context").agg(F.max(role_rank(F.col("role"))).alias("rank"))
+    wide = F.col("email").startswith("*")
+    rows = best.withColumn("domain", F.when(~wide, F.concat(F.lit("*@"), F.substring_index("email", "@", -1))))
+    domains = best.where(F.col("email").startswith("*@"))
+    domains = domains.select(F.col("email").alias("domain"), "role_context", F.col("rank").alias("of_domain"))
+    # At most one row per project, so no join makes rows.
+    everyone = best.where("email = '*'").select("role_context", F.col("rank").alias("of_all"))
+    rows = rows.join(domains, ["domain", "role_context"], "left").join(everyone, "role_context", "left")
+    overrides = F.when(F.col("email") != "*", F.coalesce("of_domain", "of_all"))
+    return rows.select("email", "role_context", role_name(F.col("rank")).alias("role"), role_name(overrides).alias("overrides"))
+
+
 def _capped(ranked: DataFrame, caps: DataFrame) -> DataFrame:
     joined = ranked.join(caps, "email", "left")
     server = role_rank(F.col("server_role"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from docsieve.functions.ids import mime_from_extension, path_extension, path_file, path_folder
-from docsieve.operators.access import effective_role
+from docsieve.operators.access import effective_role, role_rules
 from docsieve.operators.objects import (
     delete_objects,
     list_objects,
@@ -274,3 +274,25 @@ def _(spark, sf_dir):
         )
     )
     return effective_role(users(spark, sf_dir), rules(spark, sf_dir), caps, "METAREADER")
+
+
+@query(
+    "role_rules",
+    f"""SELECT r.email, r.role_context, r.role,
+          CASE WHEN r.email = '*' THEN NULL ELSE coalesce(d.role, a.role) END AS overrides
+        FROM {RULES} r LEFT JOIN {RULES} d ON r.email NOT LIKE '*%' AND d.role_context = r.role_context
+          AND d.email = '*@' || split_part(r.email, '@', 2)
+        LEFT JOIN {RULES} a ON a.role_context = r.role_context AND a.email = '*'""",
+)
+def _(spark, sf_dir):
+    # Each rule comes twice, the second time as NONE, which never is the stronger one.
+    again = rules(spark, sf_dir).withColumn("role", F.lit("NONE"))
+    return role_rules(rules(spark, sf_dir).unionByName(again))
+
+
+@query(
+    "effective_role_of_projects",
+    f"SELECT email, role_context, role FROM {_MATCHED} WHERE role_context IN ('NATION_1', 'BRAZIL')",
+)
+def _(spark, sf_dir):
+    return effective_role(users(spark, sf_dir), role_rules(rules(spark, sf_dir)), contexts=["NATION_1", "BRAZIL"])

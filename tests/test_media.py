@@ -8,7 +8,7 @@ from core_samples import values
 from pyspark.sql import functions as F
 
 from docsieve.functions.ids import mime_from_extension, path_extension, path_file, path_folder
-from docsieve.operators.access import allowed_fields, check_request, effective_role, project_allowed
+from docsieve.operators.access import ROLES, allowed_fields, check_request, effective_role, project_allowed, role_rules
 from docsieve.operators.objects import (
     REGISTER,
     delete_objects,
@@ -167,6 +167,48 @@ def test_roles(spark):
     assert {k: v for k, v in roles(spark, min_role="METAREADER").items() if k[1] == "q"} == {("other", "q"): "WRITER"}
 
 
+def test_rules_by_pattern(spark):
+    rules = spark.createDataFrame([*RULES, ("*@domain.com", "open", "READER"), ("*", "open", "NONE")], "email string, role_context string, role string")
+    found = role_rules(rules)
+    assert {(r["email"], r["role_context"]): (r["role"], r["overrides"]) for r in found.collect()} == {
+        ("user@domain.com", "p"): ("READER", "METAREADER"),
+        ("*@domain.com", "p"): ("METAREADER", None),
+        ("*@domain.com", "q"): ("WRITER", None),
+        ("user@domain.com", "q"): ("NONE", "WRITER"),
+        ("*", "open"): ("OBSERVER", None),
+        ("*@domain.com", "open"): ("READER", "OBSERVER"),
+        ("user@domain.com", "_server"): ("ADMIN", None),
+    }
+    assert role_rules(rules.limit(0)).collect() == []
+
+
+def test_expanded_rules_are_the_roles(spark):
+    """Random rules, some of them twice: rows grow with the rules, and expanding them loses nothing."""
+    dice = random.Random(5)
+    people = [f"u{i}@d{i % 4}.example" for i in range(40)]
+    patterns = [*people, *[f"*@d{i}.example" for i in range(5)], "*"]
+    rows = [(dice.choice(patterns), f"p{dice.randrange(12)}", dice.choice(list(ROLES))) for _ in range(300)]
+    rules = spark.createDataFrame(rows, "email string, role_context string, role string")
+    users = spark.createDataFrame([(p,) for p in people], "email string")
+    compact = role_rules(rules)
+    assert compact.count() == len({r[:2] for r in rows})
+    expected = {}
+    for person in people:
+        for pattern in ("*", "*@" + person.split("@")[1], person):
+            for context in {r[1] for r in rows if r[0] == pattern}:
+                expected[person, context] = max((r[2] for r in rows if r[:2] == (pattern, context)), key=ROLES.get)
+    for given in (rules, compact):
+        found = effective_role(users, given).collect()
+        assert {(r["email"], r["role_context"]): r["role"] for r in found} == expected and len(found) == len(expected)
+    some = effective_role(users, compact, contexts=["p1", "p7"]).collect()
+    assert {(r["email"], r["role_context"]): r["role"] for r in some} == {k: v for k, v in expected.items() if k[1] in ("p1", "p7")}
+    # Who has no rule of their own has what the rule overrides.
+    narrow = {(r["email"], r["role_context"]): r["overrides"] for r in compact.collect()}
+    without = effective_role(users, compact.where("email like '*%'")).collect()
+    without = {(r["email"], r["role_context"]): r["role"] for r in without}
+    assert all(without.get(k) == v for k, v in narrow.items() if not k[0].startswith("*"))
+
+
 def test_key_restrictions(spark):
     caps = spark.createDataFrame(
         [("user@domain.com", "WRITER", "OBSERVER", {"p": "METAREADER"}), ("other@domain.com", None, "READER", None)],
