@@ -71,11 +71,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     store.delete(place, True)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a result that several later steps need to the shared folder, and read it from there.
 
-    It is then made once, outlives lost executors, and Spark knows its size when it plans the joins.
+    It is then made once, outlives lost executors, and Spark knows its size when it plans the joins. ``zstd`` makes
+    texts smaller.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)

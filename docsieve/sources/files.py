@@ -30,7 +30,7 @@ def source_csv(spark: SparkSession, path: str, separator: str = ",", multiline:
 
     Cells may hold line breaks, and big files are split all the same: one job looks whether any line leaves a quote
     open. If none does, files are read line by line. Else lines are numbered by the record they belong to, see
-    `_numbered_lines`, put together and kept in the shared folder. Files whose quotes do not follow the rules (quotes
+    `_numbered_lines`, put together chunk by chunk and kept in the shared folder. Files whose quotes do not follow the rules (quotes
     inside bare cells) are read by one task each, as Spark does. With ``multiline=False`` nobody looks, and every line
     is a record.
 
@@ -49,7 +49,7 @@ def source_csv(spark: SparkSession, path: str, separator: str = ",", multiline:
     ).first()
     if not seen["broken"]:
         return _simple_names(_csv_reader(spark, separator, not seen["regular"]).csv(path))
-    records = keep(_csv_records(_numbered_lines(lines)), "csv-records")
+    records = _csv_records(keep(_csv_pieces(_numbered_lines(lines)), "csv-pieces", "zstd"))
     options = {"sep": separator, "escape": '"', "multiLine": "true"}
     schema = ", ".join(f"c{i} string" for i in range(len(whole.columns)))
     cells = F.from_csv("value", schema, options)
@@ -103,7 +103,7 @@ def _well_quoted(record: Column, separator: str) -> Column:
 
 
 def _numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines with the ``number`` of their record in the file, from 1.
+    """Lines with the ``number`` of their record in the file, from 1, and whether it has ``begun`` in this chunk.
 
     A line begins a record where the quotes before it are even. Inside a chunk they are counted from its start; whether
     that start lies in a cell, and how many records begin before it, follows from sums over the chunks before, a row
@@ -126,17 +126,29 @@ def _numbered_lines(lines: DataFrame) -> DataFrame:
     sums = sums.select(*chunk, "open", begun.alias("begun")).withColumn("done", F.coalesce(F.sum("begun").over(earlier), F.lit(0)))
     joined = inside(lines).join(sums.drop("begun"), chunk)
     number = F.col("done") + F.sum((F.col("inner") == F.col("open")).cast("bigint")).over(upto)
-    return joined.select("value", "returned", *chunk, "place", number.alias("number"))
+    numbered = joined.withColumn("number", number)
+    return numbered.select("value", "returned", "odd", *chunk, "place", "number", (F.col("number") > F.col("done")).alias("begun"))
 
 
-def _csv_records(lines: DataFrame) -> DataFrame:
-    """Whole records with their ``number``, in the order of the files. A range of records is put together by one task."""
-    records = lines.repartitionByRange("file", "number").groupBy("file", "number").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "place", "value", "returned"))).alias("parts")
+def _csv_pieces(lines: DataFrame) -> DataFrame:
+    """The part of each record that lies in one chunk, and whether it is the ``whole`` record. Nothing is shuffled."""
+    line = F.struct("place", "value", "returned")
+    pieces = lines.groupBy("file", "chunk", "number").agg(
+        F.array_sort(F.collect_list(line)).alias("lines"),
+        (F.bool_or("begun") & (F.pmod(F.sum("odd"), F.lit(2)) == 0)).alias("whole"),
     )
-    text = F.transform("parts", lambda p: F.concat(p["value"], F.when(p["returned"], "\r\n").otherwise("\n")))
-    joined = F.regexp_replace(F.array_join(text, ""), r"\r?\n\z", "")
-    return records.select("file", "number", joined.alias("value")).sortWithinPartitions("file", "number")
+    text = F.transform("lines", lambda p: F.concat(p["value"], F.when(p["returned"], "\r\n").otherwise("\n")))
+    pieces = pieces.select("file", "chunk", "number", "whole", F.array_join(text, "").alias("value"))
+    return pieces.sortWithinPartitions("file", "chunk", "number")
+
+
+def _csv_records(pieces: DataFrame) -> DataFrame:
+    """Records with their ``number``. Only what goes on in another chunk, two pieces a chunk at most, is brought together."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "value")))
+    joined = F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("value")
+    others = pieces.where("not whole").groupBy("file", "number").agg(joined)
+    records = pieces.where("whole").select("number", "value").unionByName(others.select("number", "value"))
+    return records.withColumn("value", F.regexp_replace("value", r"\r?\n\z", ""))
 
 
 def sink_csv(df: DataFrame, path: str, separator: str = ",") -> None:
