@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsieve.functions.coerce import CHECKS, COERCERS, URL, is_boolean, is_date, is_integer, is_number
+from docsieve.functions.coerce import CHECKS, COERCERS, URL, coerce_number, is_boolean, is_date, is_number
 from docsieve.functions.ids import link_type, path_extension
 from docsieve.schema import MEDIA_TYPES
 from docsieve.session import keep
@@ -33,6 +33,19 @@ def _cells(df: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array(*cells)).alias("cell")).select(*keep, "cell.*")
 
 
+def _classes(cells: DataFrame) -> DataFrame:
+    """Cells with what each may be. A cell is tried by each pattern at most once, and only if its start allows for it."""
+    value, start = F.col("value"), F.ascii("value")
+    digit = start.between(ord("0"), ord("9"))
+    number = F.when(digit | (start == ord("-")), coerce_number(value))
+    date = F.when(digit & (F.substring(value, 5, 1) == "-"), is_date(value))
+    url = F.when(start == ord("h"), value.rlike(URL))
+    boolean = F.when(F.length(value) <= len("false"), is_boolean(value))
+    found = cells.select("column", "value", number.alias("number"), date.alias("date"), url.alias("url"), boolean.alias("boolean"))
+    # Not merged into the select above, as `number` occurs twice.
+    return found.withColumn("integer", F.col("number") == F.floor("number"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """The field type each column most likely has; rows ``(column, type)``.
 
@@ -41,19 +54,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     """
     names, value = df.columns, F.col("value")
     counts = (
-        _cells(df, names)
+        _classes(_cells(df, names))
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_if(~is_date(value)).alias("date"),
-            F.count_if(~is_number(value)).alias("number"),
-            F.count_if(~is_integer(value)).alias("integer"),
-            F.count_if(~F.coalesce(value.rlike(URL), F.lit(False))).alias("url"),
-            F.count_if(~is_boolean(value)).alias("boolean"),
+            F.count_if(F.col("date")).alias("date"),
+            F.count("number").alias("number"),
+            F.count_if(F.col("integer")).alias("integer"),
+            F.count_if(F.col("url")).alias("url"),
+            F.count_if(F.col("boolean")).alias("boolean"),
             F.hll_sketch_estimate(F.hll_sketch_agg(value, _SKETCH)).alias("distinct"),
             F.count_if(value.isNull()).alias("null"),
             F.max(F.length(value)).alias("longest"),
-            F.count_if(F.coalesce(value.contains(" "), F.lit(False))).alias("spaced"),
+            F.count_if(value.contains(" ")).alias("spaced"),
         )
     )
     # One row per column, so the driver gets no more than the schema is long.
@@ -66,17 +79,17 @@ def infer_types(df: DataFrame) -> DataFrame:
         return (profile[i]["distinct"] + (profile[i]["null"] > 0)) / rows
 
     def early(i: int) -> str | None:
-        invalid = profile[i]
-        if invalid["date"] / rows < MAX_INVALID:
+        fits = profile[i]
+        if (rows - fits["date"]) / rows < MAX_INVALID:
             return "date"
-        if invalid["number"] / rows < MAX_INVALID:
-            return "integer" if invalid["integer"] == 0 else "number"
-        if invalid["url"] == 0:
+        if (rows - fits["number"]) / rows < MAX_INVALID:
+            return "integer" if fits["integer"] == rows else "number"
+        if fits["url"] == rows:
             return "url"
-        if invalid["boolean"] == 0:
+        if fits["boolean"] == rows:
             return "boolean"
         # Values without blanks are keywords whatever their distinct share.
-        return "keyword" if invalid["spaced"] == 0 else None
+        return "keyword" if fits["spaced"] == 0 else None
 
     found = [early(i) for i in range(len(names))]
     open_ = [i for i, kind in enumerate(found) if kind is None]

@@ -164,6 +164,8 @@ def sink_csv(df: DataFrame, path: str, separator: str = ",") -> None:
 
 # Types of the tagged lines in an export.
 _SETTINGS, _FIELD, _ROLE, _DOCUMENT = "settings", "field", "user_role", "document"
+# The folders of an export: documents, and all other lines.
+_PART, _HEAD = "part", "head"
 
 
 def _field_line(name: str, field: Field) -> dict[str, Any]:
@@ -191,17 +193,25 @@ def sink_export(
     roles: Iterable[tuple[str, str]] = (),
     compression: str | None = "gzip",
 ) -> None:
-    """Write a project as tagged JSON lines: settings, fields, roles (none that give no access) and documents."""
+    """Write a project as tagged JSON lines: settings, fields, roles (none that give no access) and documents.
+
+    Documents lie in a folder of their own beside the other lines, so that these are found without reading documents.
+    """
     spark, fields = df.sparkSession, fields_of(df)
     head: list[dict[str, Any]] = [{"_type": _SETTINGS, **(settings or {})}]
     head += [_field_line(name, field) for name, field in fields.items()]
     head += [{"_type": _ROLE, "email": email, "role": role} for email, role in roles if role != "NONE"]
-    lines = spark.createDataFrame([(json.dumps(line),) for line in head], "value string").coalesce(1)
+    lines = spark.createDataFrame([(json.dumps(line), _HEAD) for line in head], f"value string, {_PART} string").coalesce(1)
     values = [_as_json(df, name, field) for name, field in fields.items()]
     record = F.struct(F.lit(_DOCUMENT).alias("_type"), F.col(ID), *values)
     documents = df.select(F.to_json(record, {"timestampNTZFormat": _MOMENT}).alias("value"))
-    writer = lines.unionByName(documents).write.mode("overwrite")
-    (writer.option("compression", compression) if compression else writer).text(path)
+
+    def writer(rows: DataFrame):
+        made = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        return made.option("compression", compression) if compression else made
+
+    writer(lines).partitionBy(_PART).text(path)
+    writer(documents).text(f"{path}/{_PART}={_DOCUMENT}")
 
 
 def _as_json(df: DataFrame, name: str, field: Field):
@@ -220,33 +230,47 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("line_type", F.coalesce(leading, F.get_json_object("value", "$._type")))
 
 
+def _part(lines: DataFrame, name: str) -> DataFrame:
+    """Lines in one folder of the export; all lines if it is not laid out in folders."""
+    return lines.where(F.col(_PART) == name) if _PART in lines.columns else lines
+
+
+def _head(lines: DataFrame, line_type: str) -> DataFrame:
+    return _part(lines, _HEAD).where(F.col("line_type") == line_type).select("value")
+
+
+def _field(line: Mapping[str, Any]) -> Field:
+    reader = line.get("metareader") or {}
+    limit = reader.get("max_snippet")
+    return Field(
+        line["type"],
+        line.get("elastic_type"),
+        bool(line.get("identifier")),
+        reader.get("access", "none"),
+        Snippet(**limit) if limit else None,
+    )
+
+
+def _fields(texts: Iterable[str]) -> dict[str, Field]:
+    lines = map(json.loads, texts)
+    return {line["name"]: _field(line) for line in lines}
+
+
 def export_fields(lines: DataFrame) -> dict[str, Field]:
     """Field settings from the few field lines of an export."""
-    found = {}
-    for row in lines.where(F.col("line_type") == _FIELD).select("value").collect():
-        line = json.loads(row["value"])
-        reader = line.get("metareader") or {}
-        limit = reader.get("max_snippet")
-        found[line["name"]] = Field(
-            line["type"],
-            line.get("elastic_type"),
-            bool(line.get("identifier")),
-            reader.get("access", "none"),
-            Snippet(**limit) if limit else None,
-        )
-    return found
+    return _fields(row["value"] for row in _head(lines, _FIELD).collect())
 
 
 def export_roles(lines: DataFrame) -> DataFrame:
     """Role rules of an export, without those that give no access."""
-    roles = lines.where(F.col("line_type") == _ROLE).select(
+    roles = _head(lines, _ROLE).select(
         F.get_json_object("value", "$.email").alias("email"), F.get_json_object("value", "$.role").alias("role")
     )
     return roles.where("role <> 'NONE'")
 
 
 def export_settings(lines: DataFrame) -> dict[str, Any] | None:
-    row = lines.where(F.col("line_type") == _SETTINGS).select("value").first()
+    row = _head(lines, _SETTINGS).first()
     if row is None:
         return None
     settings = json.loads(row["value"])
@@ -254,20 +278,30 @@ def export_settings(lines: DataFrame) -> dict[str, Any] | None:
     return settings
 
 
+def _fields_or_keys(lines: DataFrame) -> dict[str, Field]:
+    """What the field lines declare; if there are none, the keys of all documents as strings. Both in one reading.
+
+    Lines and keys are made distinct in the tasks first, so the driver gets a row per field.
+    """
+    items = F.when(F.col("line_type") == _FIELD, F.array("value")).when(F.col("line_type") == _DOCUMENT, F.json_object_keys("value"))
+    found = lines.select("line_type", F.explode(items).alias("item")).distinct().collect()
+    declared = _fields(row["item"] for row in found if row["line_type"] == _FIELD)
+    keys = sorted(row["item"] for row in found if row["line_type"] == _DOCUMENT)
+    return declared or {key: Field("keyword") for key in keys if key not in ("_type", ID)}
+
+
 def source_export(spark: SparkSession, path: str, fields: Mapping[str, Field] | None = None) -> DataFrame:
     """Documents of an export, plain or gzip, with the fields its own field lines declare.
 
-    Given ``fields``, the lines are read only once. Without field lines, the union of the keys of all documents
-    makes string fields. Ids that follow from identifiers are left out, to be made again when the documents are
-    written.
+    Documents are read only once if ``fields`` are given or the export is one of ``sink_export``; other files are
+    looked through for field lines before. Without field lines, the union of the keys of all documents makes string
+    fields. Ids that follow from identifiers are left out, to be made again when the documents are written.
     """
     lines = read_lines(spark, path)
-    fields = fields or export_fields(lines)
-    documents = lines.where(F.col("line_type") == _DOCUMENT)
-    if not fields:
-        keys = documents.select(F.explode(F.json_object_keys("value")).alias("key")).distinct()
-        names = sorted(row["key"] for row in keys.collect())
-        fields = {n: Field("keyword") for n in names if n not in ("_type", ID)}
+    if not fields and _PART in lines.columns:
+        fields = export_fields(lines)
+    fields = fields or _fields_or_keys(lines)
+    documents = _part(lines, _DOCUMENT).where(F.col("line_type") == _DOCUMENT)
     schema = T.StructType([T.StructField(ID, T.StringType())])
     for name, field in fields.items():
         dtype = T.VariantType() if field.type == "object" else SPARK_TYPES[field.type]

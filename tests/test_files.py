@@ -16,6 +16,7 @@ from docsieve.schema import Field, Snippet, declare, fields_of
 from docsieve.sources.files import (
     column_name,
     export_batches,
+    export_fields,
     export_roles,
     export_settings,
     read_lines,
@@ -219,3 +220,29 @@ def test_sending_batches_again_changes_nothing(spark, docs, tmp_path, operation)
     later = take("one")
     expected = {"index": "('7', None, 8, None)", "upsert": "('7', 'n', 8, None)", "create": "('7', 'n', 1, None)"}
     assert (expected[operation] in later) if operation in expected else later == first
+
+
+def test_export_is_read_once(spark, docs, tmp_path):
+    """Field, role and settings lines are found without reading documents, and documents without reading those."""
+    path = str(tmp_path / "export")
+    sink_export(docs, path, {"id": "p"}, [("a@b.c", "READER")], None)
+    lines = read_lines(spark, path)
+    for df, part in ((export_roles(lines), "head"), (source_export(spark, path), "document")):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") == 1 and "(part#" in text and f"= {part})" in text
+    # Documents that cannot be parsed do no harm as long as only the other lines are asked for.
+    (tmp_path / "export" / "part=document" / "broken.txt").write_text('{"_type": "document", "_id": ')
+    assert set(export_fields(read_lines(spark, path))) == set(docs.columns) - {"_id"}
+
+
+def test_export_in_one_file_with_declared_and_other_keys(spark, tmp_path):
+    """A plain file needs one look for both: field lines decide where there are some, also behind documents."""
+    document = '{"_type": "document", "_id": "1", "a": "x", "b": "y"}\n'
+    (tmp_path / "a.ndjson").write_text(document + '{"name": "b", "type": "keyword", "_type": "field"}\n')
+    assert values(source_export(spark, str(tmp_path / "a.ndjson"))) == [("1", "y")]
+    (tmp_path / "b.ndjson").write_text(document + '\n{"_type": "document", "_id": "2", "c d": "z"}\n')
+    found = source_export(spark, str(tmp_path / "b.ndjson"))
+    assert found.columns == ["_id", "a", "b", "c d"]
+    assert sorted(values(found)) == [("1", "x", "y", None), ("2", None, None, "z")]
+    (tmp_path / "c.ndjson").write_text("")
+    assert values(source_export(spark, str(tmp_path / "c.ndjson"))) == []

@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from docsieve.functions.coerce import ISO_DATE, NUMBER, URL
 from docsieve.functions.text import AnyOf, Word
 from docsieve.operators.aggregate import aggregate
 from docsieve.operators.filters import select
+from docsieve.operators.validate import _classes
 from docsieve.operators.write import _last
 from docsieve.plans import all_queries
 from docsieve.plans.corpora import documents, events
@@ -85,3 +87,11 @@ def test_a_hot_bucket_is_combined_before_the_shuffle(spark):
 def test_a_repeated_id_is_folded_before_the_shuffle(spark):
     batch = spark.range(10).select((F.col("id") % 3).cast("string").alias("_id"), F.col("id").alias("__position"))
     assert "row_number(), 1, Partial" in plan(_last(batch))
+
+
+def test_types_try_each_pattern_once_per_cell(spark):
+    cells = spark.createDataFrame([(0, "1.5"), (0, "-2"), (0, "2020-01-01"), (0, None), (0, "")], "column int, value string")
+    text = plan(_classes(cells))
+    assert text.count(NUMBER) == text.count(ISO_DATE) == text.count(URL) == 1
+    found = [tuple(r) for r in _classes(cells).select("number", "date", "integer").collect()]
+    assert found == [(1.5, None, False), (-2.0, None, True), (None, True, None), (None, None, None), (None, None, None)]
