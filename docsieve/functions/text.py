@@ -316,28 +316,62 @@ class Near(Leaf):
 
     def on_text(self, subject: Subject) -> Column:
         terms = words_of(self.text)
-        places = {term: [i for i, other in enumerate(terms) if other == term] for term in terms}
-        padding = F.array(*[F.lit("")] * (len(terms) - 1)) if len(terms) > 1 else F.array().cast("array<string>")
-        bound = F.array(F.concat(padding, subject.words()))
-
-        # Moving word i back by i places, all words must fall into a span of slop + 1 places. A word given several times
-        # needs a place for each: any run of its spans must hold it as often as there are spans (Hall's condition).
-        def fits(tokens: Column) -> Column:
-            def held(at: Column) -> Column:
-                tests = [F.array_contains(F.slice(tokens, at + i, self.slop + 1), t) for i, t in enumerate(terms)]
-                for term, own in places.items():
-                    for a, first in enumerate(own):
-                        for b, last in enumerate(own[a + 1 :], a + 1):
-                            span = F.slice(tokens, at + first, last - first + self.slop + 1)
-                            tests.append(F.size(F.filter(span, lambda t: t == F.lit(term))) > b - a)
-                return all_true(tests)
-
-            return F.exists(F.sequence(F.lit(1), F.size(tokens)), held)
-
+        if not terms:
+            return F.lit(True)
+        distinct = dict.fromkeys(terms)
         found = subject.may_hold(terms)
         if subject.stored is None:  # only texts that have all words are split
-            found = all_true([found, *[subject.lower.rlike(whole_word(term)) for term in places]])
-        return found & F.exists(bound, fits)
+            found = all_true([found, *[subject.lower.rlike(whole_word(term)) for term in distinct]])
+
+        def near(tokens: Column) -> Column:
+            places = F.transform(tokens, lambda word, at: F.when(word.isin(*distinct), F.struct(at.alias("at"), word.alias("word"))))
+            held = F.array(F.filter(places, lambda place: place.isNotNull()))
+            return F.exists(held, lambda those: self._fits(those, terms, tokens))
+
+        return found & F.exists(F.array(subject.words()), near)
+
+    def _fits(self, held: Column, terms: Sequence[str], tokens: Column) -> Column:
+        """Whether the places that hold a searched word, in order, let all words be near.
+
+        Moving word i back by i places, all words must fall into a span of slop + 1 places. A sweep over the moved places
+        keeps where each word was last seen; the span of those is the smallest that ends there.
+        """
+
+        def moved(i: int, term: str) -> Column:
+            own = F.filter(held, lambda place: place["word"] == F.lit(term))
+            return F.transform(own, lambda place: F.struct((place["at"] - i).alias("at"), F.lit(i).alias("term")))
+
+        swept = F.array_sort(F.concat(*[moved(i, term) for i, term in enumerate(terms)]))
+        never = F.lit(-(2**30))
+        start = F.struct(F.array(*[never] * len(terms)).cast("array<int>").alias("last"), F.lit(False).alias("near"))
+
+        def step(state: Column, place: Column) -> Column:
+            last = F.transform(state["last"], lambda at, i: F.when(i == place["term"], place["at"]).otherwise(at))
+            near = state["near"] | (place["at"] - F.array_min(last) <= self.slop)
+            return F.struct(last.alias("last"), near.alias("near"))
+
+        near = F.aggregate(swept, start, step, lambda state: state["near"])
+        repeated = {term: [i for i, other in enumerate(terms) if other == term] for term in terms}
+        repeated = {term: own for term, own in repeated.items() if len(own) > 1}
+        return near & F.exists(swept, lambda place: self._distinct(tokens, place["at"], repeated, terms)) if repeated else near
+
+    def _distinct(self, tokens: Column, start: Column, repeated: Mapping[str, Sequence[int]], terms: Sequence[str]) -> Column:
+        """Whether the span of places from ``start`` has a place for each word.
+
+        A word given several times needs places of its own: any run of its spans must hold it as often as there are spans
+        (Hall's condition).
+        """
+
+        def span(first: int, last: int) -> Column:
+            begin = F.greatest(start + first, F.lit(0))
+            return F.slice(tokens, begin + 1, F.greatest(start + last + self.slop + 1 - begin, F.lit(0)))
+
+        tests = [F.array_contains(span(i, i), term) for i, term in enumerate(terms) if term not in repeated]
+        for term, own in repeated.items():
+            for a, first in enumerate(own):
+                for b, last in enumerate(own[a:], a):
+                    tests.append(F.size(F.array_remove(span(first, last), term)) + b - a < F.size(span(first, last)))
+        return all_true(tests)
 
     def keyword_test(self, value: Column) -> Column:
         return value == F.lit(self.text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from itertools import product
 
 import pytest
 import regex
@@ -238,3 +239,13 @@ def test_a_thousand_labels_make_no_larger_plan(spark):
         plan = where_matches(df, labels)._jdf.queryExecution().optimizedPlan()
         sizes.append(plan.toString().count("exists("))
     assert sizes[0] == sizes[1]
+
+
+def test_near_at_the_ends_and_in_long_texts(spark):
+    """The sweep against placing word by word, on texts of two or three words in every order."""
+    texts = [" ".join(ws) for n in range(1, 6) for ws in product("abc", repeat=n)] + ["x " * 3000 + "b x a", "b a " * 2000]
+    frame = declare(spark.createDataFrame(list(enumerate(texts)), "_id string, text string"), {"text": "text"})
+    for terms, slop in (("a b", 0), ("a b", 2), ("c a b", 1), ("c c a", 1), ("a b a b", 2)):
+        found = {int(r["_id"]) for r in frame.where(X.match(frame, X.Near(terms, slop))).collect()}
+        assert found == {i for i, t in enumerate(texts) if near(t.split(), terms.split(), slop)}, (terms, slop)
+    assert frame.where(X.match(frame, X.Near("", 1))).count() == len(texts)
