@@ -5,7 +5,7 @@ from html import unescape
 
 from llm_samples import SF
 
-from docsieve.llm.pages import extract_main, main_text, templates, tokens, valid_classes
+from docsieve.llm.pages import article_of, extract_main, main_text, page_of, templates, tokens, valid_classes
 
 
 def text(html: str, classes=None) -> str:
@@ -61,10 +61,10 @@ def pages_of_a_host(spark, count=8):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS host", "2 AS template", "3 AS text")
 
 
-def test_template_text_is_dropped(spark):
-    """What stands on all pages of a host in one place is template; a host with few pages has none."""
+def test_template_text_is_dropped_outside_of_the_article_only(spark):
+    """A line that stands in every article is part of each; one that stands beside them is template."""
     found = {r["page_id"]: r["text"] for r in extract_main(pages_of_a_host(spark)).collect()}
-    assert found[1] == "Title 1\nStory 1 goes on.\nStory 1 goes on."
+    assert found[1] == "Title 1\nBy the editors\nStory 1 goes on.\nStory 1 goes on."
     few = {r["page_id"]: r["text"] for r in extract_main(pages_of_a_host(spark, 2)).collect()}
     assert few[1] == "Title 1\nBy the editors\nStory 1 goes on.\nStory 1 goes on."
     host = templates(pages_of_a_host(spark).selectExpr("'h.org' AS host", "page_id AS page", "html")).collect()
@@ -117,5 +117,83 @@ def test_one_article_under_many_urls(spark):
     pages = pages_of_a_host(spark).select("page_id", "url", "html").collect()
     copies = [(100 + i, f"http://h.org/copy/{i}", pages[0]["html"]) for i in range(80)]
     found = texts_of(spark, [tuple(r) for r in pages] + copies)
-    assert found[1] == "Title 1\nStory 1 goes on.\nStory 1 goes on."
-    assert found[100] == found[0] == "Title 0\nStory 0 goes on."
+    assert found[1] == "Title 1\nBy the editors\nStory 1 goes on.\nStory 1 goes on."
+    assert found[100] == found[0] == "Title 0\nBy the editors\nStory 0 goes on."
+
+
+STORY = "Story {0} tells of things that happen on day {0} only, and goes on for a while as stories do. "
+
+
+def plain_page(i: int, banner: str = "", attributes: bool = False, paragraph: str = "p") -> str:
+    """A page whose elements have no telling names: a menu, an advert that differs, the article, notes that differ, and a foot."""
+    mark = (lambda c: f" class='{c}'") if attributes else (lambda c: "")
+    body = "".join(f"<{paragraph}>{STORY.format(f'{i}-{k}')}</{paragraph}>" for k in range(i % 3 + 2))
+    return (
+        f"<html><body>{banner}<div{mark('x1')}><ul><li>Home</li><li>News</li><li>Sport</li></ul></div>"
+        f"<div{mark('x2')}>Buy thing {i}</div>"
+        f"<div{mark('x3')}><h1>Head {i}</h1><{paragraph}>Dear readers,</{paragraph}>{body}<{paragraph}>Read on.</{paragraph}></div>"
+        f"<div{mark('x4')}><div>Seen {i} times</div><div>Also {i + 1}</div></div><div{mark('x5')}>All rights kept</div></body></html>"
+    )
+
+
+def plain_text(i: int) -> str:
+    lines = [f"Head {i}", "Dear readers,", *[STORY.format(f"{i}-{k}").strip() for k in range(i % 3 + 2)], "Read on."]
+    return "\n".join(lines)
+
+
+def test_only_the_template_separates(spark):
+    """Without telling names the template alone finds the article; text that stands in every article stays."""
+    for attributes, paragraph in ((False, "p"), (True, "p"), (True, "div")):
+        html = {i: plain_page(i, attributes=attributes, paragraph=paragraph) for i in range(12)}
+        found = texts_of(spark, [(i, f"http://h.org/{i}", html[i]) for i in html])
+        assert found == {i: plain_text(i) for i in html}
+        # With templates off the same pages keep everything.
+        off = main_text(page_of(html[1]), {})
+        assert "Buy thing 1" in off and "Home" in off and "All rights kept" in off
+    # Too few pages for a template.
+    few = texts_of(spark, [(i, f"http://h.org/{i}", html[i]) for i in range(3)])
+    assert "Buy thing 1" in few[1]
+
+
+def test_a_page_that_departs_from_the_template(spark):
+    """Pages with a banner, which moves all elements on, and pages with other elements keep their whole text."""
+    rows = [(i, f"http://h.org/{i}", plain_page(i)) for i in range(40)]
+    rows += [(40 + i, f"http://h.org/b{i}", plain_page(i, "<div>Banner</div>")) for i in range(2)]
+    rows.append((50, "http://h.org/other", "<html><body><table><tr><td>Quite another page</td></tr></table></body></html>"))
+    found = texts_of(spark, rows)
+    assert found[7] == plain_text(7)
+    assert all(line in found[41].split("\n") for line in plain_text(1).split("\n"))
+    assert found[50] == "Quite another page"
+
+
+def test_article_without_headings_and_page_without_template():
+    assert article_of([]) == 0
+    base = {"heads": 0, "single": True, "class": 5}
+    outer, inner, menu = (8 << 32) + 1, (8 << 32) + 2, (8 << 32) + 3
+    rows = [
+        {"token": 0, "parent": 0, "chars": 100, **base},
+        {"token": outer, "parent": 0, "chars": 100, **base},
+        {"token": inner, "parent": outer, "chars": 60, **base},
+        {"token": menu, "parent": outer, "chars": 40, **base},
+    ]
+    assert article_of(rows) == inner
+    rows[2]["heads"], rows[1]["heads"], rows[0]["heads"] = 1, 9, 9
+    assert article_of(rows) == outer
+
+
+def test_names_count_as_a_whole():
+    story = "<p>Story</p>"
+    for kept in ("has-sidebar", "search-results", "ad-free", "related-work", "no-comments", "shadow", "form-of-life"):
+        assert text(f"<div class='{kept}'>{story}</div><p>end") == "Story\nend", kept
+    for dropped in ("sidebar", "site-footer", "main-nav", "ad-slot-1", "comment-list", "x comments", "cookie_notice"):
+        assert text(f"<div class='{dropped}'>{story}</div><p>end") == "end", dropped
+    assert text("<fieldset>a <label>b</label> c</fieldset><form>d <label>e</label><fieldset>f</fieldset></form>") == "a b c"
+    # Where names would leave nothing, they are not heeded.
+    assert main_text(page_of(f"<div class='notice'>{story}</div>"), {}) == "Story"
+
+
+def test_header_of_the_article(spark):
+    """A header with the article's heading belongs to it, that of the page does not."""
+    html = "<body><header><a>Site</a></header><div><header><h1>Head {0}</h1></header><p>" + STORY + "</p><div class=comments>c {0}</div></div></body>"
+    found = texts_of(spark, [(i, f"http://h.org/{i}", html.format(i)) for i in range(8)])
+    assert found == {i: f"Head {i}\n{STORY.format(i).strip()}" for i in range(8)}
