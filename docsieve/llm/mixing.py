@@ -2,111 +2,92 @@
 
 from __future__ import annotations
 
-import heapq
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docsieve.llm.shared import keep, text_of, word_count
+from docsieve.llm.simhash import components
+from docsieve.operators.scroll import numbered
 
 BINS = 1024
 
 
-def target_sizes(sizes: Mapping, weights: Mapping, total: float, most: float = 2.0) -> dict:
-    """Share ``total`` by weight; a share stops at ``most`` times its source's size, the excess is shared again.
-
-    If every source is full, the rest of the total stays unused.
-    """
-    target, open_ = {}, {s for s in sizes if weights[s] > 0}
-    left = float(total)
-    while open_:
-        by_weight = sum(weights[s] for s in open_)
-        share = {s: left * weights[s] / by_weight for s in open_}
-        full = {s for s in open_ if share[s] > most * sizes[s]}
-        if not full:
-            target |= share
-            break
-        for s in full:
-            target[s] = most * sizes[s]
-        left -= sum(target[s] for s in sorted(full, key=str))
-        open_ -= full
-    return {s: target.get(s, 0.0) for s in sizes}
-
-
-@dataclass
-class _Edge:
-    to: int
-    room: int
-    cost: int
-    back: int
-
-
 def min_cost_flow(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequence[int], repeats: int = 2):
     """Words that each pattern sends to each of its sources, as {(pattern, source): words}.
 
     Pattern p offers ``capacity[p]`` words ``repeats`` times, the k-th time at cost k * k, so that a second use is only
-    made where first uses run out. Shortest augmenting paths with potentials; patterns and sources are few.
+    made where first uses run out. The cost of a path is that of its first step, as no path leads back to the start. So
+    shortest paths come level by level: all of one use, as a maximal flow, before any of the next.
     """
-    n = 2 + len(capacity) + len(quota)
-    graph: list[list[_Edge]] = [[] for _ in range(n)]
-
-    def link(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append(_Edge(b, room, cost, len(graph[b])))
-        graph[b].append(_Edge(a, 0, -cost, len(graph[a]) - 1))
-
-    source, sink = 0, n - 1
-    for p, words in enumerate(capacity):
-        for k in range(repeats):
-            link(source, 1 + p, int(words), k * k)
-        for s in members[p]:
-            link(1 + p, 1 + len(capacity) + s, int(words) * repeats, 0)
+    source, first, sink = 0, 1 + len(capacity), 1 + len(capacity) + len(quota)
+    steps: list[list[int]] = [[] for _ in range(sink + 1)]
+    to: list[int] = []
+    room: list[int] = []
+
+    def link(a: int, b: int, words: int) -> int:
+        steps[a].append(len(to))
+        steps[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((words, 0))
+        return len(to) - 2
+
+    offers = [link(source, 1 + p, 0) for p in range(len(capacity))]
+    routes = {(p, s): link(1 + p, first + s, int(capacity[p]) * repeats) for p in range(len(capacity)) for s in members[p]}
     for s, words in enumerate(quota):
-        link(1 + len(capacity) + s, sink, int(words), 0)
-    potential = [0] * n
+        link(first + s, sink, int(words))
+    for _ in range(repeats):
+        for p, offer in enumerate(offers):
+            room[offer] += int(capacity[p])
+        while _send(steps, to, room, source, sink):
+            pass
+    return {route: room[step + 1] for route, step in routes.items() if room[step + 1]}
+
+
+def _send(steps: Sequence[Sequence[int]], to: Sequence[int], room: list[int], source: int, sink: int) -> bool:
+    """Send as much as goes along the shortest paths that have room; whether there was one."""
+    depth = [-1] * len(steps)
+    depth[source] = 0
+    front = [source]
+    while front and depth[sink] < 0:
+        reached = []
+        for a in front:
+            for step in steps[a]:
+                if room[step] and depth[to[step]] < 0:
+                    depth[to[step]] = depth[a] + 1
+                    reached.append(to[step])
+        front = reached
+    if depth[sink] < 0:
+        return False
+    tried = [0] * len(steps)
+    path: list[int] = []
+    here = source
     while True:
-        distance: list[float] = [float("inf")] * n
-        distance[source] = 0
-        came: list[tuple[int, int] | None] = [None] * n
-        queue = [(0, source)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > distance[a]:
-                continue
-            for i, e in enumerate(graph[a]):
-                step = d + e.cost + potential[a] - potential[e.to]
-                if e.room > 0 and step < distance[e.to]:
-                    distance[e.to] = step
-                    came[e.to] = (a, i)
-                    heapq.heappush(queue, (step, e.to))
-        if came[sink] is None:
-            break
-        for v in range(n):
-            if distance[v] < float("inf"):
-                potential[v] += int(distance[v])
-        path, v = [], sink
-        while v != source:
-            a, i = came[v]
-            path.append(graph[a][i])
-            v = a
-        moved = min(e.room for e in path)
-        for e in path:
-            e.room -= moved
-            graph[e.to][e.back].room += moved
-    flow = {}
-    for p in range(len(capacity)):
-        for e in graph[1 + p]:
-            if e.to > len(capacity) and e.to != sink and graph[e.to][e.back].room:
-                flow[p, e.to - 1 - len(capacity)] = graph[e.to][e.back].room
-    return flow
-
-
-# One row per membership pattern reaches the driver; more patterns than this are refused.
-MAX_PATTERNS = 100_000
+        if here == sink:
+            words = min(room[step] for step in path)
+            for step in path:
+                room[step] -= words
+                room[step ^ 1] += words
+            full = next(i for i, step in enumerate(path) if not room[step])
+            here = to[path[full] ^ 1]
+            del path[full:]
+        elif tried[here] < len(steps[here]):
+            step = steps[here][tried[here]]
+            if room[step] and depth[to[step]] == depth[here] + 1:
+                path.append(step)
+                here = to[step]
+            else:
+                tried[here] += 1
+        elif here == source:
+            return True
+        else:
+            here = to[path.pop() ^ 1]
+            tried[here] += 1
 
 
 def _bin(level: int) -> Column:
@@ -114,46 +95,94 @@ def _bin(level: int) -> Column:
     return F.shiftrightunsigned("_order", 54 - 10 * level).bitwiseAND(F.lit(BINS - 1)).cast("int")
 
 
-def _cut_bins(docs: DataFrame, bin_: Column) -> dict[int, tuple[int, int]]:
+def _cut_bins(docs: DataFrame, bin_: Column, name: str, *found: str) -> DataFrame:
     """Per pattern the bin in which the sum of sizes passes ``_want``, and what is wanted inside it."""
-    sums = docs.groupBy("_pattern", "_want", bin_.alias("_bin")).agg(F.sum("_size").alias("_sum"))
-    upto = F.sum("_sum").over(Window.partitionBy("_pattern").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    sums = docs.groupBy("_spelled", *found, "_want", bin_.alias(name)).agg(F.sum("_size").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy("_spelled").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
     sums = sums.withColumn("_before", upto - F.col("_sum"))
     here = sums.where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_sum") >= F.col("_want")))
-    return {r["_pattern"]: (r["_bin"], r["_want"] - r["_before"]) for r in here.collect()}
+    return keep(here.select("_spelled", *found, name, (F.col("_want") - F.col("_before")).alias("_want")), "mix-bins")
 
 
-def _cuts(docs: DataFrame, want: dict[int, int]) -> dict[int, int]:
-    """Per pattern the place in the seeded order up to which documents are taken.
+def _cuts(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """(_spelled, _cut): per pattern the place in the seeded order up to which documents are taken.
 
     Bins of the order are summed; only the bin in which the sum passes what is wanted is looked into, in bins again and
     at last document by document. That last bin holds one in BINS * BINS of a pattern's documents, so no group of
-    documents meets in a task, and one row per pattern reaches the driver.
+    documents meets in a task.
     """
-    spark, schema = docs.sparkSession, "_pattern int, _want bigint, _b0 int, _b1 int"
-    rows = [(p, w, None, None) for p, w in sorted(want.items())]
-    for level in range(2):
-        if not rows:
-            return {}
-        wanted = F.broadcast(spark.createDataFrame(rows, schema))
-        inside = F.lit(True) if level == 0 else F.col("_b0") == _bin(0)
-        found = _cut_bins(docs.join(wanted, "_pattern").where(inside), _bin(level))
-        before = {r[0]: r[2] for r in rows}
-        rows = [(p, w, b, None) if level == 0 else (p, w, before[p], b) for p, (b, w) in sorted(found.items())]
-    if not rows:
-        return {}
-    last = docs.join(F.broadcast(spark.createDataFrame(rows, schema)), "_pattern")
-    last = last.where((F.col("_b0") == _bin(0)) & (F.col("_b1") == _bin(1)))
-    last = last.groupBy("_pattern", "_want", "_order").agg(F.sum("_size").alias("_size"))
-    upto = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))
+    outer = _cut_bins(docs.join(want, "_spelled"), _bin(0), "_b0")
+    inner = _cut_bins(docs.join(outer, "_spelled").where(F.col("_b0") == _bin(0)), _bin(1), "_b1", "_b0")
+    last = docs.join(inner, "_spelled").where((F.col("_b0") == _bin(0)) & (F.col("_b1") == _bin(1)))
+    last = last.groupBy("_spelled", "_want", "_order").agg(F.sum("_size").alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy("_spelled").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("_upto", upto)
     # The document on the border is taken if that comes nearer to what is wanted.
     near = F.col("_upto") - F.col("_want") <= F.col("_want") - (F.col("_upto") - F.col("_size"))
-    edge = last.groupBy("_pattern").agg(
-        F.max(F.when(near, F.col("_order"))).alias("taken"), F.min("_order").alias("first")
-    )
     # Orders are not negative, so the place before the first may be -1.
-    return {r["_pattern"]: r["first"] - 1 if r["taken"] is None else r["taken"] for r in edge.collect()}
+    taken = F.coalesce(F.max(F.when(near, F.col("_order"))), F.min("_order") - 1)
+    return last.groupBy("_spelled").agg(taken.alias("_cut"))
+
+
+def _targets(sources: DataFrame, weights: Sequence[float], total: float, most: float) -> DataFrame:
+    """``sources`` with ``_target``: ``total`` is shared by weight, a share stops at ``most`` times its source's size, and
+    the excess is shared again among the others. If every source is full, the rest of the total stays unused.
+
+    ``sources`` are numbered by ``_place`` from 1, and get the weights in turn. Sharing again only raises the shares, so
+    each round is a sum over all sources, and two numbers reach the driver.
+    """
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_place") - 1) % len(weights)).cast("int"))
+    bound = F.col("_source_size") * F.lit(float(most))
+    sources = sources.withColumn("_weight", weight)
+
+    def shared(left: float, by: float) -> Column:
+        return F.lit(left) * F.col("_weight") / F.lit(by) if by else F.lit(float("inf"))
+
+    def sums(full: Column):
+        row = sources.where("_weight > 0").agg(
+            F.sum(F.when(full, bound)).alias("bounds"), F.sum(F.when(~full, F.col("_weight"))).alias("by"), F.count_if(full).alias("full")
+        )
+        found = row.first()
+        return total - (found["bounds"] or 0.0), found["by"] or 0.0, found["full"]
+
+    left, by, full = sums(F.lit(False))
+    while by:
+        again = sums(shared(left, by) > bound)
+        if again[2] <= full:
+            break
+        left, by, full = again
+    target = F.when(F.col("_weight") > 0, F.least(shared(left, by), bound)).otherwise(0.0)
+    return sources.withColumn("_target", target).drop("_weight")
+
+
+def _flows(group: pd.DataFrame) -> pd.DataFrame:
+    """The words routed from the patterns of one component; ``_quotas`` are the names and quotas of their sources."""
+    group = group.sort_values("_spelled")
+    quotas = {q["name"]: q["quota"] for pattern in group["_quotas"] for q in pattern}
+    place = {name: i for i, name in enumerate(sorted(quotas))}
+    members = [[place[q["name"]] for q in pattern] for pattern in group["_quotas"]]
+    flow = min_cost_flow(group["_capacity"].tolist(), members, [quotas[name] for name in sorted(quotas)])
+    routed = [0] * len(group)
+    for (p, _), words in flow.items():
+        routed[p] += words
+    return pd.DataFrame({"_spelled": group["_spelled"], "_routed": routed})
+
+
+def _routes(patterns: DataFrame) -> DataFrame:
+    """(_spelled, _routed): the words that the flow takes from each pattern, from its ``_capacity`` and ``_quotas``.
+
+    Sources that share no document have flows of their own. A source that shares none at all takes what its one pattern
+    has, at most twice; the others are put into components, and the flow of each is found in one task, from a row per
+    pattern of it.
+    """
+    joint = patterns.where("size(_quotas) > 1").select(F.col("_quotas")[0]["name"].alias("a"), F.explode("_quotas.name").alias("b"))
+    roots = components(joint)
+    roots = roots.union(roots.select("root", "root")).distinct()
+    found = patterns.where("size(_quotas) > 0").join(roots, F.col("_quotas")[0]["name"] == F.col("node"), "left")
+    alone = F.least(F.col("_quotas")[0]["quota"], F.col("_capacity") * 2).alias("_routed")
+    shared = found.where("root is not null").select("_spelled", "_capacity", "_quotas", "root")
+    flows = shared.groupBy("root").applyInPandas(_flows, "_spelled string, _routed bigint")
+    return found.where("root is null").select("_spelled", alone).union(flows)
 
 
 def _placed(df: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
@@ -174,23 +203,20 @@ def _placed(df: DataFrame, doc_id: str, text: str, source: str, seed: int) -> Da
 
 @dataclass(frozen=True)
 class Mix:
-    """What a mix has decided: a row per membership pattern, at most MAX_PATTERNS of them."""
+    """What a mix has decided: a table with a row per membership pattern."""
 
-    rows: list[tuple]
+    rows: DataFrame
     doc_id: str
     text: str
     source: str
     seed: int
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """``df`` with columns ``_size``, ``_times``, ``_sources``, ``_source_sizes`` and ``_targets``, without a shuffle."""
-        schema = (
-            "_spelled string, _uses int, _cut bigint, _sources array<string>, _source_sizes array<bigint>, "
-            "_targets array<double>"
-        )
-        # At most MAX_PATTERNS rows, so sending them to every task is bounded.
-        known = F.broadcast(df.sparkSession.createDataFrame(self.rows, schema))
-        placed = _placed(df, self.doc_id, self.text, self.source, self.seed).join(known, "_spelled", "left")
+        """``df`` with columns ``_size``, ``_times``, ``_sources``, ``_source_sizes`` and ``_targets``.
+
+        Spark knows the size of the stored patterns, and sends them to all tasks if they are few.
+        """
+        placed = _placed(df, self.doc_id, self.text, self.source, self.seed).join(self.rows, "_spelled", "left")
         more = F.coalesce((F.col("_order") <= F.col("_cut")).cast("int"), F.lit(0))
         return placed.withColumn("_times", F.coalesce("_uses", F.lit(0)) + more).drop("_spelled", "_order", "_uses", "_cut")
 
@@ -211,46 +237,39 @@ def plan_mix(
     empty array belongs to none and is never taken. Sources in code point order (null last) get ``weights`` in turn and
     share ``share`` times the words of all documents; a target stops at ``most`` (at most 2) times its source's size.
     Documents are summed by membership pattern, the flow routes the patterns' words to the sources, second uses only
-    after first ones, and seeded documents are chosen pattern by pattern, always whole.
+    after first ones, and seeded documents are chosen pattern by pattern, always whole. Patterns and sources are tables
+    of any size; only sources that are linked by shared documents meet in one task.
 
     The order depends on id, text and seed alone, so reruns agree. Rows equal in id and text stand at the same place and
     are taken together. A null text has no words.
     """
     docs = _placed(df.select(doc_id, text, source), doc_id, text, source, seed).select("_spelled", "_size", "_order")
     docs = keep(docs, "mix-sizes")
-    found = docs.groupBy("_spelled").agg(F.sum("_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    rank = lambda s: (s is None, s or "")
-    patterns = sorted(((json.loads(r["_spelled"])["s"], r["size"], r["_spelled"]) for r in found), key=lambda p: p[2])
-    sources = sorted({s for members, _, _ in patterns for s in members}, key=rank)
-    place = {s: i for i, s in enumerate(sources)}
-    sizes = dict.fromkeys(sources, 0)
-    for members, size, _ in patterns:
-        for s in members:
-            sizes[s] += size
-    total = share * sum(size for _, size, _ in patterns)
-    target = target_sizes(sizes, {s: weights[i % len(weights)] for s, i in place.items()}, total, most)
-    flow = min_cost_flow(
-        [size for _, size, _ in patterns],
-        [[place[s] for s in members] for members, _, _ in patterns],
-        [round(target[s]) for s in sources],
+    patterns = keep(docs.groupBy("_spelled").agg(F.sum("_size").alias("_capacity")), "mix-patterns")
+    names = F.from_json("_spelled", "s array<string>")["s"]
+    links = patterns.select("_spelled", "_capacity", F.posexplode(names).alias("_at", "_source"))
+    links = links.withColumn("_name", F.to_json(F.struct("_source"), {"ignoreNullFields": "false"}))
+    sources = links.groupBy("_name", "_source").agg(F.sum("_capacity").alias("_source_size"))
+    sources = numbered(sources.orderBy(F.col("_source").asc_nulls_last()), "_place").drop("_source")
+    total = share * (patterns.agg(F.sum("_capacity")).first()[0] or 0)
+    sources = _targets(sources, weights, total, most)
+    # The members of a pattern, in their order.
+    member = F.struct("_at", "_source", "_source_size", "_target", "_name", F.rint("_target").cast("bigint").alias("_quota"))
+    members = links.join(sources, "_name").groupBy("_spelled", "_capacity").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    quotas = F.transform("m", lambda m: F.struct(m["_name"].alias("name"), m["_quota"].alias("quota")))
+    members = keep(members.withColumn("_quotas", quotas), "mix-members")
+    routed = keep(members.join(_routes(members), "_spelled").where("_capacity > 0"), "mix-routes")
+    uses = F.expr("_routed div _capacity")
+    want = routed.select("_spelled", (F.col("_routed") - uses * F.col("_capacity")).alias("_want")).where("_want > 0")
+    rows = routed.join(_cuts(docs, want), "_spelled", "left").select(
+        "_spelled", uses.cast("int").alias("_uses"), "_cut", *[F.col(f"m.{c}").alias(f"{c}s") for c in ("_source", "_source_size", "_target")]
     )
-    routed = [0] * len(patterns)
-    for (p, _), words in flow.items():
-        routed[p] += words
-    uses = [words // size if size else 0 for words, (_, size, _) in zip(routed, patterns)]
-    want = {p: routed[p] - uses[p] * size for p, (_, size, _) in enumerate(patterns)}
-    numbers = [(p, spelled) for p, (_, _, spelled) in enumerate(patterns)]
-    cuts = {}
-    if numbers:
-        known = F.broadcast(df.sparkSession.createDataFrame(numbers, "_pattern int, _spelled string"))
-        cuts = _cuts(docs.join(known, "_spelled"), {p: w for p, w in want.items() if w > 0})
-    rows = [
-        (spelled, uses[p], cuts.get(p), members, [sizes[s] for s in members], [target[s] for s in members])
-        for p, (members, _, spelled) in enumerate(patterns)
-    ]
-    return Mix(rows, doc_id, text, source, seed)
+    # Patterns without words are never taken, but have sources like others.
+    empty = members.where("_capacity = 0").select(
+        "_spelled", F.lit(0).alias("_uses"), F.lit(None).cast("bigint").alias("_cut"),
+        *[F.col(f"m.{c}").alias(f"{c}s") for c in ("_source", "_source_size", "_target")],
+    )
+    return Mix(keep(rows.union(empty), "mix"), doc_id, text, source, seed)
 
 
 def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:

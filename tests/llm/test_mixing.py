@@ -6,7 +6,28 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docsieve.llm.mixing import min_cost_flow, mix_sources, mixed_documents, target_sizes
+from docsieve.llm.mixing import _targets, min_cost_flow, mix_sources, mixed_documents
+
+
+def target_sizes(sizes, weights, total, most=2.0):
+    """The plain version of the targets. Share ``total`` by weight; a share stops at ``most`` times its source's size, the excess is shared again.
+
+    If every source is full, the rest of the total stays unused.
+    """
+    target, open_ = {}, {s for s in sizes if weights[s] > 0}
+    left = float(total)
+    while open_:
+        by_weight = sum(weights[s] for s in open_)
+        share = {s: left * weights[s] / by_weight for s in open_}
+        full = {s for s in open_ if share[s] > most * sizes[s]}
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = most * sizes[s]
+        left -= sum(target[s] for s in sorted(full, key=str))
+        open_ -= full
+    return {s: target.get(s, 0.0) for s in sizes}
 
 
 def test_targets():
@@ -102,3 +123,39 @@ def test_odd(odd, spark):
     assert {r["taken"] for r in mix_sources(empty).collect()} == {0}
     none = spark.createDataFrame([(1, "a b", None), (2, "c d", [])], "doc_id int, text string, source array<string>")
     assert {r["taken"] for r in mix_sources(none).collect()} == {0}
+
+
+def test_targets_of_a_table(spark):
+    """Against the plain version, with sources that fill up in several rounds."""
+    dice = random.Random(5)
+    for sizes in ([], [0, 0], [10], [1, 10, 100, 1000, 10000, 100000], [dice.randrange(0, 5000) for _ in range(200)]):
+        for weights in ((3, 1, 2), (1, 0)):
+            rows = spark.createDataFrame([(i + 1, n) for i, n in enumerate(sizes)], "_place bigint, _source_size bigint")
+            found = {r["_place"] - 1: r["_target"] for r in _targets(rows, weights, 1.5 * sum(sizes), 2.0).collect()}
+            plain = target_sizes(dict(enumerate(sizes)), {i: weights[i % len(weights)] for i in range(len(sizes))}, 1.5 * sum(sizes))
+            assert found == pytest.approx(plain)
+
+
+def test_flow_of_many_patterns():
+    """A flow of 20,000 patterns is a matter of seconds; quotas are met and nothing is used twice without need."""
+    dice = random.Random(1)
+    members = [dice.sample(range(500), 2) for _ in range(20_000)]
+    capacity = [dice.randrange(1, 100) for _ in members]
+    quota = [sum(capacity) // 500] * 500
+    flow = min_cost_flow(capacity, members, quota)
+    assert sum(flow.values()) == sum(quota) and cost_of(capacity, flow) == 0
+
+
+def test_100_000_sources(spark):
+    """Each document has a source of its own, but for some that two share; no number of patterns is refused."""
+    one = F.array(F.concat(F.lit("s"), F.col("id").cast("string")))
+    two = F.array_append(one, F.concat(F.lit("s"), (F.col("id") + 1).cast("string")))
+    text = F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int"))
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 100 == 0, two).otherwise(one).alias("source"))
+    rows = mix_sources(df).collect()
+    assert len(rows) == 100_000
+    for r in rows:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        # A document that is alone in its source comes as near to the target as whole documents can.
+        if r["doc_id"] % 100 > 1:
+            assert r["source_sizes"] == [r["size"]] and abs(r["taken"] - r["targets"][0]) <= r["size"] / 2 + 1
