@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,17 +155,18 @@ def _targets(sources: DataFrame, weights: Sequence[float], total: float, most: f
     return sources.withColumn("_target", target).drop("_weight")
 
 
-def _flows(group: pd.DataFrame) -> pd.DataFrame:
+def _flows(group: pa.Table) -> pa.Table:
     """The words routed from the patterns of one component; ``_quotas`` are the names and quotas of their sources."""
-    group = group.sort_values("_spelled")
-    quotas = {q["name"]: q["quota"] for pattern in group["_quotas"] for q in pattern}
+    group = group.sort_by("_spelled")
+    patterns = group.column("_quotas").to_pylist()
+    quotas = {q["name"]: q["quota"] for pattern in patterns for q in pattern}
     place = {name: i for i, name in enumerate(sorted(quotas))}
-    members = [[place[q["name"]] for q in pattern] for pattern in group["_quotas"]]
-    flow = min_cost_flow(group["_capacity"].tolist(), members, [quotas[name] for name in sorted(quotas)])
-    routed = [0] * len(group)
+    members = [[place[q["name"]] for q in pattern] for pattern in patterns]
+    flow = min_cost_flow(group.column("_capacity").to_pylist(), members, [quotas[name] for name in sorted(quotas)])
+    routed = [0] * len(patterns)
     for (p, _), words in flow.items():
         routed[p] += words
-    return pd.DataFrame({"_spelled": group["_spelled"], "_routed": routed})
+    return pa.table({"_spelled": group.column("_spelled"), "_routed": pa.array(routed, pa.int64())})
 
 
 def _routes(patterns: DataFrame) -> DataFrame:
@@ -176,12 +177,14 @@ def _routes(patterns: DataFrame) -> DataFrame:
     pattern of it.
     """
     joint = patterns.where("size(_quotas) > 1").select(F.col("_quotas")[0]["name"].alias("a"), F.explode("_quotas.name").alias("b"))
+    alone = F.least(F.col("_quotas")[0]["quota"], F.col("_capacity") * 2).alias("_routed")
+    if joint.isEmpty():
+        return patterns.where("size(_quotas) > 0").select("_spelled", alone)
     roots = components(joint)
     roots = roots.union(roots.select("root", "root")).distinct()
     found = patterns.where("size(_quotas) > 0").join(roots, F.col("_quotas")[0]["name"] == F.col("node"), "left")
-    alone = F.least(F.col("_quotas")[0]["quota"], F.col("_capacity") * 2).alias("_routed")
     shared = found.where("root is not null").select("_spelled", "_capacity", "_quotas", "root")
-    flows = shared.groupBy("root").applyInPandas(_flows, "_spelled string, _routed bigint")
+    flows = shared.groupBy("root").applyInArrow(_flows, "_spelled string, _routed bigint")
     return found.where("root is null").select("_spelled", alone).union(flows)
 
 
