@@ -15,7 +15,9 @@ from docsieve.schema import ID, Field, Snippet
 ROLES = {"NONE": 0, "OBSERVER": 10, "METAREADER": 20, "READER": 30, "WRITER": 40, "ADMIN": 50}
 SERVER = "_server"
 
-# Rules for everyone, or for a domain, meet very many users. Those users are spread over this many copies.
+# Rules for everyone, or for a domain, meet very many users. Those of a domain are spread over one copy of its rules per
+# so many users, those without rules for their domain over a fixed number of copies.
+_USERS_PER_COPY = 4096
 _SPREAD = 128
 
 
@@ -43,25 +45,25 @@ def effective_role(
     """
     if contexts is not None:
         rules = rules.where(F.col("role_context").isin(*contexts))
-    salt = F.pmod(F.xxhash64("email"), F.lit(_SPREAD)).cast("int")
-    domain = F.concat(F.lit("*@"), F.substring_index("email", "@", -1))
-    patterns = F.array(
-        F.struct(F.col("email").alias("pattern"), F.lit(0).alias("salt"), F.lit(3).alias("strength")),
-        F.struct(domain.alias("pattern"), salt.alias("salt"), F.lit(2).alias("strength")),
-        F.struct(F.lit("*").alias("pattern"), salt.alias("salt"), F.lit(1).alias("strength")),
-    )
-    asked = users.select("email").distinct().select("email", F.explode(patterns).alias("p")).select("email", "p.*")
-    wide = F.col("email").startswith("*")
-    copies = F.when(wide, F.sequence(F.lit(0), F.lit(_SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    offered = rules.select(
-        F.col("email").alias("pattern"), "role_context", role_rank(F.col("role")).alias("rank"),
-        F.explode(copies).alias("salt"),
-    )
-    matches = asked.join(offered, ["pattern", "salt"])
-    # At most three rules meet per user and project. Strength and rank in one number keep the maximum a plain
-    # hash aggregate.
-    best = matches.groupBy("email", "role_context").agg(F.max(F.col("strength") * 100 + F.col("rank")).alias("best"))
-    ranked = best.select("email", "role_context", F.pmod("best", F.lit(100)).cast("int").alias("rank"))
+    # In a struct, a project without a name is equal to itself.
+    project = F.struct("role_context").alias("project")
+    offered = rules.select("email", project, role_rank(F.col("role")).alias("rank"))
+    asked = users.select("email").distinct()
+    # Both sides grow with the users, so neither is to be broadcast. All that follows keeps their order by address.
+    exact = asked.join(offered.hint("merge"), "email").groupBy("email", "project").agg(F.max("rank").alias("rank"))
+    settled = exact.where("rank is not null").groupBy("email").agg(F.collect_list("project").alias("settled"))
+    people, known = asked.join(settled.hint("merge"), "email", "left"), exact.where("rank is not null")
+    people, wide = _wider(people, users, offered)
+    # What users have from wider rules is as large as the result, so it is neither sorted nor grouped: each user brings
+    # the projects that exact rules settle and passes them over.
+    salt = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")
+    spread = people.withColumn("salt", F.pmod(F.xxhash64("email"), F.col("copies")).cast("int")).drop("copies")
+    found = spread.join(wide.select("key", salt, "project", "rank").hint("merge"), ["key", "salt"])
+    found = found.where(~F.coalesce(F.array_contains("settled", F.col("project")), F.lit(False)))
+    # An exact rule without a known role counts where there is no other.
+    unknown = people.join(exact.where("rank is null").hint("merge"), "email").join(wide, ["key", "project"], "left_anti")
+    columns = ["email", "project.role_context", "rank"]
+    ranked = known.select(columns).unionByName(found.select(columns)).unionByName(unknown.select(columns))
     if caps is not None:
         ranked = _capped(ranked, caps)
     if min_role is not None:
@@ -69,6 +71,28 @@ def effective_role(
     return ranked.select("email", "role_context", role_name(F.col("rank")).alias("role"))
 
 
+def _wider(people: DataFrame, users: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``people`` with their (key, copies), and the rules behind the exact ones as (key, copies, project, rank).
+
+    The key is ``*@domain`` where the domain has rules, else ``*``. Rules for everyone are settled against those of a
+    domain once per domain, not per user.
+    """
+    domain = F.concat(F.lit("*@"), F.substring_index("email", "@", -1))
+    best = rules.where(F.col("email").startswith("*")).groupBy(F.col("email").alias("key"), "project")
+    best = best.agg(F.max("rank").alias("rank"))
+    domains = best.where("key like '*@%'")
+    everyone = best.where("key = '*'").select("project", F.col("rank").alias("of_all"))
+    copies = F.ceil(F.count(F.lit(1)) / _USERS_PER_COPY).cast("int").alias("copies")
+    crowds = users.groupBy(domain.alias("key")).agg(copies).join(domains.select("key").distinct(), "key", "left_semi")
+    known = people.withColumn("domain", domain).join(crowds, F.col("domain") == F.col("key"), "left").drop("domain")
+    known = known.withColumn("key", F.coalesce("key", F.lit("*"))).withColumn("copies", F.coalesce("copies", F.lit(_SPREAD)))
+    own = domains.join(crowds, "key").join(everyone, "project", "left").withColumn("rank", F.coalesce("rank", "of_all"))
+    rest = crowds.crossJoin(everyone).join(domains, ["key", "project"], "left_anti")
+    rest = rest.unionByName(everyone.select(F.lit("*").alias("key"), F.lit(_SPREAD).alias("copies"), "project", "of_all"))
+    wide = own.drop("of_all").unionByName(rest.withColumnRenamed("of_all", "rank"))
+    return known, wide
+
+
 def role_rules(rules: DataFrame) -> DataFrame:
     """What all users may do, as one row per pattern (address, ``*@domain`` or ``*``) and project.
 

@@ -209,6 +209,61 @@ def test_expanded_rules_are_the_roles(spark):
     assert all(without.get(k) == v for k, v in narrow.items() if not k[0].startswith("*"))
 
 
+def plan_nodes(node):
+    yield node
+    children = node.children()
+    for i in range(children.size()):
+        yield from plan_nodes(children.apply(i))
+
+
+def test_users_times_projects_are_not_gathered(spark):
+    """What users have from wider rules goes straight to the result: nothing sorts, groups or shuffles it."""
+    people = [f"u{i}@d{i % 2}.example" for i in range(300)]
+    rows = [("*", f"p{i}", "OBSERVER") for i in range(30)] + [("*@d0.example", f"p{i}", "READER") for i in range(20, 60)]
+    rows += [(person, "p25", "WRITER") for person in people]
+    users = spark.createDataFrame([(p,) for p in people], "email string")
+    rules = spark.createDataFrame(rows, "email string, role_context string, role string")
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        for given in (None,):
+            found = effective_role(users, rules, given)
+            assert len(found.collect()) == 150 * 60 + 150 * 30
+            held = {}
+            for node in plan_nodes(found._jdf.queryExecution().executedPlan()):
+                for metric in ("shuffleRecordsWritten", "numOutputRows"):
+                    if node.nodeName().endswith(("Exchange", "Aggregate")) and node.metrics().contains(metric):
+                        held[node.nodeName()] = max(held.get(node.nodeName(), 0), node.metrics().apply(metric).value())
+            # Rules for everyone are there in 128 copies.
+            assert held and max(held.values()) <= len(rows) + 30 * 128, held
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_odd_rules(spark):
+    """Unknown roles count where there is no other; projects, addresses and restrictions may be missing or come twice."""
+    users = spark.createDataFrame([("a@x",), ("a@x",), ("b@x",), ("c@y",), ("*",), (None,)], "email string")
+    rows = [
+        ("a@x", "p", "?"), ("*@x", "p", "READER"), ("*", "p", "OBSERVER"),
+        ("a@x", "q", "?"), ("a@x", "q", None), ("*@x", "r", "?"), ("*", "r", "WRITER"),
+        ("a@x", None, "ADMIN"), ("*@x", None, "READER"), ("*", None, "NONE"), (None, "p", "ADMIN"), ("*@z", "s", "ADMIN"),
+    ]
+    rules = spark.createDataFrame(rows, "email string, role_context string, role string")
+    found = sorted(effective_role(users, rules).collect(), key=str)
+    everyone = {"p": "OBSERVER", "r": "WRITER", None: "NONE"}
+    expected = {(email, context): role for email in ("c@y", "*", None) for context, role in everyone.items()}
+    expected |= {("a@x", "p"): "READER", ("a@x", "q"): None, ("a@x", "r"): "WRITER", ("a@x", None): "ADMIN"}
+    expected |= {("b@x", "p"): "READER", ("b@x", "r"): "WRITER", ("b@x", None): "READER"}
+    assert {(r["email"], r["role_context"]): r["role"] for r in found} == expected and len(found) == len(expected)
+    caps = spark.createDataFrame(
+        [("a@x", None, "METAREADER", None), ("a@x", None, "OBSERVER", None)],
+        "email string, server_role string, default_project_role string, project_roles map<string,string>",
+    )
+    capped = [(r["role_context"], r["role"]) for r in effective_role(users, rules, caps).where("email = 'a@x'").collect()]
+    assert sorted(capped, key=str) == sorted([(c, r) for c in ("p", "q", "r", None) for r in ("METAREADER", "OBSERVER")], key=str)
+
+
 def test_key_restrictions(spark):
     caps = spark.createDataFrame(
         [("user@domain.com", "WRITER", "OBSERVER", {"p": "METAREADER"}), ("other@domain.com", None, "READER", None)],
