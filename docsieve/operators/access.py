@@ -53,6 +53,8 @@ def effective_role(
     exact = asked.join(offered.hint("merge"), "email").groupBy("email", "project").agg(F.max("rank").alias("rank"))
     settled = exact.where("rank is not null").groupBy("email").agg(F.collect_list("project").alias("settled"))
     people, known = asked.join(settled.hint("merge"), "email", "left"), exact.where("rank is not null")
+    if caps is not None:
+        people, known = (rows.join(caps.hint("merge"), "email", "left") for rows in (people, known))
     people, wide = _wider(people, users, offered)
     # What users have from wider rules is as large as the result, so it is neither sorted nor grouped: each user brings
     # the projects that exact rules settle and passes them over.
@@ -62,10 +64,8 @@ def effective_role(
     found = found.where(~F.coalesce(F.array_contains("settled", F.col("project")), F.lit(False)))
     # An exact rule without a known role counts where there is no other.
     unknown = people.join(exact.where("rank is null").hint("merge"), "email").join(wide, ["key", "project"], "left_anti")
-    columns = ["email", "project.role_context", "rank"]
+    columns = ["email", "project.role_context", F.col("rank") if caps is None else _capped("rank")]
     ranked = known.select(columns).unionByName(found.select(columns)).unionByName(unknown.select(columns))
-    if caps is not None:
-        ranked = _capped(ranked, caps)
     if min_role is not None:
         ranked = ranked.where(F.col("rank") >= ROLES[min_role])
     return ranked.select("email", "role_context", role_name(F.col("rank")).alias("role"))
@@ -112,14 +112,14 @@ def role_rules(rules: DataFrame) -> DataFrame:
     return rows.select("email", "role_context", role_name(F.col("rank")).alias("role"), role_name(overrides).alias("overrides"))
 
 
-def _capped(ranked: DataFrame, caps: DataFrame) -> DataFrame:
-    joined = ranked.join(caps, "email", "left")
-    server = role_rank(F.col("server_role"))
-    own = role_rank(F.try_element_at("project_roles", "role_context"))
+def _capped(rank: str) -> Column:
+    """The rank, held to the key restrictions in the same row."""
+    context = F.col("project.role_context")
+    own = role_rank(F.try_element_at("project_roles", context))
     project = F.coalesce(own, role_rank(F.col("default_project_role")))
-    cap = F.when(F.col("role_context") == SERVER, server).otherwise(project)
+    cap = F.when(context == SERVER, role_rank(F.col("server_role"))).otherwise(project)
     # least() skips nulls, so no cap means no change.
-    return joined.select("email", "role_context", F.least(F.col("rank"), cap).alias("rank"))
+    return F.least(F.col(rank), cap).alias("rank")
 
 
 def allowed_field(role: str | None, field: Field) -> Snippet | bool:

@@ -223,11 +223,12 @@ def test_users_times_projects_are_not_gathered(spark):
     rows += [(person, "p25", "WRITER") for person in people]
     users = spark.createDataFrame([(p,) for p in people], "email string")
     rules = spark.createDataFrame(rows, "email string, role_context string, role string")
+    caps = users.selectExpr("email", "'NONE' server_role", "'READER' default_project_role", "map('p1', 'NONE') project_roles")
     name = "spark.sql.adaptive.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
     try:
-        for given in (None,):
+        for given in (None, caps):
             found = effective_role(users, rules, given)
             assert len(found.collect()) == 150 * 60 + 150 * 30
             held = {}
