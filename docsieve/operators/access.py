@@ -87,7 +87,10 @@ def _wider(people: DataFrame, users: DataFrame, rules: DataFrame) -> tuple[DataF
     known = people.withColumn("domain", domain).join(crowds, F.col("domain") == F.col("key"), "left").drop("domain")
     known = known.withColumn("key", F.coalesce("key", F.lit("*"))).withColumn("copies", F.coalesce("copies", F.lit(_SPREAD)))
     own = domains.join(crowds, "key").join(everyone, "project", "left").withColumn("rank", F.coalesce("rank", "of_all"))
-    rest = crowds.crossJoin(everyone).join(domains, ["key", "project"], "left_anti")
+    # Each domain meets one copy of the rules for everyone.
+    spread = everyone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
+    rest = crowds.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SPREAD)).cast("int")).join(spread, "salt").drop("salt")
+    rest = rest.join(domains, ["key", "project"], "left_anti")
     rest = rest.unionByName(everyone.select(F.lit("*").alias("key"), F.lit(_SPREAD).alias("copies"), "project", "of_all"))
     wide = own.drop("of_all").unionByName(rest.withColumnRenamed("of_all", "rank"))
     return known, wide
